@@ -9,12 +9,9 @@ CJK = r"[\x{4E00}-\x{9FFF}]"
 WORD_NOT_CJK = r"[\p{L}\p{N}_&&[^\x{4E00}-\x{9FFF}]]+"
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Contiguous n-character windows of a string, in order (empty when too short)."""
-    return F.when(
-        F.length(text) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n))),
-    ).otherwise(F.array().cast("array<string>"))
+def bigrams(text: Column) -> Column:
+    """Overlapping two-character windows of a string, in order (empty when too short)."""
+    return F.regexp_extract_all(text, F.lit(r"(?s)(?=(..))"), F.lit(1))
 
 
 def tokens(text: Column) -> Column:
@@ -25,7 +22,7 @@ def tokens(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     words = F.regexp_extract_all(low, F.lit(f"({WORD_NOT_CJK})"), F.lit(1))
     runs = F.regexp_extract_all(low, F.lit(f"({CJK}+)"), F.lit(1))
-    grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(_grams(r, 2))))
+    grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(bigrams(r))))
     # texts without CJK skip the second pass over the string
     return F.when(low.rlike(CJK), F.concat(words, grams)).otherwise(words)
 
@@ -77,7 +74,7 @@ PUNCTUATION = r"""(?U)[\s，。！？；：、,.!?;:"'“”‘’（）()\[\]
 
 def bigram_set(text: Column) -> Column:
     """Distinct two-character windows of the text without punctuation and blanks."""
-    return F.array_distinct(_grams(F.regexp_replace(F.coalesce(text, F.lit("")), PUNCTUATION, ""), 2))
+    return F.array_distinct(bigrams(F.regexp_replace(F.coalesce(text, F.lit("")), PUNCTUATION, "")))
 
 
 def overlap_share(needle: Column, hay: Column) -> Column:

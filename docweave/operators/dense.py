@@ -30,11 +30,10 @@ def _slices(pdf: pd.DataFrame, other_rows: int) -> Iterator[pd.DataFrame]:
         yield pdf.iloc[start:start + step]
 
 
-def _check_dimension(frame: DataFrame, vec_col: str) -> int:
-    sizes = [r[0] for r in frame.select(F.size(vec_col).alias("n")).distinct().limit(3).collect()]
-    if len(sizes) > 1:
-        raise ValueError(f"vectors of different lengths: {sorted(sizes)}")
-    return sizes[0] if sizes else 0
+def _dimension(frame: DataFrame, vec_col: str) -> int:
+    """Length of one vector; blocks of unequal vectors fail when they are stacked."""
+    row = frame.select(vec_col).first()
+    return len(row[0]) if row else 0
 
 
 def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
@@ -62,7 +61,7 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_key: str, k
     keeps k rows per query, so only queries x k x tasks rows are shuffled. A larger
     query table meets the chunks in a grid of bounded blocks instead.
     """
-    dim = _check_dimension(queries.select(vec_col), vec_col)
+    dim = _dimension(queries, vec_col)
     limit = max(1, query_bytes // max(1, 8 * dim))
     head = queries.select(F.col(query_key).cast("long").alias("q"), F.col(vec_col).alias("v")).limit(limit + 1)
     local = head.toPandas() if head.count() <= limit else None
@@ -192,7 +191,7 @@ def best_class(queries: DataFrame, examples: DataFrame, query_key: str, example_
     Examples are a rule table of checked size, carried to every task as one matrix;
     each query row is finished inside its task and nothing is shuffled.
     """
-    dim = _check_dimension(examples.select(vec_col), vec_col)
+    dim = _dimension(examples, vec_col)
     limit = max(1, DENSE_QUERY_BYTES // max(1, 8 * dim))
     head = examples.select(F.col(example_key).cast("long").alias("e"), F.col(class_col).cast("string").alias("c"),
                            F.col(vec_col).alias("v")).limit(limit + 1)

@@ -9,6 +9,7 @@ from docweave.operators import context, dense, fusion, lexical
 from docweave.operators.chunking import chunk_documents, line_chunks
 from docweave.plans import sqlparts as s
 from docweave.plans.catalog import query
+from docweave.session import cut_lineage
 from docweave.plans.retrieve import RetrievalConfig, hashing_embedder, retrieve
 
 
@@ -431,9 +432,9 @@ def session_memory(t) -> DataFrame:
 def retrieve_context(t) -> DataFrame:
     """The whole chain for every benchmark text over chunks of every document."""
     embed = hashing_embedder()
-    chunks = chunk_documents(t.documents, "doc_id").select(
+    chunks = cut_lineage(chunk_documents(t.documents, "doc_id").select(
         F.col("doc_id").alias("document_id"), F.col("chunk_index").cast("long").alias("chunk_index"), "content", "heading_path",
-        F.lit("raw").alias("source_kind"), embed(F.col("content")).alias("embedding"))
+        F.lit("raw").alias("source_kind"), embed(F.col("content")).alias("embedding")))
     questions = t.benchmark.select(F.col("item_id").alias("query_id"), "text", embed(F.col("text")).alias("embedding"))
     out = retrieve(questions, chunks, RetrievalConfig(expand=True, fold=True))
     return out.select("query_id", "source_index", "document_id", "chunk_index", F.round("score", 6).alias("score"), "tokens")

@@ -32,16 +32,20 @@ class RetrievalConfig:
 
 def hashing_embedder(dim: int = 64) -> Callable[[Column], Column]:
     """Stand-in for a model: word hashes added up and scaled to length 1."""
+    import re
+
     import xxhash
 
+    word = re.compile(r"\w+")
+
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seen: dict[str, tuple[int, float]] = {}
-        for words in batches:
+        for texts in batches:
             out = []
-            for row in words:
+            for text in texts:
                 v = np.zeros(dim, np.float32)
-                for w in row if row is not None else ():
+                for w in word.findall((text or "").lower()):
                     slot = seen.get(w)
                     if slot is None:
                         h = xxhash.xxh64_intdigest(w)
@@ -53,7 +57,7 @@ def hashing_embedder(dim: int = 64) -> Callable[[Column], Column]:
                 out.append(v / n if n > 0 else v)
             yield pd.Series(out)
 
-    return lambda text: embed(tokens(text))
+    return embed
 
 
 def word_overlap(question: Column, content: Column) -> Column:
