@@ -176,11 +176,13 @@ def all_texts(t) -> DataFrame:
             .unionByName(t.conversations.select(F.lit("messages").alias("origin"), "text")))
 
 
-@query("context_signals", f"""WITH {TEXTS}, x AS (SELECT origin, unnest(list_filter([{SIGNALS_SQL}], lambda x: x IS NOT NULL)) AS rule FROM texts)
-SELECT origin, rule, count(*) AS texts FROM x GROUP BY 1, 2""")
+@query("context_signals", f"""WITH {TEXTS}, x AS (SELECT origin, list_filter([{SIGNALS_SQL}], lambda x: x IS NOT NULL) AS rules FROM texts),
+y AS (SELECT origin, unnest(CASE WHEN len(rules) > 0 THEN rules ELSE ['none'] END) AS rule FROM x)
+SELECT origin, rule, count(*) AS texts FROM y GROUP BY 1, 2""")
 def context_signals(t) -> DataFrame:
-    """Texts per origin in which each injection signal is found."""
-    return all_texts(t).select("origin", F.explode(rules.context_signals(F.col("text"))).alias("rule")).groupBy("origin", "rule").agg(
+    """Texts per origin in which each injection signal is found; ``none`` counts the rest."""
+    found = rules.context_signals(F.col("text"))
+    return all_texts(t).select("origin", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))).alias("rule")).groupBy("origin", "rule").agg(
         F.count(F.lit(1)).alias("texts"))
 
 
@@ -219,7 +221,7 @@ def clean_answers(t) -> DataFrame:
 
 @query("lexicon_findings", """
 WITH w AS (SELECT unnest(['the', 'de', 'ung', 'tion', 'que']) AS word, unnest(['a', 'b', 'a', 'b', 'a']) AS category, generate_subscripts([1,2,3,4,5], 1) AS position)
-SELECT doc_id, word, category, len(list_filter(range(1, length(text) - length(word) + 2), lambda i: substr(text, i, length(word)) = word)) AS n
+SELECT doc_id, word, category, (length(text) - length(replace(text, word, ''))) // length(word) AS n
 FROM documents JOIN w ON contains(text, word)""")
 def lexicon_findings(t) -> DataFrame:
     """Listed words found in every document, with overlapping places counted."""
@@ -258,12 +260,12 @@ def numeric_conflicts(t) -> DataFrame:
 @query("value_consensus", """
 WITH m AS (SELECT ts::DATE AS day, event_type, count(value) AS n, median(value) AS mid, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2),
 d AS (SELECT *, CASE WHEN mid <> 0 THEN greatest(hi - mid, mid - lo) / abs(mid) ELSE 0 END AS dev FROM m)
-SELECT day, event_type, n, round(mid, 6) AS median, round(dev, 6) AS max_deviation,
+SELECT day::VARCHAR AS day, event_type, n, round(mid, 6) AS median, round(dev, 6) AS max_deviation,
   round(CASE WHEN n = 1 THEN 0.7 WHEN dev <= 0.05 THEN 1 - dev / 0.05 * 0.3 ELSE greatest(0.0, 0.5 - (dev - 0.05)) END, 6) AS score FROM d""")
 def value_consensus(t) -> DataFrame:
     """Agreement of the values reported per day and type."""
     out = numbers.consensus(t.events.select(F.to_date("ts").alias("day"), "event_type", "value"), ["day", "event_type"])
-    return out.select("day", "event_type", "n", *[F.round(c, 6).alias(c) for c in ("median", "max_deviation", "score")])
+    return out.select(F.col("day").cast("string").alias("day"), "event_type", "n", *[F.round(c, 6).alias(c) for c in ("median", "max_deviation", "score")])
 
 
 @query("value_clusters")
