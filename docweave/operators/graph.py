@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from docweave.functions.text import extract_links, normalize_title
 from docweave.functions.vectors import cosine
@@ -16,18 +16,52 @@ from docweave.operators.sizing import broadcast_if_small
 ANCHOR = 8
 
 
+TITLE_ROWS = 200_000
+
+
 def title_mentions(pages: DataFrame, titles: DataFrame, most: int = 8) -> DataFrame:
     """(id, title, position, place): titles of the same base found in a page's text.
 
     ``pages``: id, kb_id, title, content; ``titles``: kb_id, title. Blanks and case are
     ignored, titles of one character and the page's own title are left out, the first
-    ``most`` by first position stay. Texts and titles meet by an equi-join on the first
-    eight characters of a title (all of a shorter one), then the text decides.
+    ``most`` by first position stay. A title table of checked size travels to the tasks,
+    so each text is read once and nothing is shuffled; a larger one meets the texts by
+    an equi-join on the first characters of a title, then the text decides.
     """
     t = titles.select("kb_id", "title", normalize_title(F.col("title")).alias("norm")).filter(F.length("norm") >= 2)
-    t = t.groupBy("kb_id", "norm").agg(F.min("title").alias("title")).withColumn("size", F.least(F.length("norm"), F.lit(ANCHOR)))
-    t = t.withColumn("anchor", F.expr("substring(norm, 1, size)"))
+    t = t.groupBy("kb_id", "norm").agg(F.min("title").alias("title"))
     body = pages.select("id", "kb_id", normalize_title(F.col("content")).alias("hay"), normalize_title(F.col("title")).alias("own"))
+    small = t.select(F.col("kb_id").cast("string").alias("kb"), "norm").limit(TITLE_ROWS + 1).collect()
+    found = _mentions_in_task(body, small) if len(small) <= TITLE_ROWS else _mentions_by_anchor(body, t)
+    named = found.filter(F.col("norm") != F.col("own")).join(broadcast_if_small(t), ["kb_id", "norm"])
+    w = W.partitionBy("id").orderBy("position", "title")
+    return named.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("id", "title", "position", "place")
+
+
+def _mentions_in_task(body: DataFrame, rows: list) -> DataFrame:
+    """Windows of every title length in use, looked up among the titles of the base."""
+    table: dict[str, dict[int, set[str]]] = {}
+    for kb, norm in rows:
+        table.setdefault(kb, {}).setdefault(len(norm), set()).add(norm)
+    packed = body.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("norm", T.StringType()), T.StructField("position", T.IntegerType())])))
+    def find(kb: pd.Series, hay: pd.Series) -> pd.Series:
+        out = []
+        for base, text in zip(kb, hay):
+            hits = []
+            for size, names in packed.value.get(base, {}).items():
+                seen = {text[i:i + size] for i in range(len(text) - size + 1)}
+                hits.extend((name, text.index(name) + 1) for name in names & seen)
+            out.append(hits)
+        return pd.Series(out)
+
+    hits = body.select("id", "kb_id", "own", F.explode(find(F.col("kb_id").cast("string"), F.col("hay"))).alias("h"))
+    return hits.select("id", "kb_id", "own", "h.norm", "h.position")
+
+
+def _mentions_by_anchor(body: DataFrame, t: DataFrame) -> DataFrame:
+    t = t.withColumn("size", F.least(F.length("norm"), F.lit(ANCHOR))).withColumn("anchor", F.expr("substring(norm, 1, size)"))
     anchors = broadcast_if_small(t.select("kb_id", "anchor").distinct())
     # per anchor size the first characters in use: only windows that begin with one are cut out
     heads = t.groupBy("size").agg(F.sort_array(F.collect_set(F.substring("norm", 1, 1))).alias("heads")).collect()
@@ -37,11 +71,9 @@ def title_mentions(pages: DataFrame, titles: DataFrame, most: int = 8) -> DataFr
         windows = F.array_distinct(F.regexp_extract_all("hay", F.lit(f"(?s)(?=({first}.{{{size - 1}}}))"), F.lit(1)))
         part = body.select("id", "kb_id", F.explode(windows).alias("anchor")).join(anchors, ["kb_id", "anchor"], "left_semi")
         seen = part if seen is None else seen.unionByName(part)
-    pairs = seen.join(t, ["kb_id", "anchor"]).select("id", "title", "norm")
-    found = pairs.join(body.select("id", "hay", "own"), "id").filter(F.col("norm") != F.col("own")).withColumn(
-        "position", F.expr("locate(norm, hay)")).filter(F.col("position") > 0)
-    w = W.partitionBy("id").orderBy("position", "title")
-    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("id", "title", "position", "place")
+    pairs = seen.join(t, ["kb_id", "anchor"]).select("id", "kb_id", "norm")
+    return pairs.join(body.select("id", "hay", "own"), "id").withColumn("position", F.expr("locate(norm, hay)")).filter(
+        F.col("position") > 0).drop("hay")
 
 
 def fill_links(pages: DataFrame) -> DataFrame:
