@@ -30,24 +30,32 @@ DEFAULT_TOPIC = "综合内容"
 
 
 def any_word(text: Column, words: list[str]) -> Column:
-    """One alternation instead of a scan per word."""
-    return text.rlike("|".join(re.escape(w) for w in words))
+    """Any listed word occurs; plain substring tests beat one alternation by far."""
+    out = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def _first_rule(text: Column, lists: list[list[str]]) -> Column:
+    """Place of the first word list with a hit, or the number of lists."""
+    out = F.lit(len(lists))
+    for i in range(len(lists) - 1, -1, -1):
+        out = F.when(any_word(text, lists[i]), i).otherwise(out)
+    return out
 
 
 def classify_document(text: Column) -> Column:
     """struct(document_type, domain, topics): first matching type, then domain, at most five topics."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    kind = domain = topic = None
-    for name, dom, label, words in reversed(TYPE_RULES):
-        hit = any_word(low, words)
-        kind = F.when(hit, name).otherwise(F.lit("other") if kind is None else kind)
-        domain = F.when(hit, dom or "other").otherwise(F.lit("other") if domain is None else domain)
-        topic = F.when(hit, label).otherwise(F.lit(None).cast("string") if topic is None else topic)
-    second = F.lit(None).cast("string")
-    for dom, label, words in reversed(DOMAIN_RULES):
-        hit = any_word(low, words)
-        domain = F.when(hit, dom).otherwise(domain)
-        second = F.when(hit, label).otherwise(second)
+    # the place of the first matching rule is one expression, shared by all that is read from it
+    first = _first_rule(low, [words for *_, words in TYPE_RULES])
+    second = _first_rule(low, [words for *_, words in DOMAIN_RULES])
+    pick = lambda values, at: F.get(F.array(*[F.lit(v).cast("string") for v in values]), at)
+    kind = pick([r[0] for r in TYPE_RULES] + ["other"], first)
+    domain = F.coalesce(pick([r[0] for r in DOMAIN_RULES] + [None], second), pick([r[1] or "other" for r in TYPE_RULES] + ["other"], first))
+    topic = pick([r[2] for r in TYPE_RULES] + [None], first)
+    second = pick([r[1] for r in DOMAIN_RULES] + [None], second)
     extra = [F.when(F.contains(low, F.lit(w)), F.lit(label)) for w, label in TOPIC_WORDS]
     topics = F.slice(F.array_compact(F.array(topic, second, *extra)), 1, 5)
     topics = F.when(F.size(topics) > 0, topics).otherwise(F.array(F.lit(DEFAULT_TOPIC)))

@@ -23,8 +23,8 @@ def tokens(text: Column) -> Column:
     words = F.regexp_extract_all(low, F.lit(f"({WORD_NOT_CJK})"), F.lit(1))
     runs = F.regexp_extract_all(low, F.lit(f"({CJK}+)"), F.lit(1))
     grams = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(bigrams(r))))
-    # texts without CJK skip the second pass over the string
-    return F.when(low.rlike(CJK), F.concat(words, grams)).otherwise(words)
+    # texts without CJK take one plain pass over the string
+    return F.when(low.rlike(CJK), F.concat(words, grams)).otherwise(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
 
 
 def normalize_title(title: Column) -> Column:

@@ -51,8 +51,13 @@ def _mentions_in_task(body: DataFrame, rows: list) -> DataFrame:
         for base, text in zip(kb, hay):
             hits = []
             for size, names in packed.value.get(base, {}).items():
-                seen = {text[i:i + size] for i in range(len(text) - size + 1)}
-                hits.extend((name, text.index(name) + 1) for name in names & seen)
+                # few names: look each up in the text; many: look the text's windows up among them
+                if len(names) < len(text) // 8:
+                    found = ((name, text.find(name)) for name in names)
+                    hits.extend((name, at + 1) for name, at in found if at >= 0)
+                else:
+                    seen = {text[i:i + size] for i in range(len(text) - size + 1)}
+                    hits.extend((name, text.index(name) + 1) for name in names & seen)
             out.append(hits)
         return pd.Series(out)
 
@@ -253,14 +258,14 @@ def match_titles(candidates: DataFrame, pages: DataFrame, scored: DataFrame, thr
     kinds = {f.name: f.dataType.simpleString() for f in offers.schema.fields}
     page_type = kinds["offers"][len("array<"):-1]
 
-    def step(taken: set, part: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for kb, cand, wanted in zip(part["kb_id"], part["cand_id"], part["offers"]):
+    def step(taken: set, rows: dict) -> tuple:
+        hits = []
+        for kb, cand, wanted in zip(rows["kb_id"], rows["cand_id"], rows["offers"]):
             page = next((x for x in wanted if x not in taken), None)
             if page is not None:
                 taken.add(page)
-                rows.append((kb, cand, page, "vector"))
-        return pd.DataFrame(rows, columns=["kb_id", "cand_id", "page_id", "how"])
+                hits.append((kb, cand, page, "vector"))
+        return tuple(zip(*hits))
 
     greedy = scan_groups(offers, ["kb_id"], ["pos"], set, step,
                          f"kb_id {kinds['kb_id']}, cand_id {kinds['cand_id']}, page_id {page_type}, how string")

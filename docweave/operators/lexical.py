@@ -55,12 +55,16 @@ def corpus_totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def postings(docs: DataFrame, keys: list[str], text_col: str = "text",
              only_terms: DataFrame | None = None) -> DataFrame:
-    """(keys, term, tf, length). ``only_terms`` prunes before anything is shuffled."""
+    """(keys, term, tf, length). ``only_terms`` prunes before anything is shuffled.
+
+    Word rows are hashed on the document alone: counting words, adding up scores per
+    question and document and taking norms then all happen where the rows lie.
+    """
     words = docs.select(*keys, tokens(F.col(text_col)).alias("words"))
     rows = words.select(*keys, F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
     if only_terms is not None:
         rows = rows.join(broadcast_if_small(only_terms), "term", "left_semi")
-    return rows.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    return rows.repartition(*keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def query_terms(queries: DataFrame, query_key: str, text_col: str = "text") -> DataFrame:

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+Rows = dict[str, np.ndarray]
+
+
 def scan_groups(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], Any],
-                step: Callable[[Any, pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """Feed the rows of every key, in order, to ``step(state, rows) -> rows``.
+                step: Callable[[Any, Rows], tuple[Sequence, ...] | None], schema: str) -> DataFrame:
+    """Feed the rows of every key, in order, to ``step(state, rows) -> output columns``.
 
     Rows are hashed on the keys and sorted (spilling) inside each task, then read as
     Arrow batches: a key of any size costs its state, not its rows. ``start()`` makes
-    a fresh state per key. A rule that falls apart into independent stretches should
-    put the stretch into ``keys`` (see ``segments``), so a hot key is many groups.
+    a fresh state per key; ``rows`` holds one array per column and may be a part of a
+    key. A rule that falls apart into independent stretches should put the stretch into
+    ``keys`` (see ``segments``), so a hot key is many groups.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -24,19 +29,22 @@ def scan_groups(df: DataFrame, keys: list[str], order: list[str], start: Callabl
         for pdf in batches:
             if pdf.empty:
                 continue
-            frame = pdf[keys]
-            change = (frame != frame.shift()).any(axis=1).to_numpy()
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            change = np.zeros(len(pdf), bool)
             change[0] = True
+            for k in keys:
+                change[1:] |= cols[k][1:] != cols[k][:-1]
             bounds = [*change.nonzero()[0], len(pdf)]
+            out: list[list] = [[] for _ in names]
             for lo, hi in zip(bounds, bounds[1:]):
-                part = pdf.iloc[lo:hi]
-                key = tuple(part[k].iloc[0] for k in keys)
+                key = tuple(cols[k][lo] for k in keys)
                 if key != current:
                     current, state = key, start()
-                out = step(state, part)
-                if out is not None and len(out):
-                    yield out
+                for held, new in zip(out, step(state, {c: v[lo:hi] for c, v in cols.items()}) or ()):
+                    held.extend(new)
+            yield pd.DataFrame(dict(zip(names, out)))
 
+    names = [part.split()[0] for part in schema.split(", ")]
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from docweave.operators import context, evaluate as ev, lexical
 from docweave.plans import sqlparts as s
 from docweave.plans.catalog import query
+from docweave.session import cut_lineage
 from docweave.plans.retrieval import PACKED, gate_hits, line_hits, packed
 
 GOLDEN = "golden AS (SELECT item_id AS query_id, doc_id AS document_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -39,13 +40,13 @@ scored AS (SELECT arm, coalesce(category, 'all') AS category, count(*) AS n, rou
 
 
 def golden_of(t) -> DataFrame:
-    return lexical.containing_documents(t.documents, t.benchmark, "doc_id", "item_id").select(
-        F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id"))
+    return cut_lineage(lexical.containing_documents(t.documents, t.benchmark, "doc_id", "item_id").select(
+        F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id")))
 
 
 def ranking(t, questions: DataFrame, k: int = 10) -> DataFrame:
-    return lexical.bm25_top_k(t.documents, questions, ["doc_id"], "item_id", k).select(
-        F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id"), "rank", "score")
+    return cut_lineage(lexical.bm25_top_k(t.documents, questions, ["doc_id"], "item_id", k).select(
+        F.col("item_id").alias("query_id"), F.col("doc_id").alias("document_id"), "rank", "score"))
 
 
 def cut_questions(t) -> DataFrame:

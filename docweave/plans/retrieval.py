@@ -257,7 +257,8 @@ def line_hits(t, k: int = 8) -> tuple[DataFrame, DataFrame]:
     top = lexical.bm25_top_k(chunks.withColumnRenamed("content", "text"), t.benchmark, ["document_id", "chunk_index"], "item_id", k)
     hits = top.join(chunks, ["document_id", "chunk_index"]).select(
         F.col("item_id").alias("query_id"), "document_id", "chunk_index", "rank", F.round("score", 6).alias("score"), "content", "heading_path")
-    return hits, chunks
+    # k rows per question, read several times by what follows
+    return cut_lineage(hits), chunks
 
 
 @query("neighbor_expand", f"""WITH RECURSIVE {LINE_HITS},

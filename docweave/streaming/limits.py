@@ -76,8 +76,8 @@ def rate_limit(events: DataFrame, key: str, event_id: str, limit: int, window_se
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(event_id).cast("long").alias("id"), seconds(F.col("ts")).alias("at"))
     cut = segments(rows, ["k"], "at", window_seconds, max(86400.0, window_seconds), ["id"], "stretch")
 
-    def step(state: RateLimit, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": part["k"], "id": part["id"], "admitted": [state.admit(a) for a in part["at"]]})
+    def step(state: RateLimit, rows: dict) -> tuple:
+        return rows["k"], rows["id"], [state.admit(a) for a in rows["at"]]
 
     return scan_groups(cut, ["k", "stretch"], ["at", "id"], lambda: RateLimit(limit, window_seconds), step,
                        "k string, id long, admitted boolean").select(F.col("k").alias(key), F.col("id").alias(event_id), "admitted")
@@ -120,8 +120,8 @@ def daily_quota(events: DataFrame, key: str, event_id: str, amount: str, limit:
     free = F.col("amount") <= 0
     easy = marked.filter(~fits | free | (F.col("total") <= limit)).select("k", "id", (fits | free).alias("admitted"))
 
-    def step(state: DailyQuota, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": part["k"], "id": part["id"], "admitted": [state.admit(a) for a in part["amount"]]})
+    def step(state: DailyQuota, rows: dict) -> tuple:
+        return rows["k"], rows["id"], [state.admit(a) for a in rows["amount"]]
 
     hard = marked.filter(fits & ~free & (F.col("total") > limit)).select("k", "day", "id", "at", "amount")
     judged = scan_groups(hard, ["k", "day"], ["at", "id"], lambda: DailyQuota(limit), step, "k string, id long, admitted boolean")
@@ -136,14 +136,14 @@ def slots(events: DataFrame, key: str, event_id: str, limit: int, ttl_seconds: f
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(event_id).cast("long").alias("id"), seconds(F.col("ts")).alias("at"), "action")
     cut = segments(rows, ["k"], "at", ttl_seconds, max(86400.0, ttl_seconds), ["id"], "stretch")
 
-    def step(state: Slots, part: pd.DataFrame) -> pd.DataFrame:
+    def step(state: Slots, rows: dict) -> tuple:
         out: list[tuple[Any, ...]] = []
-        for k, i, at, action in zip(part["k"], part["id"], part["at"], part["action"]):
+        for k, i, at, action in zip(rows["k"], rows["id"], rows["at"], rows["action"]):
             if action == "release":
                 state.release()
             else:
                 out.append((k, i, state.acquire(at)))
-        return pd.DataFrame(out, columns=["k", "id", "admitted"])
+        return tuple(zip(*out))
 
     return scan_groups(cut, ["k", "stretch"], ["at", "id"], lambda: Slots(limit, ttl_seconds), step,
                        "k string, id long, admitted boolean").select(F.col("k").alias(key), F.col("id").alias(event_id), "admitted")

@@ -90,22 +90,23 @@ def guard_fragments(fragments: DataFrame) -> DataFrame:
     ``fragments``: run_id, seq, text, last.
     """
 
-    def step(guard: FragmentGuard, part: pd.DataFrame) -> pd.DataFrame:
-        return _guarded(guard, part)
+    def step(guard: FragmentGuard, rows: dict) -> tuple:
+        return _guarded(guard, rows)
 
     rows = fragments.select(F.col("run_id").cast("string").alias("run_id"), F.col("seq").cast("long").alias("seq"), "text", "last")
     return scan_groups(rows, ["run_id"], ["seq"], FragmentGuard, step, GUARDED)
 
 
-def _guarded(guard: FragmentGuard, part: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for run, seq, text, last in zip(part["run_id"], part["seq"], part["text"], part["last"]):
+def _guarded(guard: FragmentGuard, rows) -> tuple:
+    texts, rules = [], []
+    for text, last in zip(rows["text"], rows["last"]):
         shown, hits = guard.feed(text or "")
         if last:
             rest, more = guard.flush()
             shown, hits = shown + rest, hits + more
-        out.append((run, seq, shown, ",".join(hits)))
-    return pd.DataFrame(out, columns=["run_id", "seq", "text", "rules"])
+        texts.append(shown)
+        rules.append(",".join(hits))
+    return rows["run_id"], rows["seq"], texts, rules
 
 
 def guard_fragments_stream(fragments: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def guard_fragments_stream(fragments: DataFrame) -> DataFrame:
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         guard = FragmentGuard(state.get[0] if state.exists else "")
         part = pd.concat(list(batches)).sort_values("seq")
-        out = _guarded(guard, part)
+        out = pd.DataFrame(dict(zip(["run_id", "seq", "text", "rules"], _guarded(guard, part))))
         if part["last"].any():
             state.remove() if state.exists else None
         else:
