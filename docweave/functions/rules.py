@@ -8,6 +8,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from docweave.functions.text import rows_of
+
 # fixed values: keywords of the document types, tried in this order: (type, domain, topic, words)
 TYPE_RULES = [
     ("technical", "it", "技术开发", ["代码", "编程", "开发", "api", "function", "class", "method", "algorithm", "软件", "系统"]),
@@ -201,7 +203,7 @@ def lexicon_findings(docs: DataFrame, key: str, text_col: str, lexicon: DataFram
         part = "|".join(re.escape(w) for w in sorted(w for w in words if len(w) == size))
         found = F.regexp_extract_all(F.col(text_col), F.lit(f"(?=({part}))"), F.lit(1))
         hits = found if hits is None else F.concat(hits, found)
-    rows = docs.select(key, F.explode(hits).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(key, rows_of(hits).alias("word")).filter(F.col("word").isNotNull()).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     return rows.join(F.broadcast(lexicon), "word").select(key, "word", "category", "position", "n")
 
 

@@ -9,6 +9,16 @@ CJK = r"[\x{4E00}-\x{9FFF}]"
 WORD_NOT_CJK = r"[\p{L}\p{N}_&&[^\x{4E00}-\x{9FFF}]]+"
 
 
+def rows_of(array: Column) -> Column:
+    """Generator over an array that is costly to make, such as the words of a text.
+
+    A plain explode lets the optimizer add ``size(array) > 0`` below it, which makes the
+    array a second time and before any repartitioning. The outer form does not; callers
+    drop the null row of an empty array.
+    """
+    return F.explode_outer(array)
+
+
 def bigrams(text: Column) -> Column:
     """Overlapping two-character windows of a string, in order (empty when too short)."""
     return F.regexp_extract_all(text, F.lit(r"(?s)(?=(..))"), F.lit(1))

@@ -380,7 +380,8 @@ def chunk_documents(docs: DataFrame, key: str, text_col: str = "text", strategy:
         return pd.Series([_splitter(h, e, size, overlap)(t or "") for t, h, e in zip(text, how, ext)])
 
     rows = docs.select(F.col(key), strategy.alias("chunk_strategy"), split(F.col(text_col), strategy, extension).alias("c"))
-    return rows.select(key, "chunk_strategy", F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "x")).select(
+    return rows.select(key, "chunk_strategy", F.size("c").alias("total_chunks"), F.posexplode_outer("c").alias("chunk_index", "x")).filter(
+        F.col("chunk_index").isNotNull()).select(
         key, "chunk_index", "total_chunks", "x.content", "x.heading_path", "x.kind", "chunk_strategy")
 
 
@@ -411,5 +412,6 @@ def chunk_summary(chunks: DataFrame, key: str) -> DataFrame:
 def line_chunks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Non-blank lines of a text as chunks, numbered by their place among them."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    return docs.select(F.col(key).alias("document_id"), F.posexplode(lines).alias("chunk_index", "content")).withColumn(
+    return docs.select(F.col(key).alias("document_id"), F.posexplode_outer(lines).alias("chunk_index", "content")).filter(
+        F.col("content").isNotNull()).withColumn(
         "chunk_index", F.col("chunk_index").cast("long"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from docweave.functions.text import rows_of
+
 
 
 def bucket(user: Column, experiment: Column) -> Column:
@@ -100,7 +102,8 @@ def common_patterns(cases: DataFrame, by: list[str], least: int = 3, most: int =
     after = F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1)))
     pairs = F.array_compact(F.zip_with(w, after, lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b))))
     total = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("questions"))
-    n = cases.select(*by, F.explode(F.concat(w, pairs)).alias("pattern")).groupBy(*by, "pattern").agg(F.count(F.lit(1)).alias("frequency"))
+    n = cases.select(*by, rows_of(F.concat(w, pairs)).alias("pattern")).filter(
+        F.col("pattern").isNotNull()).groupBy(*by, "pattern").agg(F.count(F.lit(1)).alias("frequency"))
     rows = n.filter(F.col("frequency") >= least).join(total, by) if by else n.filter(F.col("frequency") >= least).withColumn(
         "questions", cases.agg(F.count(F.lit(1))).scalar())
     order = W.partitionBy(*by).orderBy(F.col("frequency").desc(), "pattern")
@@ -111,7 +114,7 @@ def common_patterns(cases: DataFrame, by: list[str], least: int = 3, most: int =
 def suggested_keywords(cases: DataFrame, most: int = 20) -> DataFrame:
     """Most frequent words of two or more characters."""
     w = F.filter(F.split(F.btrim("question", F.lit(" \t\n\r")), r"\s+"), lambda x: F.length(x) >= 2)
-    n = cases.select(F.explode(w).alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("frequency"))
+    n = cases.select(rows_of(w).alias("keyword")).filter(F.col("keyword").isNotNull()).groupBy("keyword").agg(F.count(F.lit(1)).alias("frequency"))
     return n.orderBy(F.col("frequency").desc(), "keyword").limit(most)
 
 

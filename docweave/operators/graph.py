@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from docweave.functions.text import extract_links, normalize_title
+from docweave.functions.text import extract_links, normalize_title, rows_of
 from docweave.functions.vectors import cosine
 from docweave.operators.dense import distinct_vectors, similar_pairs
 from docweave.operators.sequential import scan_groups
@@ -61,7 +61,8 @@ def _mentions_in_task(body: DataFrame, rows: list) -> DataFrame:
             out.append(hits)
         return pd.Series(out)
 
-    hits = body.select("id", "kb_id", "own", F.explode(find(F.col("kb_id").cast("string"), F.col("hay"))).alias("h"))
+    hits = body.select("id", "kb_id", "own", rows_of(find(F.col("kb_id").cast("string"), F.col("hay"))).alias("h")).filter(
+        F.col("h").isNotNull())
     return hits.select("id", "kb_id", "own", "h.norm", "h.position")
 
 
@@ -74,7 +75,7 @@ def _mentions_by_anchor(body: DataFrame, t: DataFrame) -> DataFrame:
     for size, heads in sorted((r["size"], r["heads"]) for r in heads):
         first = "[" + "".join(re.escape(c) for c in heads) + "]" if len(heads) <= 2000 else "."
         windows = F.array_distinct(F.regexp_extract_all("hay", F.lit(f"(?s)(?=({first}.{{{size - 1}}}))"), F.lit(1)))
-        part = body.select("id", "kb_id", F.explode(windows).alias("anchor")).join(anchors, ["kb_id", "anchor"], "left_semi")
+        part = body.select("id", "kb_id", rows_of(windows).alias("anchor")).join(anchors, ["kb_id", "anchor"], "left_semi")
         seen = part if seen is None else seen.unionByName(part)
     pairs = seen.join(t, ["kb_id", "anchor"]).select("id", "kb_id", "norm")
     return pairs.join(body.select("id", "hay", "own"), "id").withColumn("position", F.expr("locate(norm, hay)")).filter(

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from docweave.functions.text import tokens
-from docweave.operators.sizing import broadcast_if_small, salted_join
+from docweave.functions.text import rows_of, tokens
+from docweave.operators.sizing import BROADCAST_ROWS, at_most, broadcast_if_small, salted_join
 
 # fixed values: saturation and length normalisation of the term weight
 K1 = 1.5
@@ -35,7 +35,7 @@ def fit_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.array_distinct("words"), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("length"))
     )
     counts = (
-        words.select(F.explode(F.concat(F.array(total), per_term)).alias("e"))
+        words.select(rows_of(F.concat(F.array(total), per_term)).alias("e"))
         .groupBy("e.term").agg(F.count(F.lit(1)).alias("df"), F.sum("e.length").alias("length"))
     )
     corpus = counts.filter(F.col("term").isNull())
@@ -61,14 +61,15 @@ def postings(docs: DataFrame, keys: list[str], text_col: str = "text",
     question and document and taking norms then all happen where the rows lie.
     """
     words = docs.select(*keys, tokens(F.col(text_col)).alias("words"))
-    rows = words.select(*keys, F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
+    rows = words.select(*keys, F.size("words").cast("long").alias("length"), rows_of(F.col("words")).alias("term")).filter(
+        F.col("term").isNotNull())
     if only_terms is not None:
         rows = rows.join(broadcast_if_small(only_terms), "term", "left_semi")
     return rows.repartition(*keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def query_terms(queries: DataFrame, query_key: str, text_col: str = "text") -> DataFrame:
-    return queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
+    return queries.select(query_key, rows_of(F.array_distinct(tokens(F.col(text_col)))).alias("term")).filter(F.col("term").isNotNull())
 
 
 def weighted_postings(docs: DataFrame, keys: list[str], text_col: str = "text",
@@ -81,8 +82,9 @@ def weighted_postings(docs: DataFrame, keys: list[str], text_col: str = "text",
     hits = postings(docs, keys, text_col, only_terms)
     if vocabulary is None:
         totals = corpus_totals(docs, text_col)
+        # reading the length too keeps both uses of the word rows on one shuffle
         stats = (
-            hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            hits.filter(F.col("length") > 0).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
             .withColumn("corpus_size", totals.select("corpus_size").scalar())
             .withColumn("mean_length", totals.select("mean_length").scalar())
             .withColumn("idf", idf(F.col("corpus_size"), F.col("df")))
@@ -90,6 +92,8 @@ def weighted_postings(docs: DataFrame, keys: list[str], text_col: str = "text",
     else:
         stats = vocabulary
     stats = stats.filter(F.col("idf") > 0).select("term", "idf", "mean_length")
+    if only_terms is not None and at_most(only_terms, BROADCAST_ROWS):
+        stats = F.broadcast(stats)  # no more rows than wanted terms
     return hits.join(stats, "term").select(
         *keys, "term", term_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")).alias("weight"))
 
@@ -155,7 +159,7 @@ def containing_documents(docs: DataFrame, passages: DataFrame, doc_key: str, pas
     inner = body.filter(F.size("w") >= 3).select(
         passage_key, F.explode(F.slice("w", F.lit(2), F.size("w") - 2)).alias("term")).distinct()
     wanted = inner.select("term").distinct()
-    doc_terms = docs.select(doc_key, F.explode(F.array_distinct(words)).alias("term")).join(
+    doc_terms = docs.select(doc_key, rows_of(F.array_distinct(words)).alias("term")).join(
         broadcast_if_small(wanted), "term", "left_semi")
     df = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     anchors = inner.join(df, "term", "left").groupBy(passage_key).agg(

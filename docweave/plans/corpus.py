@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docweave.functions import numbers, rules, web
-from docweave.functions.text import estimate_tokens
+from docweave.functions.text import estimate_tokens, rows_of
 from docweave.operators import chunking, duplicates
 from docweave.plans import sqlparts as s
 from docweave.plans.catalog import query
@@ -244,7 +244,7 @@ def number_mentions(t) -> DataFrame:
 @query("numeric_facts")
 def numeric_facts(t) -> DataFrame:
     """Facts with unit and metric named in every document."""
-    return t.documents.select("doc_id", F.explode(numbers.numeric_facts(F.col("text"))).alias("f")).select("doc_id", "f.metric", "f.unit", "f.value")
+    return t.documents.select("doc_id", rows_of(numbers.numeric_facts(F.col("text"))).alias("f")).filter(F.col("f").isNotNull()).select("doc_id", "f.metric", "f.unit", "f.value")
 
 
 @query("numeric_conflicts", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from docweave.functions.text import tokens
+from docweave.functions.text import rows_of, tokens
 from docweave.operators import context, dense, fusion, lexical
 from docweave.operators.chunking import chunk_documents, line_chunks
 from docweave.plans import sqlparts as s
@@ -421,8 +421,8 @@ def session_memory(t) -> DataFrame:
     """
     m = t.conversations.select("conv_id", "turn", "role", F.array_distinct(tokens(F.col("text"))).alias("w"))
     last = m.filter(F.col("role") == "user").groupBy("conv_id").agg(F.max_by("w", "turn").alias("w"), F.max("turn").alias("asked"))
-    asked = last.select("conv_id", "asked", F.explode("w").alias("term"))
-    memory = m.select("conv_id", "turn", F.size("w").alias("terms"), F.explode("w").alias("term"))
+    asked = last.select("conv_id", "asked", rows_of(F.col("w")).alias("term"))
+    memory = m.select("conv_id", "turn", F.size("w").alias("terms"), rows_of(F.col("w")).alias("term"))
     scored = memory.join(asked, ["conv_id", "term"]).filter(F.col("turn") < F.col("asked")).groupBy("conv_id", "turn").agg(
         F.round(F.count(F.lit(1)) / F.sqrt(F.first("terms")), 6).alias("score"))
     w = W.partitionBy("conv_id").orderBy(F.col("score").desc(), "turn")
