@@ -128,6 +128,94 @@ def _grid_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_key: str, k
     return _rank(found, k)
 
 
+def dense_top_k_cells(queries: DataFrame, chunks: DataFrame, k: int, query_key: str, key: str, vec_col: str = "embedding",
+                      cells: int = 64, probes: int = 4, exclude_self: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): exact k best for query tables that grow with the data.
+
+    Chunks are dealt to the nearest of ``cells`` centre vectors; a large cell is split into
+    blocks of about 4096 rows. Every query first visits its ``probes`` most promising cells.
+    Its k-th score so far then rules out every cell whose best possible score, centre score
+    plus query length times cell radius, is lower; only the rest are visited too. The tighter
+    the data is clustered, the fewer blocks meet. Centres and cell sizes are ``cells`` rows.
+    """
+    from docweave.session import cut_lineage
+
+    centre_rows = chunks.select(F.col(vec_col).alias("v")).orderBy(F.xxhash64(F.col(key))).limit(cells).collect()
+    if not centre_rows:
+        return _rank(queries.sparkSession.createDataFrame([], "query_id long, id long, score double"), k)
+    centres = np.vstack([np.asarray(r[0], dtype=np.float64) for r in centre_rows])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        half = (centres ** 2).sum(axis=1) / 2
+        for part in (p for b in batches for p in _slices(b, len(centres))):
+            m = _matrix(part["v"])
+            near = (m @ centres.T - half).argmax(axis=1)
+            gap = np.linalg.norm(m - centres[near], axis=1)
+            yield part.assign(cell=near, gap=gap)
+
+    vector = "array<float>"
+    placed = cut_lineage(chunks.select(F.col(key).cast("long").alias("id"), F.col(vec_col).cast(vector).alias("v")).mapInPandas(
+        place, f"id long, v {vector}, cell int, gap double"))
+    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()
+    blocks = {r["cell"]: _blocks(r["n"]) for r in stats}
+    radius = np.full(len(centres), -np.inf)
+    for r in stats:
+        radius[r["cell"]] = r["radius"]
+    sizes = queries.sparkSession.createDataFrame([(c, b) for c, b in blocks.items()], "cell int, blocks int")
+    q_blocks = _blocks(queries.count())
+    q = queries.select(F.col(query_key).cast("long").alias("q"), F.col(vec_col).cast(vector).alias("v"))
+    right = placed.join(F.broadcast(sizes), "cell").select(
+        "id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"))
+
+    def choose(known: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in (p for b in batches for p in _slices(b, len(centres))):
+                m = _matrix(part["v"])
+                middle = m @ centres.T
+                best = middle + np.linalg.norm(m, axis=1, keepdims=True) * radius + 1e-6
+                order = np.argsort(-np.where(np.isfinite(best), middle, -np.inf), axis=1, kind="stable")
+                first = np.zeros(best.shape, bool)
+                np.put_along_axis(first, order[:, :probes], True, axis=1)
+                first &= np.isfinite(best)
+                wanted = first
+                if known:
+                    wanted = ~first & np.isfinite(best) & (best >= part["floor"].to_numpy()[:, None])
+                yield pd.DataFrame({"q": part["q"], "v": part["v"], "cells": [np.flatnonzero(w).tolist() for w in wanted]})
+
+        return run
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            keys = b["id"].to_numpy()
+            for row, qid in zip(_matrix(a["v"]) @ _matrix(b["v"]).T, a["q"].to_numpy()):
+                keep = keys != qid if exclude_self else np.ones(len(keys), bool)
+                top = _best(row[keep], keys[keep], k)
+                out.append(pd.DataFrame({"query_id": qid, "id": keys[keep][top], "score": row[keep][top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    def visit(chosen: DataFrame) -> DataFrame:
+        left = chosen.select("q", "v", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell").select(
+            "q", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), salt_of(F.col("q"), buckets=q_blocks).alias("part"))
+        keys = ["cell", "block", "part"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, id long, score double")
+
+    routed = f"q long, v {vector}, cells array<int>"
+    seen = cut_lineage(_rank(visit(q.mapInPandas(choose(False), routed)), k).drop("rank"))
+    floor = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).select(
+        F.col("query_id").alias("q"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    again = q.join(floor, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    return _rank(seen.unionByName(visit(again.mapInPandas(choose(True), routed))), k)
+
+
+def unlike_existing(candidates: DataFrame, existing: DataFrame, key: str, existing_key: str, threshold: float = 0.92,
+                    vec_col: str = "embedding") -> DataFrame:
+    """Candidates whose best inner product with an existing vector stays under the threshold."""
+    best = dense_top_k(candidates, existing, 1, key, existing_key, vec_col)
+    return candidates.join(best.filter(F.col("score") >= threshold).select(F.col("query_id").alias(key)), key, "left_anti")
+
+
 def distinct_vectors(frame: DataFrame, key: str, vec_col: str = "embedding") -> DataFrame:
     """(id, embedding, copies): one row per distinct vector, led by its smallest key.
 

@@ -54,8 +54,9 @@ def corpus_totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def postings(docs: DataFrame, keys: list[str], text_col: str = "text",
-             only_terms: DataFrame | None = None) -> DataFrame:
-    """(keys, term, tf, length). ``only_terms`` prunes before anything is shuffled.
+             only_terms: DataFrame | None = None, few_terms: bool | None = None) -> DataFrame:
+    """(keys, term, tf, length). ``only_terms`` prunes before anything is shuffled; pass
+    ``few_terms`` when their number is already checked.
 
     Word rows are hashed on the document alone: counting words, adding up scores per
     question and document and taking norms then all happen where the rows lie.
@@ -64,7 +65,8 @@ def postings(docs: DataFrame, keys: list[str], text_col: str = "text",
     rows = words.select(*keys, F.size("words").cast("long").alias("length"), rows_of(F.col("words")).alias("term")).filter(
         F.col("term").isNotNull())
     if only_terms is not None:
-        rows = rows.join(broadcast_if_small(only_terms), "term", "left_semi")
+        few = at_most(only_terms, BROADCAST_ROWS) if few_terms is None else few_terms
+        rows = rows.join(F.broadcast(only_terms) if few else only_terms, "term", "left_semi")
     return rows.repartition(*keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
@@ -73,13 +75,16 @@ def query_terms(queries: DataFrame, query_key: str, text_col: str = "text") -> D
 
 
 def weighted_postings(docs: DataFrame, keys: list[str], text_col: str = "text",
-                      only_terms: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
+                      only_terms: DataFrame | None = None, vocabulary: DataFrame | None = None,
+                      few_terms: bool | None = None) -> DataFrame:
     """(keys, term, weight) with positive weights only.
 
     Without a saved vocabulary the document frequencies of the wanted terms are
     counted from the postings themselves.
     """
-    hits = postings(docs, keys, text_col, only_terms)
+    if only_terms is not None and few_terms is None:
+        few_terms = at_most(only_terms, BROADCAST_ROWS)
+    hits = postings(docs, keys, text_col, only_terms, few_terms)
     if vocabulary is None:
         totals = corpus_totals(docs, text_col)
         # reading the length too keeps both uses of the word rows on one shuffle
@@ -92,7 +97,7 @@ def weighted_postings(docs: DataFrame, keys: list[str], text_col: str = "text",
     else:
         stats = vocabulary
     stats = stats.filter(F.col("idf") > 0).select("term", "idf", "mean_length")
-    if only_terms is not None and at_most(only_terms, BROADCAST_ROWS):
+    if few_terms:
         stats = F.broadcast(stats)  # no more rows than wanted terms
     return hits.join(stats, "term").select(
         *keys, "term", term_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")).alias("weight"))
@@ -107,9 +112,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, keys: list[str], query_key:
     salted by document so that a term found in half of the corpus is spread out.
     """
     asked = query_terms(queries, query_key, text_col)
-    weights = weighted_postings(docs, keys, text_col, asked.select("term").distinct(), vocabulary)
-    small = broadcast_if_small(asked)
-    joined = weights.join(small, "term") if small is not asked else salted_join(weights, asked, ["term"], keys)
+    few = at_most(asked, BROADCAST_ROWS)
+    # few rows hold few distinct terms; many rows may still, so that is then checked by itself
+    weights = weighted_postings(docs, keys, text_col, asked.select("term").distinct(), vocabulary, few or None)
+    joined = weights.join(F.broadcast(asked), "term") if few else salted_join(weights, asked, ["term"], keys)
     return joined.groupBy(query_key, *keys).agg(F.sum("weight").alias("score"))
 
 

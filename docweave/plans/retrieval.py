@@ -108,6 +108,33 @@ def dense_topk(t) -> DataFrame:
     return top.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query("dense_topk_cells", f"""WITH {s.CHANNELS}
+SELECT query_id, document_id AS id, rank, round(score, 6) AS score FROM dense WHERE rank <= 5""")
+def dense_topk_cells(t) -> DataFrame:
+    """The same five neighbours by pruned cells, for query tables as large as the corpus."""
+    top = dense.dense_top_k_cells(t.embeddings, t.embeddings, 5, "vec_id", "vec_id", cells=16, exclude_self=True)
+    return top.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@query("semantic_duplicates", f"""WITH {s.VECTORS}, p AS (SELECT a.vec_id, b.vec_id AS similar_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT vec_id, similar_id, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, similar_id) AS rank FROM p WHERE score >= 0.35""")
+def semantic_duplicates(t) -> DataFrame:
+    """Vectors at or above a cosine of 0.35 with each vector, closest first."""
+    pairs = dense.similar_pairs(t.embeddings, "vec_id", 0.35, strict=False)
+    both = pairs.select(F.col("a").alias("vec_id"), F.col("b").alias("similar_id"), "score").unionByName(
+        pairs.select(F.col("b").alias("vec_id"), F.col("a").alias("similar_id"), "score"))
+    w = W.partitionBy("vec_id").orderBy(F.round("score", 6).desc(), "similar_id")
+    return both.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("score", F.round("score", 6))
+
+
+@query("new_syntheses", f"""WITH {s.VECTORS}, p AS (SELECT a.vec_id FROM v a JOIN v b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND list_inner_product(a.e, b.e) >= 0.3)
+SELECT vec_id, label FROM v WHERE vec_id % 2 = 0 AND vec_id NOT IN (SELECT vec_id FROM p)""")
+def new_syntheses(t) -> DataFrame:
+    """Even vectors without a close odd one: pages worth adding."""
+    even, odd = (t.embeddings.filter(F.col("vec_id") % 2 == r) for r in (0, 1))
+    return dense.unlike_existing(even, odd, "vec_id", "vec_id", 0.3).select("vec_id", "label")
+
+
 @query("self_similarity", f"""WITH {s.VECTORS},
 p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id)
 SELECT a, b, round(score, 6) AS score, 1::BIGINT AS copies_a, 1::BIGINT AS copies_b FROM p WHERE round(score, 6) > 0.3""")

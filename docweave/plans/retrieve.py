@@ -13,6 +13,7 @@ from docweave.functions.text import tokens
 from docweave.operators import context, fusion
 from docweave.operators.dense import dense_top_k
 from docweave.operators.lexical import bm25_top_k
+from docweave.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -92,6 +93,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig =
         pool = fusion.fold_table_rows(pool)
     pool = pool.join(questions.select("query_id", F.col("text").alias("question")), "query_id")
     hits = fusion.rerank(pool, scorer(F.col("question"), F.col("content")), config.k, config.rerank_window, config.min_score)
+    hits = cut_lineage(hits)  # k rows per question, read by every later step
     gate = context.relevance_gate(hits, config.gate).filter("passed").select("query_id")
     hits = hits.join(gate, "query_id", "left_semi").withColumn("score", F.col("rerank_score"))
     if config.expand:

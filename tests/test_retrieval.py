@@ -130,6 +130,16 @@ def test_dense_exact_in_both_routes(spark):
     assert set(rows(small, "query_id", "id")) == want == set(rows(large, "query_id", "id"))
 
 
+def test_cells_are_exact_on_clustered_data(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(8)
+    m = (rng.normal(size=(6, 8))[rng.integers(0, 6, 150)] + 0.05 * rng.normal(size=(150, 8))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, embedding array<float>").repartition(3)
+    want = {tuple(r) for r in dense.dense_top_k(df, df, 5, "id", "id").select("query_id", "id", "rank").collect()}
+    got = dense.dense_top_k_cells(df, df, 5, "id", "id", cells=8, probes=1)
+    assert {tuple(r) for r in got.select("query_id", "id", "rank").collect()} == want
+
+
 def test_similar_pairs_blocks_and_copies(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(40, 4)).astype(np.float32)
@@ -186,3 +196,11 @@ def test_chain_end_to_end(spark):
     out = retrieve(q, chunks, RetrievalConfig(k=2)).collect()
     assert {r["query_id"] for r in out} == {1} and out[0]["document_id"] in {"a", "b", "d", "e"}
     assert "a" in {r["document_id"] for r in out} and "c" not in {r["document_id"] for r in out}
+
+
+def test_table_refill_stays_in_budget(spark):
+    row = lambda i: f"| a |\n| {i} |"
+    chunks = spark.createDataFrame([("d", i, row(i), "") for i in range(6)], CHUNKS)
+    base = spark.createDataFrame([(1, "d", 2, 1, row(2))], "query_id int, document_id string, chunk_index int, rank int, content string")
+    out = context.table_refill(base, chunks, fusion.table_header(F.col("content")), budget_chars=4 * len(row(0)))
+    assert rows(out.orderBy("position"), "chunk_index") == [(0,), (1,), (3,)]
