@@ -301,13 +301,14 @@ def _point_grams(text: Column) -> Column:
 def trajectory_scores(runs: DataFrame, pass_at: float = 0.7) -> DataFrame:
     """Four rule scores per run, their mean and the verdict.
 
-    ``runs``: id, tools[], final_answer, expected_tools[], expected_points[], max_steps, require_all.
+    ``runs``: id, tools[], final_answer, expected_tools[], expected_points[], max_steps, require_all, and
+    n_steps where the tools come as a set instead of one entry per step.
     """
     wanted = F.filter(F.coalesce("expected_tools", F.array().cast("array<string>")), lambda x: x != "")
     hit = F.size(F.filter(wanted, lambda x: F.array_contains("tools", x)))
     share = hit / F.size(wanted)
     tool = F.when(F.size(wanted) == 0, 1.0).when(F.col("require_all"), (hit == F.size(wanted)).cast("double")).otherwise(share)
-    n, cap = F.size("tools"), F.col("max_steps")
+    n, cap = F.col("n_steps") if "n_steps" in runs.columns else F.size("tools"), F.col("max_steps")
     steps = (F.when(cap <= 0, 1.0).when(n == 0, 0.5).when(n <= cap, 1.0)
              .otherwise(F.greatest(F.lit(0.0), 1.0 - (n - cap) / cap)))
     points = F.filter(F.coalesce("expected_points", F.array().cast("array<string>")), lambda x: x != "")

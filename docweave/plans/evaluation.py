@@ -309,7 +309,9 @@ SELECT count(*) AS runs, round(avg(score), 4) AS traj_score, round(avg((score >=
   round(avg(hit / 2), 6) AS tool_selection, round(avg(steps), 4) AS step_efficiency FROM sc""")
 def trajectory_scores(t) -> DataFrame:
     """Every user day as a run of at most three steps that should view and purchase."""
-    runs = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_list("event_type").alias("tools")).select(
+    runs = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.collect_set("event_type").alias("tools"), F.count(F.lit(1)).alias("n_steps")).select(
+        "n_steps",
         F.concat_ws(":", "user_id", "day").alias("id"), "tools", F.lit("done").alias("final_answer"),
         F.array(F.lit("view"), F.lit("purchase")).alias("expected_tools"), F.array().cast("array<string>").alias("expected_points"),
         F.lit(3).alias("max_steps"), F.lit(False).alias("require_all"))
