@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import chat, counts, packing, quality
+from docweave.llm import bpe, chat, counts, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,9 @@ folded as (select conv_id, count(*)::bigint n_turns,
     sum(length('<turn >' || head || body || '</turn>' || chr(10)))::bigint formatted_chars from escaped group by conv_id)
 select conv_id, n_turns, sha256(told) turns_sha256, length(loss)::bigint loss_chars, sha256(loss) loss_sha256, formatted_chars from folded
 """
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded by the multilingual ranks and decoded again."""
+    return bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
