@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import bpe, chat, counts, packing, quality
+from docweave.llm import bpe, chat, counts, packing, quality, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,10 @@ select conv_id, n_turns, sha256(told) turns_sha256, length(loss)::bigint loss_ch
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded by the multilingual ranks and decoded again."""
     return bpe.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op3_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as shuffled shards of 2048-id records below the shared folder, a row per record."""
+    return shards.write_shards(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=50256,
+                               folder=shards.shared_folder(spark), per_shard=1024)
