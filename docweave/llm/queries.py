@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import bpe, chat, counts, packing, quality, shards
+from docweave.llm import ann, bpe, chat, counts, packing, quality, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,10 @@ def op3_training_order(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as shuffled shards of 2048-id records below the shared folder, a row per record."""
     return shards.write_shards(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=50256,
                                folder=shards.shared_folder(spark), per_shard=1024)
+
+
+@query
+def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 largest inner products of every vector whose id is divisible by 20, over all other vectors."""
+    vectors = table(spark, folder, "embeddings")
+    return ann.nearest_neighbours(vectors.filter(vectors["vec_id"] % 20 == 0), vectors, 20)
