@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import ann, bpe, chat, counts, packing, quality, shards
+from docweave.llm import ann, bpe, chat, counts, packing, quality, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,9 @@ def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 largest inner products of every vector whose id is divisible by 20, over all other vectors."""
     vectors = table(spark, folder, "embeddings")
     return ann.nearest_neighbours(vectors.filter(vectors["vec_id"] % 20 == 0), vectors, 20)
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document scored by its nearest labelled examples."""
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
