@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import ann, bpe, chat, counts, packing, quality, shards, toxicity
+from docweave.llm import ann, bpe, chat, counts, neardup, packing, quality, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document scored by its nearest labelled examples."""
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of all documents by sets of five-word shingles, similarity 0.8 or more."""
+    return neardup.near_duplicates(table(spark, folder, "documents"))
