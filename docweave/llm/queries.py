@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import ann, bpe, chat, counts, neardup, packing, quality, shards, toxicity
+from docweave.llm import ann, bpe, chat, counts, lines, neardup, packing, quality, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,9 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Classes of all documents by sets of five-word shingles, similarity 0.8 or more."""
     return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """For every document, its lines that repeat an earlier line up to two edits."""
+    return lines.line_report(table(spark, folder, "documents"))
