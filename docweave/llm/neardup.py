@@ -43,6 +43,8 @@ class Shape(NamedTuple):
 
 
 GROUP_BLOCK = 2048
+#: Bytes of text whose shingles are in memory at once; each word takes some hundred bytes meanwhile.
+SLICE_BYTES = 4_000_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 #: Shares of the Poisson law of mean 1, as thresholds of a 64-bit number.
 POISSON = np.minimum(np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)]) * 2.0 ** 64, 2.0 ** 64 - 4096).astype(np.uint64)
@@ -145,7 +147,7 @@ def _identity(doc: np.ndarray, value: np.ndarray, times: np.ndarray, n_docs: int
 def signatures(docs: DataFrame, shape: Shape, key: str, text: str) -> DataFrame:
     """(doc_id, rid, sig): identity and signature of each row's set of shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             doc, value, times = shingles(text_of(batch), shape.words)
             times = times if shape.weighted else np.ones_like(times)
             sig = dart_signatures(doc, value, times.astype(np.float64), len(batch), shape.size)
@@ -158,7 +160,7 @@ def signatures(docs: DataFrame, shape: Shape, key: str, text: str) -> DataFrame:
 def sets(docs: DataFrame, ids: DataFrame, shape: Shape, key: str, text: str) -> DataFrame:
     """(rid, hashes, times) of the sets whose first document is in ``ids`` (doc_id, rid)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             doc, value, times = shingles(text_of(batch), shape.words)
             times = times if shape.weighted else np.ones_like(times)
             at = np.searchsorted(doc, np.arange(len(batch) + 1)).tolist()
