@@ -264,3 +264,19 @@ def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id"
     shared = sizes.join(classes.filter("class_size > 1"), "root").select("rid", "class_id", "class_size")
     return salted_join(signed.select("doc_id", "rid"), shared, ["rid"], ["doc_id"], how="left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+
+
+def drop_near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class: that of the least id; all columns stay.
+
+    Only the ids of rows to drop meet the texts, broadcast while they are few. Rows without an
+    id stay; of repeated rows of one id and text one stays; an id any of whose texts goes, goes.
+    """
+    found = cut_lineage(near_duplicates(docs, shape, key, text))
+    gone = found.filter("doc_id != class_id").select("doc_id").distinct()
+    twice = cut_lineage(found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id").join(gone, "doc_id", "left_anti"))
+    key_ = docs[key].cast("long")
+    out = cut_lineage(gone.unionByName(twice))
+    left = docs.join(broadcast_if_small(out.withColumnRenamed("doc_id", "_id"), 2_000_000), key_ == F.col("_id"), "left_anti")
+    again = docs.join(broadcast_if_small(twice.withColumnRenamed("doc_id", "_id"), 2_000_000), key_ == F.col("_id"), "left_semi").dropDuplicates([key, text])
+    return left.unionByName(again)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from docweave.operators.sizing import salted_join
+from docweave.operators.sizing import BROADCAST_ROWS, at_most, salted_join
 from docweave.session import cut_lineage
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -95,6 +95,44 @@ def minimum_covariance(rows: DataFrame, group: str, key: str, features: list[str
         found = cut_lineage(estimates(inner, group, features, floors))
 
 
+RATES = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _keyed(docs: DataFrame, held: list[Column], text: str, lang: str, source: str) -> DataFrame:
+    return docs.select(*held, F.col(f"`{text}`").alias("text"), F.to_json(F.struct(F.col(f"`{lang}`").alias("l"))).alias("_lang"),
+                       F.to_json(F.struct(F.col(f"`{lang}`").alias("l"), F.col(f"`{source}`").alias("s"))).alias("_both"))
+
+
+def _features(rows: DataFrame, groups: DataFrame, spread: list[str]) -> DataFrame:
+    """``rows`` with what ``groups`` says of their language and source, and their transformed statistics."""
+    if at_most(groups, BROADCAST_ROWS):
+        joined = rows.join(F.broadcast(groups), "_both", "left")
+    else:
+        joined = salted_join(rows, groups, ["_both"], spread, how="left")
+    rate = {c: (F.col(c) + PRIOR_WORDS * F.col(f"r_{c}")) / (F.col("n_words") + PRIOR_WORDS) for c in RATES}
+    return joined.withColumns({"f_length": F.log(rate["word_chars"]), "f_symbols": F.log1p(10 * rate["n_symbols"]),
+                               "f_lines": F.log1p(100 * rate["n_dup_lines"]), "f_repeats": rate["n_repeat_words"]})
+
+
+def learn_rules(stats: DataFrame, least: int) -> DataFrame:
+    """A row for each language and source (``_both``): its group's rates r_*, and m_*, l_*_* and edge of the robust estimate, if any."""
+    good = stats.filter(~F.col("base_failed"))
+    sizes = good.groupBy("_lang", "_both").agg(F.count(F.lit(1)).alias("n"))
+    pools = sizes.withColumn("_pool", F.when(F.col("n") >= least, F.col("_both")).otherwise(F.col("_lang")))
+    pools = pools.withColumn("_n", F.sum("n").over(W.partitionBy("_pool"))).withColumn("_group", F.when(F.col("_n") >= least, F.col("_pool")).otherwise(F.lit("")))
+    pools = cut_lineage(pools.select("_both", "_group"))
+    sums = good.groupBy("_both").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"s_{c}") for c in ["n_words", *RATES]])
+    rated = sums.join(pools, "_both").groupBy("_group").agg(F.sum("_rows").alias("_rows"), *[(F.sum(f"s_{c}") / F.sum("s_n_words")).alias(f"r_{c}") for c in RATES])
+    groups = cut_lineage(pools.join(rated, "_group"))
+    rows = cut_lineage(_features(good, groups, ["_key"]).filter(F.col("_rows") >= least).select("_key", "_group", *FEATURES))
+    return cut_lineage(groups.join(minimum_covariance(rows, "_group", "_key", FEATURES, FLOORS), "_group", "left"))
+
+
+def _judged(stats: DataFrame, rules: DataFrame, cutoff: float) -> DataFrame:
+    far = _features(stats, rules, ["_key"]).withColumn("distance", distance(FEATURES) * CHI_SQUARE_75 / F.greatest(F.col("edge"), F.lit(CHI_SQUARE_75)))
+    return far.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
+
+
 def quality_rules(docs: DataFrame, cutoff: float = 45.0, least: int = 100, key: str = "doc_id", text: str = "text", lang: str = "lang",
                   source: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept), one row per row of ``docs``.
@@ -110,25 +148,21 @@ def quality_rules(docs: DataFrame, cutoff: float = 45.0, least: int = 100, key:
     Null texts are empty and fail; null languages and sources are groups of their own; repeated
     rows and keys each count; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.to_json(F.struct(F.col(lang).alias("l"))).alias("_lang"),
-                       F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s"))).alias("_both"))
-    stats = cut_lineage(text_statistics(rows).drop("text").withColumn("base_failed", base_failed()))
-    good = stats.filter(~F.col("base_failed"))
-    sizes = good.groupBy("_lang", "_both").agg(F.count(F.lit(1)).alias("n"))
-    pools = sizes.withColumn("_pool", F.when(F.col("n") >= least, F.col("_both")).otherwise(F.col("_lang")))
-    pools = pools.withColumn("_n", F.sum("n").over(W.partitionBy("_pool"))).withColumn("_group", F.when(F.col("_n") >= least, F.col("_pool")).otherwise(F.lit("")))
-    pools = cut_lineage(pools.select("_both", "_group"))
-    rated = good.join(pools, "_both").groupBy("_group").agg(
-        F.count(F.lit(1)).alias("_rows"), *[(F.sum(c) / F.sum("n_words")).alias(f"r_{c}") for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-    groups = cut_lineage(pools.join(rated, "_group"))
-    rate = {c: (F.col(c) + PRIOR_WORDS * F.col(f"r_{c}")) / (F.col("n_words") + PRIOR_WORDS) for c in ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    placed = salted_join(stats, groups, ["_both"], ["doc_id"], how="left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_group", "_rows",
-        F.log(rate["word_chars"]).alias("f_length"), F.log1p(10 * rate["n_symbols"]).alias("f_symbols"),
-        F.log1p(100 * rate["n_dup_lines"]).alias("f_lines"), rate["n_repeat_words"].alias("f_repeats"))
-    placed = cut_lineage(placed)
-    fit = minimum_covariance(placed.filter(~F.col("base_failed") & (F.col("_rows") >= least)), "_group", "doc_id", FEATURES, FLOORS)
-    far = salted_join(placed, fit, ["_group"], ["doc_id"], how="left")
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      (distance(FEATURES) * CHI_SQUARE_75 / F.greatest(F.col("edge"), F.lit(CHI_SQUARE_75))).alias("distance")).withColumn(
-        "kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
+    rows = _keyed(docs, [F.col(f"`{key}`").cast("long").alias("doc_id")], text, lang, source)
+    stats = cut_lineage(text_statistics(rows).drop("text").withColumn("base_failed", base_failed()).withColumn("_key", F.col("doc_id")))
+    return _judged(stats, learn_rules(stats, least), cutoff).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def drop_low_quality(docs: DataFrame, cutoff: float = 45.0, least: int = 100, key: str = "doc_id", text: str = "text", lang: str = "lang",
+                     source: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    The statistics are taken twice, to learn and to judge, so that no text is shuffled.
+    """
+    number = F.col(f"`{key}`").cast("long").alias("_key")
+    learnt = text_statistics(_keyed(docs, [number], text, lang, source)).drop("text").withColumn("base_failed", base_failed())
+    rules = learn_rules(cut_lineage(learnt), least)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = text_statistics(_keyed(docs, [number, whole], text, lang, source)).withColumn("base_failed", base_failed())
+    return _judged(rows, rules, cutoff).filter("kept").select("_row.*")
