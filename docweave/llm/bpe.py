@@ -120,7 +120,7 @@ def encode_decode(docs: DataFrame, ranks: str, key: str = "doc_id", text: str =
         coder = _coders[ranks]
         for batch in slices(batches):
             cut = units(text_of(batch))
-            parts = pre_tokens(cut.words, coder.find)
+            parts = pre_tokens(cut.words, coder.find, str)
             coded = coder.coded(parts.words)
             out = []
             for which in (0, 1):

@@ -34,7 +34,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, pattern: st
         for batch in slices(batches):
             texts = text_of(batch)
             cut = units(texts)
-            parts = pre_tokens(cut.words, coder.split)
+            parts = pre_tokens(cut.words, coder.split, coder.whole)
             pieces = np.array([len(x) // 4 for x in coder.encoded(parts.words)], np.int64)
             doc = np.repeat(np.arange(len(texts)), np.diff(cut.bounds))
             frequencies = pa.table({"doc": doc, "unit": cut.codes}).group_by(["doc", "unit"], use_threads=False).aggregate([([], "count_all")])

@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docweave.llm.tokens import encoded_texts, library_tokenizer, slices, text_of
+from docweave.llm.tokens import encoded_units, library_tokenizer, slices, taken_bytes, text_of, units
 from docweave.session import cut_lineage
 
 ROUNDS = 6
@@ -72,7 +72,8 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, fol
 
     The ids of the documents of a scan split, each ended by ``end_id``, make one stream, cut into
     sequences of ``length`` ids of two bytes; the last of a split is filled with ``end_id``. A first
-    pass counts the sequences of each split, so every sequence has a number; a keyed permutation of
+    pass counts the sequences of each split, so every sequence has a number, and keeps the ids of
+    the split's distinct units in a small file of ``folder``; a keyed permutation of
     the numbers is its slot. Slot s is record s % per_shard of shard s // per_shard, at the byte
     (s % per_shard) * 2 * length, so a reader seeks to any slot and goes on from there. Shards are
     dealt in exact ranges of slots; a task holds one sequence at a time and puts a finished shard in place by
@@ -86,13 +87,13 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, fol
     spark = docs.sparkSession
     place(folder)[0].create_dir(place(folder)[1], recursive=True)
     rows = docs.selectExpr(f"cast(`{key}` as long) doc_id", f"`{text}` text")
-    per_split = cut_lineage(rows.mapInArrow(_counter(tokenizer, pattern, lower, length), "split long, n long").groupBy("split").agg(F.sum("n").alias("n")))
+    per_split = cut_lineage(rows.mapInArrow(_counter(tokenizer, pattern, lower, length, folder), "split long, n long").groupBy("split").agg(F.sum("n").alias("n")))
     counted = {r["split"]: r["n"] for r in per_split.collect()}  # a number for each scan split, none for documents
     first, size = {}, 0
     for split in sorted(counted):
         first[split], size = size, size + counted[split]
     starts = spark.sparkContext.broadcast((first, counted, size))
-    pieces = rows.mapInArrow(_cutter(tokenizer, pattern, lower, length, end_id, starts, seed), f"slot long, sequence long, n_tokens long, payload binary, documents {SPANS}")
+    pieces = rows.mapInArrow(_cutter(folder, length, end_id, starts, seed), f"slot long, sequence long, n_tokens long, payload binary, documents {SPANS}")
     shards = max(1, -(-size // per_shard))
     ranges = min(shards, MOST_RANGES)
     shard = F.floor(F.col("slot") / per_shard).cast("long")
@@ -100,22 +101,42 @@ def write_shards(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, fol
     return dealt.mapInArrow(_writer(folder, length, per_shard), SCHEMA)
 
 
-def _ids(batches: Iterator[pa.RecordBatch], tokenizer: str, pattern: str, lower: bool):
-    coder = library_tokenizer(tokenizer, pattern, lower)
-    for batch in slices(batches):
-        data, starts = encoded_texts(text_of(batch), coder)
-        yield batch, np.frombuffer(data, "<u4"), starts // 4
+COUNTED = pa.schema([("ids", pa.large_binary())])
 
 
-def _counter(tokenizer: str, pattern: str, lower: bool, length: int):
+def _counter(tokenizer: str, pattern: str, lower: bool, length: int, folder: str):
+    """Counts the sequences of a split and leaves the ids of its units, slice by slice, in a file for the second pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(int(starts[-1]) + len(batch) for batch, _, starts in _ids(batches, tokenizer, pattern, lower))
-        yield pa.RecordBatch.from_pydict({"split": [TaskContext.get().partitionId()], "n": [-(-total // length)]})
+        coder = library_tokenizer(tokenizer, pattern, lower)
+        if coder.tokenizer.get_vocab_size() > 2 ** 16:
+            raise ValueError("ids of two bytes need a vocabulary of at most 65,536")
+        split, total, (store, top) = TaskContext.get().partitionId(), 0, place(folder)
+        name = f"{top}/units-{split:08d}"
+        part = f"{name}.{TaskContext.get().taskAttemptId()}.part"
+        with store.open_output_stream(part) as out, pa.ipc.new_file(out, COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as held:
+            for batch in slices(batches):
+                cut = units(text_of(batch))
+                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in encoded_units(cut.words, coder)]
+                held.write_batch(pa.record_batch([pa.array(ids, pa.large_binary())], schema=COUNTED))
+                total += int(np.array([len(x) // 2 for x in ids], np.int64)[cut.codes].sum()) + len(batch)
+        store.move(part, f"{name}.arrow")
+        yield pa.RecordBatch.from_pydict({"split": [split], "n": [-(-total // length)]})
 
     return run
 
 
-def _cutter(tokenizer: str, pattern: str, lower: bool, length: int, end_id: int, starts, seed: int):
+def _ids(batches: Iterator[pa.RecordBatch], folder: str):
+    """(batch, its ids, where each text's begin) from the file of the first pass."""
+    store, top = place(folder)
+    with store.open_input_file(f"{top}/units-{TaskContext.get().partitionId():08d}.arrow") as f:
+        held = pa.ipc.open_file(f)
+        for i, batch in enumerate(slices(batches)):
+            cut = units(text_of(batch), named=False)
+            data, starts = taken_bytes(held.get_batch(i)["ids"], cut.codes)
+            yield batch, np.frombuffer(data, "<u2"), starts[cut.bounds] // 2
+
+
+def _cutter(folder: str, length: int, end_id: int, starts, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, counted, size = starts.value
         split = TaskContext.get().partitionId()
@@ -131,7 +152,7 @@ def _cutter(tokenizer: str, pattern: str, lower: bool, length: int, end_id: int,
                  pa.array(documents, pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])))],
                 names=["slot", "sequence", "n_tokens", "payload", "documents"])
 
-        for batch, ids, bounds in _ids(batches, tokenizer, pattern, lower):
+        for batch, ids, bounds in _ids(batches, folder):
             n = np.diff(bounds) + 1
             ends = np.cumsum(n)
             stream = np.full(int(n.sum()), end_id, "<u2")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from struct import pack
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +22,7 @@ IRREGULAR = r"[\pZ\x00-\x20\x{85}] "
 #: Units of these characters mean the same to Python's patterns and the libraries'.
 PLAIN = regex.compile(r"[ \n!-~¡-ÿ]*")
 #: Pre-tokens a worker remembers between batches.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 class Units(NamedTuple):
@@ -49,7 +50,8 @@ def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(batch[column].cast(pa.large_string()), "")
 
 
-def units(texts: pa.Array) -> Units:
+def units(texts: pa.Array, named: bool = True) -> Units:
+    """The units of each text; without ``named`` only their codes, which are the same for the same texts."""
     odd = pc.match_substring_regex(texts, IRREGULAR)
     cut = pc.split_pattern(pc.if_else(odd, pa.scalar("", pa.large_string()), texts), " ")
     bounds = cut.offsets.to_numpy().astype(np.int64)
@@ -62,10 +64,12 @@ def units(texts: pa.Array) -> Units:
     kept = np.flatnonzero(used)
     places = np.cumsum(used) - 1
     codes = places[keys]
-    bare = coded.dictionary.to_pylist()
-    words = [" " + bare[k >> 1] if k & 1 else bare[k >> 1] for k in kept.tolist()]
     whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-    codes[bounds[whole]] = len(words) + np.arange(len(whole))
+    codes[bounds[whole]] = len(kept) + np.arange(len(whole))
+    if not named:
+        return Units(codes, bounds, [])
+    spaces = pa.array(["", " "], pa.large_string()).take(pa.array(kept & 1))
+    words = pc.binary_join_element_wise(spaces, coded.dictionary.take(pa.array(kept >> 1)), pa.scalar("", pa.large_string())).to_pylist()
     words += texts.take(pa.array(whole)).to_pylist()
     return Units(codes, bounds, words)
 
@@ -78,11 +82,15 @@ class Pieces(NamedTuple):
     words: list
 
 
-def pre_tokens(words: list[str], split: Callable[[str], list]) -> Pieces:
-    """``split`` gives the pre-tokens of one unit; every distinct one is kept once."""
+def pre_tokens(words: list[str], split: Callable[[str], list], whole: Callable[[str], str] | None = None) -> Pieces:
+    """``split`` gives the pre-tokens of one unit, ``whole`` that of a unit of ASCII letters; every distinct one is kept once."""
     place: dict = {}
     codes, sizes = [], []
     for word in words:
+        if whole is not None and word.isascii() and word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            sizes.append(1)
+            codes.append(place.setdefault(whole(word), len(place)))
+            continue
         parts = split(word)
         sizes.append(len(parts))
         codes += [place.setdefault(p, len(place)) for p in parts]
@@ -99,7 +107,11 @@ def spread(bounds: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def joined(values: list[bytes], codes: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """The values of the codes one after the other, and where each starts and the last ends."""
-    taken = pa.array(values, pa.large_binary()).take(pa.array(codes))
+    return taken_bytes(pa.array(values, pa.large_binary()), codes)
+
+
+def taken_bytes(values: pa.Array, codes: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    taken = values.take(pa.array(codes))
     if not len(taken):
         return memoryview(b""), np.zeros(1, np.int64)
     offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset:taken.offset + len(taken) + 1]
@@ -138,10 +150,17 @@ class LibraryTokenizer:
             return [(unit,)]
         return self.find(unit.lower() if self.lower else unit)
 
+    def whole(self, unit: str) -> str:
+        """The one pre-token of a unit of ASCII letters; the word pattern drops the space."""
+        return unit.lstrip(" ").lower() if self.lower else unit
+
     def ids(self, pre_token) -> list[int]:
         if isinstance(pre_token, tuple):
             return self.tokenizer.encode(pre_token[0], add_special_tokens=False).ids
-        text = pre_token if pre_token.isascii() and pre_token.isalpha() else pre_token.encode().decode("latin-1").translate(BYTE_TABLE)
+        if pre_token.isascii() and pre_token[1:].isalpha():
+            text = BYTE_CHARS[ord(pre_token[0])] + pre_token[1:]
+        else:
+            text = pre_token.encode().decode("latin-1").translate(BYTE_TABLE)
         return [t.id for t in self.model.tokenize(text)]
 
     def encoded(self, pre_tokens: list) -> list[bytes]:
@@ -152,7 +171,8 @@ class LibraryTokenizer:
         for p in pre_tokens:
             held = known.get(p)
             if held is None:
-                held = np.array(self.ids(p), "<u4").tobytes()
+                ids = self.ids(p)
+                held = pack(f"<{len(ids)}I", *ids)
                 known[p] = held
             out.append(held)
         return out
@@ -170,11 +190,15 @@ def library_tokenizer(path: str, pattern: str, lower: bool) -> LibraryTokenizer:
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def encoded_units(words: list[str], coder: LibraryTokenizer) -> list[bytes]:
+    """Ids (4 bytes each) of each unit."""
+    parts = pre_tokens(words, coder.split, coder.whole)
+    flat, at = joined(coder.encoded(parts.words), parts.codes)
+    return [bytes(flat[a:b]) for a, b in zip(at[parts.bounds[:-1]].tolist(), at[parts.bounds[1:]].tolist())]
+
+
 def encoded_texts(texts: pa.Array, coder: LibraryTokenizer) -> tuple[memoryview, np.ndarray]:
     """Ids (4 bytes each) of all texts one after the other, and the byte where each text starts."""
     cut = units(texts)
-    parts = pre_tokens(cut.words, coder.split)
-    flat, at = joined(coder.encoded(parts.words), parts.codes)
-    of_unit = [bytes(flat[a:b]) for a, b in zip(at[parts.bounds[:-1]].tolist(), at[parts.bounds[1:]].tolist())]
-    data, starts = joined(of_unit, cut.codes)
+    data, starts = joined(encoded_units(cut.words, coder), cut.codes)
     return data, starts[cut.bounds]
