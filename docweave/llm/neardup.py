@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from docweave.llm.links import components
-from docweave.llm.tokens import slices, text_of
+from docweave.llm.tokens import slices, spread, text_of
 from docweave.operators.sizing import broadcast_if_small, salted_join
 from docweave.session import cut_lineage
 
@@ -200,20 +200,42 @@ def checked(pairs: DataFrame, held: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _across(shape: Shape):
-    """Pairs of one bucket (or of two blocks of it) that are in different components and plausibly alike."""
+    """Links in one bucket (or between two blocks of it) that join different components.
+
+    Each pair is looked at in the first band that it shares, and only while its members are in
+    different components; plausible ones are checked on the whole sets, counted for one member at a time.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rid", ignore_index=True)
         sig = np.stack([np.frombuffer(s, "<u2") for s in pdf["sig"]])
         _, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
-        block, i, j = pdf["block"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
+        block, i, j, band, rid = pdf["block"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["band"].iloc[0], pdf["rid"].to_numpy()
+        sets_ = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
+        times = [np.frombuffer(t, "<u4").astype(np.int64) if shape.weighted else np.ones(len(h), np.int64) for t, h in zip(pdf["times"], sets_)]
+        names, code = np.unique(np.concatenate(sets_), return_inverse=True)
+        count, bounds = np.concatenate(times), np.concatenate([[0], np.cumsum([len(h) for h in sets_])])
+        total = np.array([t.sum() for t in times])
+        mine = np.zeros(len(names), np.int64)
         rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        rid = pdf["rid"].to_numpy()
         a, b = [], []
         for at in rows.tolist():
-            other = cols[(root[cols] != root[at]) & ((cols > at) if i == j else True)]
-            other = other[(sig[other] == sig[at]).sum(axis=1) >= shape.plausible * shape.size]
-            a += [rid[at]] * len(other)
-            b += rid[other].tolist()
+            near = np.minimum(total[cols], total[at]) >= shape.similarity * np.maximum(total[cols], total[at]) - 1e-9
+            other = cols[near & (root[cols] != root[at]) & ((cols > at) if i == j else True)]
+            same = sig[other] == sig[at]
+            first = same.reshape(len(other), shape.bands, shape.rows).all(axis=2).argmax(axis=1)
+            other = other[(same.sum(axis=1) >= shape.plausible * shape.size) & (first == band)]
+            if not len(other):
+                continue
+            own = slice(bounds[at], bounds[at + 1])
+            mine[code[own]] = count[own]
+            owner, member = spread(bounds, other)
+            both = np.bincount(owner, weights=np.minimum(mine[code[member]], count[member]), minlength=len(other))
+            mine[code[own]] = 0
+            for o in other[both >= shape.similarity * (total[other] + total[at] - both) - 1e-9].tolist():
+                if root[o] != root[at]:
+                    a.append(rid[at])
+                    b.append(rid[o])
+                    root[root == root[o]] = root[at]
         return pd.DataFrame({"a": a, "b": b})
 
     return run
@@ -227,8 +249,8 @@ def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id"
     about 1 in 10,000) and every one is checked on the whole sets. Equal sets are one node from
     the start. In each bucket of a band, members are first compared with the one most often met
     in large buckets, then whatever pairs of the bucket are still in different components are
-    compared by signature, in blocks, and the plausible ones exactly; no pair within a
-    component is built, so a large group of copies costs its members, not their square.
+    compared by signature, in blocks within a task, and the plausible ones exactly. Rows are members and
+    links that join components, never pairs, so a large group of copies costs its members, not their square.
 
     Words are separated by blank and ASCII white space. Texts of fewer than ``shape.words`` words are one shingle; texts
     without words (also null) are copies of each other. Null ids stay null, name no class, and
@@ -239,8 +261,8 @@ def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id"
     copies = signed.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
     copies = cut_lineage(copies)
     width = 2 * shape.rows
-    spots = F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(shape.bands)]))
-    rows = copies.select("rid", spots.alias("bucket"))
+    spots = F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(shape.bands)]))
+    rows = copies.select("rid", spots.alias("band", "bucket"))
     buckets = cut_lineage(rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket"))).filter("n > 1"))
     met = buckets.groupBy("rid").agg(F.sum("n").alias("met"))
     lead = buckets.join(met, "rid").groupBy("bucket").agg(F.max(F.struct("met", "rid"))["rid"].alias("lead"))
@@ -252,12 +274,12 @@ def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id"
     rooted = components(links)
     labelled = buckets.join(rooted.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("bucket")
-    open_ = labelled.join(mixed, "bucket").join(copies.select("rid", "sig"), "rid")
+    open_ = labelled.join(mixed, "bucket").join(copies.select("rid", "sig"), "rid").join(held, "rid")
     blocks = F.ceil(F.col("n") / GROUP_BLOCK).cast("int")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("rid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
         "i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rest = open_.groupBy("bucket", "i", "j").applyInPandas(_across(shape), "a binary, b binary").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(checked(rest, held, shape))
+    rest = open_.groupBy("bucket", "i", "j").applyInPandas(_across(shape), "a binary, b binary")
+    links = links.unionByName(rest)
     rooted = components(links)
     sizes = copies.select("rid", "doc_id", "n").join(rooted.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     classes = sizes.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("m"))
