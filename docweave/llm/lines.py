@@ -29,6 +29,8 @@ class Rule(NamedTuple):
 
 #: Code points hashed at once, cells of a verification, members of a bucket compared in one task.
 POINTS, CELLS, GROUP_BLOCK = 4_000_000, 8_000_000, 2048
+#: Candidate pairs of a bucket that are verified together.
+PAIRS = 20_000
 TRIM = "\t\n\x0b\x0c\r "
 _powers: dict = {}
 
@@ -94,54 +96,61 @@ def segment_rows(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(place), np.concatenate(keys), np.concatenate(probes)
 
 
-def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
-    """True for each pair whose edit distance is at most ``edits``.
+def points_of(line: str) -> np.ndarray:
+    """Code points, from 1 on."""
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+
+
+def within(codes: list[np.ndarray], left: np.ndarray, right: np.ndarray, edits: int) -> np.ndarray:
+    """True for each pair of places in ``codes`` whose edit distance is at most ``edits``.
 
     Bit o of state d says that d edits reach the diagonal o - edits; a band of 2 x edits + 1
     diagonals is all that matters, so a pair takes one small word per state, and many pairs step
-    through their characters together.
+    through their characters together until they end or no state is left.
     """
-    out = np.zeros(len(left), bool)
-    n, m = np.array([len(x) for x in right], np.int64), np.array([len(x) for x in left], np.int64)
-    near = np.flatnonzero(np.abs(n - m) <= edits)
-    near = near[np.argsort(n[near], kind="stable")]
-    band, kind = 2 * edits + 1, np.uint64
-    lo = 0
+    out, size = np.zeros(len(left), bool), np.array([len(x) for x in codes], np.int64)
+    band, one = 2 * edits + 1, np.uint64(1)
+    near = np.flatnonzero(np.abs(size[left] - size[right]) <= edits)
+    near = near[np.argsort(size[right[near]], kind="stable")]
+    full, lo = np.uint64((1 << band) - 1), 0
     while lo < len(near):
-        widest = int(n[near[lo]]) + band
-        hi = min(len(near), lo + max(1, CELLS // widest))
-        while hi > lo + 1 and int(n[near[hi - 1]]) + band > 2 * widest:
+        hi = min(len(near), lo + max(1, CELLS // int(size[right[near[lo]]] + band)))
+        while hi > lo + 1 and int(size[right[near[hi - 1]]]) > 2 * int(size[right[near[lo]]]) + 64:
             hi = lo + max(1, (hi - lo) // 2)
         some = near[lo:hi]
         lo = hi
-        width = int(n[some[-1]])
-        text, pattern = np.zeros((width, len(some)), np.uint32), np.zeros((width + 2 * band, len(some)), np.uint32)
-        for c, p in enumerate(some.tolist()):
-            text[:n[p], c] = np.frombuffer(right[p].encode("utf-32-le", "surrogatepass"), np.uint32) + 1
-            pattern[edits:edits + m[p], c] = np.frombuffer(left[p].encode("utf-32-le", "surrogatepass"), np.uint32) + 1
-        state = [np.full(len(some), sum(1 << (edits + x) for x in range(d + 1)), kind) for d in range(edits + 1)]
-        full, ends = kind((1 << band) - 1), n[some]
+        used, place = np.unique(np.concatenate([left[some], right[some]]), return_inverse=True)
+        width = int(size[used].max()) + 1
+        table = np.zeros((len(used), edits + width + band), np.uint32)
+        for row, k in enumerate(used.tolist()):
+            table[row, edits:edits + size[k]] = codes[k]
+        table = np.ascontiguousarray(table.T)
+        a, b, ends = place[:len(some)], place[len(some):], size[right[some]]
+        state = [np.full(len(some), sum(1 << (edits + x) for x in range(d + 1)), np.uint64) for d in range(edits + 1)]
+        live = np.arange(len(some))
         for j in range(width):
-            match = np.zeros(len(some), kind)
+            ended = ends == j
+            if ended.any() or j % 16 == 15:
+                shift = (edits + size[left[some[live[ended]]]] - j).astype(np.uint64)
+                out[some[live[ended]]] = (state[edits][ended] >> shift) & one == one
+                on = ~ended & (state[edits] != 0)
+                a, b, ends, live, state = a[on], b[on], ends[on], live[on], [x[on] for x in state]
+            if not len(live):
+                break
+            text, match = table[edits + j][b], np.zeros(len(live), np.uint64)
             for o in range(band):
-                match |= (pattern[j + o] == text[j]).astype(kind) << kind(o)
+                match |= (table[j + o][a] == text).astype(np.uint64) << np.uint64(o)
             new = [state[0] & match]
             for d in range(1, edits + 1):
-                new.append(((state[d] & match) | state[d - 1] | (state[d - 1] >> kind(1)) | (new[d - 1] << kind(1))) & full)
-            open_ = j < ends
-            state = [np.where(open_, a, b) for a, b in zip(new, state)]
-            if not state[edits].any():
-                break
-        out[some] = (state[edits] >> (edits + m[some] - n[some]).astype(kind)) & kind(1) == 1
+                new.append(((state[d] & match) | state[d - 1] | (state[d - 1] >> one) | (new[d - 1] << one)) & full)
+            state = new
     return out
 
 
-def bags(lines: list[str]) -> np.ndarray:
+def bags(codes: list[np.ndarray]) -> np.ndarray:
     """Counts of characters in 32 classes: lines within k edits differ by 2k at most."""
-    out = np.zeros((len(lines), 32), np.int32)
-    for i, x in enumerate(lines):
-        out[i] = np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 32, minlength=32)
-    return out
+    owner = np.repeat(np.arange(len(codes)), [len(x) for x in codes])
+    return np.bincount(owner * 32 + np.concatenate(codes) % 32, minlength=32 * len(codes)).reshape(-1, 32).astype(np.int32)
 
 
 def _ids(lines: list[str]) -> tuple[np.ndarray, list[bytes]]:
@@ -198,7 +207,8 @@ def checked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The links (a, b) among ``pairs`` (a, b, short hashes), as lids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = within(batch["x"].to_pylist(), batch["y"].to_pylist(), rule.edits)
+            n = len(batch)
+            ok = within([points_of(x) for c in ("x", "y") for x in batch[c].to_pylist()], np.arange(n), np.arange(n, 2 * n), rule.edits)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     left = texts.select(F.col("id").alias("ia"), F.col("lid").alias("a"), F.col("text").alias("x"))
@@ -212,19 +222,31 @@ def _across(rule: Rule):
         pdf = pdf.drop_duplicates(["lid", "block"]).sort_values("lid", ignore_index=True)
         _, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
         block, i, j, lines, lid = pdf["block"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["text"].tolist(), pdf["lid"].to_numpy()
-        bag, size = bags(lines), np.array([len(x) for x in lines])
+        codes = [points_of(x) for x in lines]
+        bag, size = bags(codes), np.array([len(x) for x in lines])
         rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for at in rows.tolist():
-            other = cols[(root[cols] != root[at]) & (np.abs(size[cols] - size[at]) <= rule.edits) & ((cols > at) if i == j else True)]
-            other = other[np.abs(bag[other] - bag[at]).sum(axis=1) <= 2 * rule.edits]
-            if len(other):
-                other = other[within([lines[at]] * len(other), [lines[o] for o in other.tolist()], rule.edits)]
-                for o in other.tolist():
+        a, b, left, right, waiting = [], [], [], [], 0
+
+        def join() -> None:
+            if waiting:
+                x, y = np.concatenate(left), np.concatenate(right)
+                ok = within(codes, x, y, rule.edits)
+                for at, o in zip(x[ok].tolist(), y[ok].tolist()):
                     if root[o] != root[at]:
                         a.append(lid[at])
                         b.append(lid[o])
                         root[root == root[o]] = root[at]
+
+        for at in rows.tolist():
+            other = cols[(root[cols] != root[at]) & (np.abs(size[cols] - size[at]) <= rule.edits) & ((cols > at) if i == j else True)]
+            other = other[np.abs(bag[other] - bag[at]).sum(axis=1) <= 2 * rule.edits]
+            left.append(np.full(len(other), at))
+            right.append(other)
+            waiting += len(other)
+            if waiting >= PAIRS:
+                join()
+                left, right, waiting = [], [], 0
+        join()
         return pd.DataFrame({"a": a, "b": b})
 
     return run
