@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,7 +24,8 @@ class Settings(NamedTuple):
     """``examples``: labelled rows at most, taken by the hash of their id; ``terms``: selected terms at most.
 
     A term is selected if at least ``least`` and ``support`` of the toxic examples have it, most
-    examples that have it are toxic, and its chi-square is at least ``chi_square``.
+    examples that have it are toxic, and its chi-square is beyond what the best of all terms would
+    reach by luck with probability ``chance``.
     ``neighbours`` vote with the square of their cosine; ``doubt`` is the weight of the vote of
     texts without any selected term.
     """
@@ -32,7 +34,7 @@ class Settings(NamedTuple):
     terms: int = 512
     least: int = 3
     support: float = 0.01
-    chi_square: float = 15.0
+    chance: float = 0.05
     neighbours: int = 10
     doubt: float = 0.5
     threshold: float = 0.3
@@ -109,7 +111,8 @@ def select_terms(rows: DataFrame, settings: Settings) -> tuple[list[str], int, i
     found = rows.mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     a, b, c, d = F.col("n1").cast("double"), F.col("n0").cast("double"), all1 - F.col("n1"), all0 - F.col("n0")
     chi = (all0 + all1) * (a * d - b * c) ** 2 / F.greatest((a + b) * (c + d) * float(max(1, all0)) * float(max(1, all1)), F.lit(1.0))
-    kept = found.filter(F.col("n1") >= max(settings.least, settings.support * all1)).filter("n1 > n0").withColumn("chi", chi).filter(F.col("chi") >= settings.chi_square)
+    luck = 2 * math.log(max(1, found.count()) / settings.chance)
+    kept = found.filter(F.col("n1") >= max(settings.least, settings.support * all1)).filter("n1 > n0").withColumn("chi", chi).filter(F.col("chi") >= luck)
     return [r["term"] for r in kept.orderBy(F.col("chi").desc(), "term").limit(settings.terms).collect()], all1, all0
 
 
@@ -156,9 +159,9 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), k
     v = np.array([r["v"] for r in held], np.float64).reshape(len(held), len(terms))
     order = np.lexsort((np.arange(len(v)), v.argmax(axis=1))) if len(v) else np.arange(0)
     ids, toxic, v = np.array([r["doc_id"] for r in held], np.int64)[order], toxic[order], v[order]
-    most = np.array([v[i:i + BLOCK].max(axis=0) for i in range(0, len(v), BLOCK)]).reshape(-1, len(terms))
+    most = np.array([v[i:i + BLOCK].max(axis=0) for i in range(0, len(v), BLOCK)]) if len(v) else np.zeros((0, len(terms)))
     empty1, empty0 = n1 - int(toxic.sum()), n0 - int((1 - toxic).sum())
-    return Index(terms, idf, ids, toxic, v, most, (empty1 + 0.5 * (n1 + 1) / (n1 + n0 + 2)) / (empty1 + empty0 + 0.5))
+    return Index(terms, idf, ids, toxic, v, most, (empty1 + 0.5 * n1 / max(1, n1 + n0)) / (empty1 + empty0 + 0.5))
 
 
 def nearest(index: Index, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
