@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -116,9 +117,9 @@ def _counter(tokenizer: str, pattern: str, lower: bool, length: int, folder: str
         with store.open_output_stream(part) as out, pa.ipc.new_file(out, COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as held:
             for batch in slices(batches):
                 cut = units(text_of(batch))
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in encoded_units(cut.words, coder)]
-                held.write_batch(pa.record_batch([pa.array(ids, pa.large_binary())], schema=COUNTED))
-                total += int(np.array([len(x) // 2 for x in ids], np.int64)[cut.codes].sum()) + len(batch)
+                ids = encoded_units(cut.words, coder, "<u2")
+                held.write_batch(pa.record_batch([ids], schema=COUNTED))
+                total += int(pc.binary_length(ids).to_numpy()[cut.codes].sum()) // 2 + len(batch)
         store.move(part, f"{name}.arrow")
         yield pa.RecordBatch.from_pydict({"split": [split], "n": [-(-total // length)]})
 

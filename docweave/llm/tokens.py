@@ -190,15 +190,17 @@ def library_tokenizer(path: str, pattern: str, lower: bool) -> LibraryTokenizer:
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def encoded_units(words: list[str], coder: LibraryTokenizer) -> list[bytes]:
-    """Ids (4 bytes each) of each unit."""
+def encoded_units(words: list[str], coder: LibraryTokenizer, kind: str = "<u4") -> pa.Array:
+    """Ids of each unit as binary values of integers of ``kind``."""
     parts = pre_tokens(words, coder.split, coder.whole)
     flat, at = joined(coder.encoded(parts.words), parts.codes)
-    return [bytes(flat[a:b]) for a, b in zip(at[parts.bounds[:-1]].tolist(), at[parts.bounds[1:]].tolist())]
+    ids = np.ascontiguousarray(np.frombuffer(flat, "<u4", at[-1] // 4).astype(kind, copy=False))
+    offsets = np.ascontiguousarray(at[parts.bounds] // 4 * ids.itemsize)
+    return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
 
 def encoded_texts(texts: pa.Array, coder: LibraryTokenizer) -> tuple[memoryview, np.ndarray]:
     """Ids (4 bytes each) of all texts one after the other, and the byte where each text starts."""
     cut = units(texts)
-    data, starts = joined(encoded_units(cut.words, coder), cut.codes)
+    data, starts = taken_bytes(encoded_units(cut.words, coder), cut.codes)
     return data, starts[cut.bounds]
