@@ -28,7 +28,9 @@ class Rule(NamedTuple):
 
 
 #: Code points hashed at once, cells of a verification, members of a bucket compared in one task.
-POINTS, CELLS, GROUP_BLOCK = 4_000_000, 8_000_000, 2048
+POINTS, CELLS, GROUP_BLOCK = 1_000_000, 2_000_000, 2048
+#: Bytes of text whose lines are in memory at once.
+SLICE_BYTES = 8_000_000
 #: Candidate pairs of a bucket that are verified together.
 PAIRS = 20_000
 TRIM = "\t\n\x0b\x0c\r "
@@ -161,7 +163,7 @@ def _ids(lines: list[str]) -> tuple[np.ndarray, list[bytes]]:
 def line_rows(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
     """(doc_id, line, lid): the lines that count; equal lines share a 16-byte lid."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             doc, number, place, lines = distinct_lines(text_of(batch), rule)
             lids = pa.array(_ids(lines)[1], pa.binary()).take(pa.array(place))
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(doc)), pa.array(number.astype(np.int32)), lids], names=["doc_id", "line", "lid"])
@@ -172,7 +174,7 @@ def line_rows(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
 def segment_table(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
     """(key, id, probe): index and probe rows of the lines long enough to differ; id is an 8-byte hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             _, _, _, lines = distinct_lines(text_of(batch), rule)
             lines = [x for x in lines if len(x) >= rule.chars]
             ids, _ = _ids(lines)
@@ -181,8 +183,8 @@ def segment_table(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
             while lo < len(lines):
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + POINTS, "right")))
                 place, keys, probes = segment_rows(lines[lo:hi], rule.edits)
-                for s in range(0, len(keys), 500_000):
-                    part = slice(s, s + 500_000)
+                for s in range(0, len(keys), 100_000):
+                    part = slice(s, s + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[part].astype(np.int64)), pa.array(ids[lo:hi][place[part]]), pa.array(probes[part])], names=["key", "id", "probe"])
                 lo = hi
 
@@ -192,7 +194,7 @@ def segment_table(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
 def line_texts(docs: DataFrame, ids: DataFrame, rule: Rule, text: str) -> DataFrame:
     """(id, lid, line): the distinct lines whose short hash is in ``ids``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE_BYTES):
             _, _, _, lines = distinct_lines(text_of(batch), rule)
             lines = [x for x in lines if len(x) >= rule.chars]
             short, lids = _ids(lines)
