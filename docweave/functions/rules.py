@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docweave.functions.text import rows_of
+from docweave.operators.sizing import broadcast_if_small
 
 # fixed values: keywords of the document types, tried in this order: (type, domain, topic, words)
 TYPE_RULES = [
@@ -188,23 +189,42 @@ def wrap_untrusted(text: Column, source: Column) -> Column:
     return F.when(text == "", text).otherwise(wrapped)
 
 
+#: Words of a lexicon that are searched by one pattern; a longer lexicon meets the texts' windows in a join.
+PATTERN_WORDS = 20_000
+
+
 def lexicon_findings(docs: DataFrame, key: str, text_col: str, lexicon: DataFrame) -> DataFrame:
-    """(key, word, category, n): every listed word found in every text.
+    """(key, word, category, position, n): every listed word found in every text, at every start position.
 
-    The lexicon is a table (word, category, position). One alternation finds the hits;
-    only hits are joined back to the table. Overlapping words are found by trying every
-    start position.
+    The lexicon is a table (word, category, position). A short one is an alternation of patterns
+    whose hits are joined back to the table; the windows of a longer one's word lengths are joined with it.
+    """
+    listed = lexicon.select("word").filter("word != ''").distinct()
+    words = [r[0] for r in listed.limit(PATTERN_WORDS + 1).collect()]
+    if len(words) > PATTERN_WORDS:
+        found = text_windows(docs, key, text_col, listed).withColumnRenamed("window", "word").join(broadcast_if_small(listed), "word", "left_semi")
+    else:
+        hits = F.array().cast("array<string>")
+        for size in sorted({len(w) for w in words}):
+            part = "|".join(re.escape(w) for w in sorted(w for w in words if len(w) == size))
+            hits = F.concat(hits, F.regexp_extract_all(F.col(text_col), F.lit(f"(?=({part}))"), F.lit(1)))
+        found = docs.select(key, rows_of(hits).alias("word")).filter(F.col("word").isNotNull())
+    rows = found.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(broadcast_if_small(lexicon), "word").select(key, "word", "category", "position", "n")
+
+
+def text_windows(docs: DataFrame, key: str, text_col: str, words: DataFrame, column: str = "word") -> DataFrame:
+    """(key, window): all substrings of each text that are as long as some word (one row of lengths on the driver).
+
+    Texts are cut into overlapping stretches first, so that a long text costs its length.
     """
-    words = [r[0] for r in lexicon.select("word").distinct().limit(20_001).collect()]
-    if len(words) > 20_000:
-        raise ValueError("lexicon of over 20000 words: split it")
-    hits = None
-    for size in sorted({len(w) for w in words}):
-        part = "|".join(re.escape(w) for w in sorted(w for w in words if len(w) == size))
-        found = F.regexp_extract_all(F.col(text_col), F.lit(f"(?=({part}))"), F.lit(1))
-        hits = found if hits is None else F.concat(hits, found)
-    rows = docs.select(key, rows_of(hits).alias("word")).filter(F.col("word").isNotNull()).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(F.broadcast(lexicon), "word").select(key, "word", "category", "position", "n")
+    sizes = [r[0] for r in words.select(F.length(column).alias("n")).filter("n > 0").distinct().collect()]
+    stretch, text = 1000, F.col(text_col)
+    sized = docs.select(key, text.alias("_t"), F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("_n")).filter(F.length("_t") >= F.col("_n"))
+    starts = F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1, F.lit(stretch))
+    cut = sized.select(key, "_n", F.explode(F.transform(starts, lambda i: F.substr(F.col("_t"), i, F.lit(stretch - 1) + F.col("_n")))).alias("_t"))
+    every = F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1)
+    return cut.select(key, F.explode(F.transform(every, lambda i: F.substr(F.col("_t"), i, F.col("_n")))).alias("window"))
 
 
 def first_finding(findings: DataFrame, key: str) -> DataFrame:

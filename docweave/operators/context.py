@@ -32,16 +32,17 @@ def _ids(values: list[str]) -> list[str]:
 
 def retrieval_filter(kb_ids: list[str] | None = None, document_ids: list[str] | None = None,
                      source_kind: str | None = None, exclude_kinds: list[str] | None = None) -> Column:
-    """AND of the given conditions. None sets no condition; an empty scope keeps nothing."""
+    """AND of the given conditions. None or an empty list sets no condition; a null kind is ``raw``."""
     cond = F.lit(True)
-    if kb_ids is not None:
-        cond = cond & (F.col("kb_id").isin(_ids(kb_ids)) if kb_ids else F.lit(False))
-    if document_ids is not None:
-        cond = cond & (F.col("document_id").isin(_ids(document_ids)) if document_ids else F.lit(False))
+    kind = F.coalesce("source_kind", F.lit("raw"))
+    if kb_ids:
+        cond = cond & F.col("kb_id").isin(_ids(kb_ids))
+    if document_ids:
+        cond = cond & F.col("document_id").isin(_ids(document_ids))
     if source_kind:
-        cond = cond & (F.col("source_kind") == _kind(source_kind))
+        cond = cond & (kind == _kind(source_kind))
     if exclude_kinds:
-        cond = cond & ~F.col("source_kind").isin([_kind(k) for k in exclude_kinds])
+        cond = cond & ~kind.isin([_kind(k) for k in exclude_kinds])
     return cond
 
 

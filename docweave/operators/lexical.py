@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from docweave.functions.rules import text_windows
 from docweave.functions.text import rows_of, tokens
 from docweave.operators.sizing import BROADCAST_ROWS, at_most, broadcast_if_small, salted_join
 
@@ -152,13 +153,17 @@ def sparse_statistics(docs: DataFrame, keys: list[str], vocabulary: DataFrame, t
     )
 
 
+#: Short passages that one expression tests.
+FEW_PASSAGES = 1000
+
+
 def containing_documents(docs: DataFrame, passages: DataFrame, doc_key: str, passage_key: str) -> DataFrame:
     """(passage_key, doc_key) for documents whose text contains the passage verbatim.
 
     Every container of a passage holds its inner words, so the rarest inner word is
     an exact anchor: an equi-join on it gives the candidates, then the text decides.
-    Passages of fewer than three words have no inner word; they are tested against
-    every text by one expression, for which their number must be small.
+    Passages of fewer than three words have no inner word; a few are tested against
+    every text by one expression, more of them are joined with the texts' windows of their lengths.
     """
     words = tokens(F.col("text"))
     body = passages.select(passage_key, F.col("text").alias("passage"), words.alias("w"))
@@ -175,10 +180,11 @@ def containing_documents(docs: DataFrame, passages: DataFrame, doc_key: str, pas
     found = pairs.join(texts, doc_key).join(body.select(passage_key, "passage"), passage_key).filter(
         F.contains("text", "passage")).select(passage_key, doc_key)
     short = body.filter((F.size("w") < 3) & (F.col("passage") != "")).select(passage_key, "passage")
-    few = short.limit(1001).collect()
-    if len(few) > 1000:
-        raise ValueError("over 1000 passages of fewer than three words")
-    if few:
+    few = short.limit(FEW_PASSAGES + 1).collect()
+    if len(few) > FEW_PASSAGES:
+        windows = text_windows(docs, doc_key, "text", short, "passage").distinct()
+        found = found.unionByName(windows.join(short, F.col("window") == F.col("passage")).select(passage_key, doc_key))
+    elif few:
         listed = F.array(*[F.struct(F.lit(r[0]).alias("key"), F.lit(r[1]).alias("passage")) for r in few])
         hit = F.filter(listed, lambda p: F.contains(F.col("text"), p["passage"]))
         found = found.unionByName(

@@ -32,28 +32,37 @@ def scan_groups(df: DataFrame, keys: list[str], order: list[str], start: Callabl
             cols = {c: pdf[c].to_numpy() for c in pdf.columns}
             change = np.zeros(len(pdf), bool)
             change[0] = True
+            missing = {k: pdf[k].isna().to_numpy() for k in keys}
             for k in keys:
-                change[1:] |= cols[k][1:] != cols[k][:-1]
+                change[1:] |= (cols[k][1:] != cols[k][:-1]) & ~(missing[k][1:] & missing[k][:-1])
             bounds = [*change.nonzero()[0], len(pdf)]
             out: list[list] = [[] for _ in names]
             for lo, hi in zip(bounds, bounds[1:]):
-                key = tuple(cols[k][lo] for k in keys)
+                key = tuple(None if missing[k][lo] else cols[k][lo] for k in keys)
                 if key != current:
                     current, state = key, start()
                 for held, new in zip(out, step(state, {c: v[lo:hi] for c, v in cols.items()}) or ()):
                     held.extend(new)
-            yield pd.DataFrame(dict(zip(names, out)))
+            if out[0]:
+                yield pd.DataFrame(dict(zip(names, out)))
 
     names = [part.split()[0] for part in schema.split(", ")]
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which null keys meet; the keys of ``left`` stay."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def segments(df: DataFrame, keys: list[str], at: str, gap: float, slice_width: float, tie: list[str],
              name: str = "segment_start", strict: bool = True) -> DataFrame:
     """Adds the start of the stretch each row is in; a stretch ends where the next row of
     the key is more than ``gap`` away (at least, when not ``strict``).
 
-    ``at`` is numeric. Rows are windowed per (key, slice), so one key is spread over its
+    ``at`` is numeric; a null key is a key like others. Rows are windowed per (key, slice), so one key is spread over its
     slices; what crosses a slice border is carried through one row per slice.
     """
     sliced = df.withColumn("_s", F.floor(F.col(at) / slice_width))
@@ -63,13 +72,13 @@ def segments(df: DataFrame, keys: list[str], at: str, gap: float, slice_width: f
         *keys, "_s", F.lag("_max").over(along).alias("_before"))
     prev = F.coalesce(F.lag(at).over(inside), F.col("_before"))
     far = (F.col(at) - F.col("_prev") > gap) if strict else (F.col(at) - F.col("_prev") >= gap)
-    rows = sliced.join(edges, [*keys, "_s"]).withColumn("_prev", prev).withColumn(
+    rows = null_safe_join(sliced, edges, [*keys, "_s"]).withColumn("_prev", prev).withColumn(
         "_open", F.when(F.col("_prev").isNull() | far, F.col(at)))
     running = F.last("_open", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("_run", running)
     carried = rows.groupBy(*keys, "_s").agg(F.max("_open").alias("_last")).select(
         *keys, "_s", F.last("_last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
-    return rows.join(carried, [*keys, "_s"]).withColumn(name, F.coalesce("_run", "_carry")).drop(
+    return null_safe_join(rows, carried, [*keys, "_s"]).withColumn(name, F.coalesce("_run", "_carry")).drop(
         "_s", "_before", "_prev", "_open", "_run", "_carry")
 
 

@@ -152,7 +152,7 @@ def match_titles(t) -> DataFrame:
     cand = e.filter(F.col("vec_id") % 2 == 1).select(F.col("label").alias("kb_id"), F.col("vec_id").alias("cand_id"), F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("title"))
     pages = e.filter(F.col("vec_id") % 2 == 0).select(F.col("label").alias("kb_id"), F.col("vec_id").alias("page_id"), (F.col("vec_id") * 3).cast("string").alias("title"))
     pairs = dense.similar_pairs(e, "vec_id", 0.2, strict=False)
-    both = pairs.select(F.col("a").alias("cand_id"), F.col("b").alias("page_id"), "score").unionByName(pairs.select(F.col("b").alias("cand_id"), F.col("a").alias("page_id"), "score"))
+    both = dense.with_copies(pairs, e, "vec_id").select(F.col("id").alias("cand_id"), F.col("other").alias("page_id"), "score")
     scored = both.join(cand.select("kb_id", "cand_id"), "cand_id").join(pages.select("kb_id", "page_id"), ["kb_id", "page_id"])
     return graph.match_titles(cand, pages, scored, 0.2)
 

