@@ -190,11 +190,11 @@ def core_terms(text: Column) -> Column:
     return F.array_join(F.filter(found, lambda t: (F.length(t) > 1) & ~F.lower(t).isin(STOP_WORDS)), " ")
 
 
-def rewrite_queries(question: Column, today: str, most: int = 5) -> Column:
+def rewrite_queries(question: Column, today: str, most: int = 5, places: list[str] | None = None) -> Column:
     """Search queries of a question: itself, template queries, synonyms; equal ones once.
 
-    ``today`` is a date like 2024-01-31. Weather questions need a city finder and get
-    no template here.
+    ``today`` is a date like 2024-01-31. ``places`` are the names of cities that a weather
+    question may ask for; the longest name in the question counts, and without one there is no template.
     """
     q = F.btrim(F.coalesce(question, F.lit("")), F.lit(" \t\n\r"))
     low = F.lower(q)
@@ -219,7 +219,10 @@ def rewrite_queries(question: Column, today: str, most: int = 5) -> Column:
         made = F.when(core != "", F.array(*[F.concat(core, F.lit(f" {tail}")) for tail in tails])).otherwise(none)
         rule = F.when(any_word(low, words), made).otherwise(rule)
     weather = any_word(low, ["天气", "气温", "温度", "预报", "下雨", "空气质量"])
-    rule = F.when(any_word(low, TIME_WORDS) & any_word(low, PRICE_WORDS), price).when(weather, none).when(q.rlike(SEVERAL_FORM), versus).when(
+    named = [F.when(F.contains(q, F.lit(p)), F.lit(p)) for p in sorted(places or [], key=lambda p: (-len(p), p)) if p]
+    place = F.coalesce(*named) if named else F.lit(None).cast("string")
+    forecast = F.when(place.isNotNull(), F.array(F.concat(place, F.lit(" 今天 天气预报 实时温度")), F.concat(place, F.lit(" weather today")))).otherwise(none)
+    rule = F.when(any_word(low, TIME_WORDS) & any_word(low, PRICE_WORDS), price).when(weather, forecast).when(q.rlike(SEVERAL_FORM), versus).when(
         any_word(low, EVENT_WORDS), event).otherwise(rule)
     more = F.flatten(F.array(*[F.when(F.contains(low, F.lit(k)), F.array(*[F.replace(low, F.lit(k), F.lit(w)) for w in ws])).otherwise(none)
                                for k, ws in SYNONYMS]))

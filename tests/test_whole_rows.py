@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docweave.functions import rules
+from docweave.functions import routing, rules
 from docweave.operators import context, dense, lexical
 from docweave.streaming import limits
 
@@ -63,3 +63,9 @@ def test_many_short_passages(spark, monkeypatch):
     few = seen()
     monkeypatch.setattr(lexical, "FEW_PASSAGES", 1)
     assert few == seen() == {(1, 1), (1, 2), (2, 1), (3, 2)}
+
+
+def test_weather_questions_ask_for_the_place(spark):
+    df = spark.createDataFrame([(1, "北京今天天气"), (2, "服务器温度"), (3, None)], "id int, q string")
+    got = {r.id: r.x for r in df.select("id", routing.rewrite_queries(F.col("q"), "2024-01-31", places=["北", "北京"]).alias("x")).collect()}
+    assert got[1][:3] == ["北京今天天气", "北京 今天 天气预报 实时温度", "北京 weather today"] and got[2] == ["服务器温度"] and got[3] == []
