@@ -219,14 +219,16 @@ def checked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _across(rule: Rule):
-    """Links within one bucket (or between two blocks of it) of lines in different components."""
+    """Links within some buckets (or between two blocks of one) of lines in different components."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["lid", "block"]).sort_values("lid", ignore_index=True)
+        pdf = pdf.drop_duplicates(["key", "lid", "block"]).sort_values(["key", "lid"], ignore_index=True)
         _, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
         block, i, j, lines, lid = pdf["block"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["text"].tolist(), pdf["lid"].to_numpy()
         codes = [points_of(x) for x in lines]
         bag, size = bags(codes), np.array([len(x) for x in lines])
-        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        key = pdf["key"].to_numpy()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        spans = list(zip(first.tolist(), np.append(first[1:], len(key)).tolist()))
         a, b, left, right, waiting = [], [], [], [], 0
 
         def join() -> None:
@@ -239,7 +241,7 @@ def _across(rule: Rule):
                         b.append(lid[o])
                         root[root == root[o]] = root[at]
 
-        for at in rows.tolist():
+        for at, cols in ((at, lo + np.flatnonzero(block[lo:hi] == j)) for lo, hi in spans for at in (lo + np.flatnonzero(block[lo:hi] == i)).tolist()):
             other = cols[(root[cols] != root[at]) & (np.abs(size[cols] - size[at]) <= rule.edits) & ((cols > at) if i == j else True)]
             other = other[np.abs(bag[other] - bag[at]).sum(axis=1) <= 2 * rule.edits]
             left.append(np.full(len(other), at))
@@ -273,7 +275,11 @@ def line_links(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
     blocks = F.ceil(F.col("n") / GROUP_BLOCK).cast("int")
     open_ = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("lid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
         "i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(texts.select("lid", "text"), "lid")
-    rest = open_.select("key", "i", "j", "block", "lid", "root", "text").groupBy("key", "i", "j").applyInPandas(_across(rule), "a binary, b binary")
+    # small buckets share a task's work, about GROUP_BLOCK rows at a time; one of several blocks is by itself
+    open_ = cut_lineage(open_.select("key", "i", "j", "block", "lid", "root", "text", (blocks == 1).alias("small")))
+    groups = max(1, open_.count() // GROUP_BLOCK)
+    rest = open_.withColumn("g", F.when(F.col("small"), F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key"))).groupBy(
+        "small", "g", "i", "j").applyInPandas(_across(rule), "a binary, b binary")
     return cut_lineage(links.unionByName(rest))
 
 
