@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from docweave.operators.sizing import DENSE_QUERY_BYTES, salt_of
+from docweave.operators.sizing import DENSE_QUERY_BYTES, salt_of, salted_join
 
 BLOCK_ROWS = 4096
 SCORE_CELLS = 16_000_000
@@ -241,6 +241,33 @@ def with_copies(pairs: DataFrame, frame: DataFrame, key: str, vec_col: str = "em
     return both.unionByName(taken).unionByName(own)
 
 
+def members(frame: DataFrame, key: str, vec_col: str = "embedding") -> DataFrame:
+    """(copy, id, n): every row with a vector that is not zero, the first of the n rows of equal vectors, and n."""
+    rep = distinct_vectors(frame, key, vec_col).filter(F.exists(vec_col, lambda x: x != 0)).select("id", F.col("copies").alias("n"), F.col(vec_col).alias("_v"))
+    return salted_join(frame.select(F.col(key).cast("long").alias("copy"), F.col(vec_col).alias("_v")), rep, ["_v"], ["copy"]).select("copy", "id", "n")
+
+
+def class_pairs(pairs: DataFrame) -> DataFrame:
+    """(id, other, score, n, m): ``pairs`` of similar_pairs in both directions, with the copies of each side."""
+    ways = [F.struct(F.col(x).alias("id"), F.col(y).alias("other"), "score", F.col(f"copies_{x}").alias("n"), F.col(f"copies_{y}").alias("m")) for x, y in ("ab", "ba")]
+    return pairs.select(F.explode(F.array(*ways)).alias("x")).select("x.*")
+
+
+def all_pairs(pairs: DataFrame, frame: DataFrame, key: str, vec_col: str = "embedding", buckets: int = 16) -> DataFrame:
+    """(id, other, score): ``pairs`` of similar_pairs in both directions, for all copies on both sides, and the copies with each other.
+
+    A result row for every ordered pair of rows, so a group of n copies has n x (n - 1) of them; members of
+    such groups, and only they, are spread over ``buckets`` tasks. Where classes and members are enough, use
+    ``class_pairs`` and ``members``. A zero vector is similar to nothing.
+    """
+    member = members(frame, key, vec_col).withColumn("salt", F.when(F.col("n") > 1, salt_of(F.col("copy"), buckets=buckets)).otherwise(F.lit(0))).drop("n")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.when(F.col(n) > 1, buckets - 1).otherwise(0))).alias("salt")
+    own = member.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.col("id").alias("other"), F.lit(1.0).alias("score"), "n", F.col("n").alias("m"))
+    both = class_pairs(pairs).unionByName(own)
+    left = both.select("*", every("n")).join(member, ["id", "salt"]).select(F.col("copy").alias("from"), F.col("other").alias("id"), "score", "m")
+    return left.select("*", every("m")).join(member, ["id", "salt"]).filter("from != copy").select(F.col("from").alias("id"), F.col("copy").alias("other"), "score")
+
+
 def similar_pairs(frame: DataFrame, key: str, threshold: float, vec_col: str = "embedding",
                   strict: bool = True, blocks: int | None = None) -> DataFrame:
     """(a, b, score, copies_a, copies_b), a < b: distinct vectors with cosine above a threshold.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -240,36 +241,52 @@ def compare_answers(answers: DataFrame) -> DataFrame:
                       F.when(mean >= 0.8, "high").when(mean >= 0.5, "medium").otherwise("low").alias("consistency"))
 
 
-def match_titles(candidates: DataFrame, pages: DataFrame, scored: DataFrame, threshold: float = 0.85) -> DataFrame:
+def match_titles(candidates: DataFrame, pages: DataFrame, scored: DataFrame, threshold: float = 0.85,
+                 copies: DataFrame | None = None) -> DataFrame:
     """(kb_id, cand_id, page_id, how): equal titles first, then best remaining page in candidate order.
 
     ``candidates``: kb_id, cand_id, pos, title; ``pages``: kb_id, page_id, title; ``scored``:
     kb_id, cand_id, page_id, score of title vectors (pairs under the threshold cannot match
     and need not be given). A page is taken once. Among equal titles the first candidate
-    and the first page pair up in order.
+    and the first page pair up in order. With ``copies`` (kb_id, page_id, class_id), ``scored`` names
+    classes of equally scored pages in place of pages, and a class gives its pages in order.
     """
     nth = lambda order: F.row_number().over(W.partitionBy("kb_id", "norm").orderBy(order))
     c = candidates.withColumn("norm", normalize_title(F.col("title"))).withColumn("n", nth("pos"))
     p = pages.withColumn("norm", normalize_title(F.col("title"))).withColumn("n", nth("page_id"))
     exact = c.join(p.select("kb_id", "norm", "n", "page_id"), ["kb_id", "norm", "n"]).select("kb_id", "cand_id", "page_id", F.lit("title").alias("how"))
+    gone = exact.select("kb_id", "page_id")
+    if copies is None:
+        copies = scored.select("kb_id", "page_id", F.col("page_id").alias("class_id")).distinct()
+    queues = copies.join(gone, ["kb_id", "page_id"], "left_anti")
     open_pairs = scored.filter(F.col("score") >= threshold).join(exact.select("kb_id", "cand_id"), ["kb_id", "cand_id"], "left_anti").join(
-        exact.select("kb_id", "page_id"), ["kb_id", "page_id"], "left_anti").join(candidates.select("kb_id", "cand_id", "pos"), ["kb_id", "cand_id"])
-    offers = open_pairs.groupBy("kb_id", "pos", "cand_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "page_id"))), lambda x: x["page_id"]).alias("offers"))
-    kinds = {f.name: f.dataType.simpleString() for f in offers.schema.fields}
-    page_type = kinds["offers"][len("array<"):-1]
-
-    def step(taken: set, rows: dict) -> tuple:
+        candidates.select("kb_id", "cand_id", "pos"), ["kb_id", "cand_id"])
+    offers = open_pairs.groupBy("kb_id", "pos", "cand_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("page_id").alias("class_id")))).alias("x"))
+    kinds = {f.name: f.dataType.simpleString() for f in offers.schema.fields} | {f.name: f.dataType.simpleString() for f in queues.schema.fields}
+    # the pages of a base are read before its candidates; arrays, as ids must not meet nulls in pandas
+    none = lambda name: F.array().cast(f"array<{kinds[name]}>").alias(name)
+    one = lambda name: F.array(name).alias(name)
+    read = queues.select("kb_id", F.lit(0).alias("turn"), F.lit(None).cast(kinds["pos"]).alias("pos"), none("cand_id"), one("page_id"), one("class_id"), F.array().cast("array<double>").alias("s")).unionByName(
+        offers.select("kb_id", F.lit(1).alias("turn"), "pos", one("cand_id"), none("page_id"), F.transform("x", lambda x: x["class_id"]).alias("class_id"), F.transform("x", lambda x: x["s"].cast("double")).alias("s")))
+
+    def step(open_pages: dict, rows: dict) -> tuple:
         hits = []
-        for kb, cand, wanted in zip(rows["kb_id"], rows["cand_id"], rows["offers"]):
-            page = next((x for x in wanted if x not in taken), None)
-            if page is not None:
-                taken.add(page)
-                hits.append((kb, cand, page, "vector"))
+        for kb, turn, cand, page, wanted, far in zip(*(rows[c] for c in ("kb_id", "turn", "cand_id", "page_id", "class_id", "s"))):
+            if turn == 0:
+                open_pages.setdefault(wanted[0], deque()).append(page[0])
+                continue
+            best = None
+            for d, c in zip(far, wanted):
+                if best is not None and d != best[0]:
+                    break
+                if open_pages.get(c) and (best is None or open_pages[c][0] < best[1]):
+                    best = d, open_pages[c][0], c
+            if best is not None:
+                hits.append((kb, cand[0], open_pages[best[2]].popleft(), "vector"))
         return tuple(zip(*hits))
 
-    greedy = scan_groups(offers, ["kb_id"], ["pos"], set, step,
-                         f"kb_id {kinds['kb_id']}, cand_id {kinds['cand_id']}, page_id {page_type}, how string")
+    greedy = scan_groups(read, ["kb_id"], ["turn", "pos", "page_id"], dict, step,
+                         f"kb_id {kinds['kb_id']}, cand_id {kinds['cand_id']}, page_id {kinds['page_id']}, how string")
     return exact.unionByName(greedy)
 
 

@@ -121,7 +121,7 @@ SELECT vec_id, similar_id, score, row_number() OVER (PARTITION BY vec_id ORDER B
 def semantic_duplicates(t) -> DataFrame:
     """Vectors at or above a cosine of 0.35 with each vector, closest first."""
     pairs = dense.similar_pairs(t.embeddings, "vec_id", 0.35, strict=False)
-    both = dense.with_copies(pairs, t.embeddings, "vec_id").select(F.col("id").alias("vec_id"), F.col("other").alias("similar_id"), "score")
+    both = dense.all_pairs(pairs, t.embeddings, "vec_id").select(F.col("id").alias("vec_id"), F.col("other").alias("similar_id"), "score")
     w = W.partitionBy("vec_id").orderBy(F.round("score", 6).desc(), "similar_id")
     return both.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("score", F.round("score", 6))
 
