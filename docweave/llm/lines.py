@@ -57,6 +57,56 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return base * i + late, base + (i >= parts - extra)
 
 
+def hashed(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, start, sums) of some lines; sums of hashed points weighted by their place in the line."""
+    size = np.array([len(x) for x in codes], np.int64)
+    longest = int(size.max(initial=0)) + 1
+    if len(_powers.get("up", ())) < longest:
+        steps = np.full(max(10_000, 2 * longest), 0x9E3779B97F4A7C15, np.uint64)
+        steps[0] = 1
+        _powers["up"] = np.cumprod(steps)
+        steps[1:] = pow(0x9E3779B97F4A7C15, -1, 2 ** 64)
+        _powers["down"] = np.cumprod(steps)
+    start = np.cumsum(size) - size
+    points = np.concatenate([*codes, np.empty(0, np.uint32)]).astype(np.uint64)
+    at = np.arange(len(points)) - np.repeat(start, size)
+    return size, start, np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points + ODD[0]) * _powers["up"][at])])
+
+
+def content(start: np.ndarray, sums: np.ndarray, which: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Hashes of ``count`` points from ``at`` on of the lines ``which``."""
+    lo = start[which] + at
+    return (sums[lo + count] - sums[lo]) * _powers["down"][at]
+
+
+def key_of(found: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
+    return mix(found ^ mix(length.astype(np.uint64) * ODD[1] + np.uint64(i + 1)))
+
+
+def room(at: np.ndarray, i: int, less: np.ndarray | int, edits: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start in a longer line that leave room for the edits before and behind segment ``i``."""
+    low = np.maximum(np.maximum(at - i, at + less - (edits - i)), 0)
+    return low, np.minimum(np.minimum(at + i, at + less + (edits - i)), last)
+
+
+def first_keys(size: np.ndarray, start: np.ndarray, sums: np.ndarray, left: np.ndarray, right: np.ndarray, edits: int) -> np.ndarray:
+    """Least key (as signed) of the segments of one line of each pair that the other line probes; a pair counts in that bucket only."""
+    out = np.full(len(left), np.iinfo(np.int64).max)
+    for a, b in ((left, right), (right, left)):
+        on = np.flatnonzero((size[b] >= size[a]) & (size[b] <= size[a] + edits))
+        a, b = a[on], b[on]
+        for i in range(edits + 1):
+            at, count = segment(size[a], i, edits + 1)
+            found = content(start, sums, a, at, count)
+            keys = key_of(found, size[a], i).astype(np.int64)
+            low, high = room(at, i, size[b] - size[a], edits, size[b] - count)
+            for shift in range(2 * edits + 1):
+                some = np.flatnonzero(low + shift <= high)
+                same = some[content(start, sums, b[some], (low + shift)[some], count[some]) == found[some]]
+                out[on[same]] = np.minimum(out[on[same]], keys[same])
+    return out
+
+
 def segment_rows(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, key, probes) of the index rows (probes False) and probe rows of some lines.
 
@@ -64,22 +114,11 @@ def segment_rows(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray,
     It probes the lengths from its own down to ``edits`` less, each segment only at starts that
     leave room for the edits before and behind it. Substrings are hashed from prefix sums.
     """
-    size = np.array([len(x) for x in lines], np.int64)
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(_powers.get("up", ())) < len(points) + 1:
-        steps = np.full(max(POINTS, len(points)) + 1, 0x9E3779B97F4A7C15, np.uint64)
-        steps[0] = 1
-        _powers["up"] = np.cumprod(steps)
-        steps[1:] = pow(0x9E3779B97F4A7C15, -1, 2 ** 64)
-        _powers["down"] = np.cumprod(steps)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points + ODD[0]) * _powers["up"][:len(points)])])
-    start = np.cumsum(size) - size
+    size, start, sums = hashed([points_of(x) for x in lines])
     place, keys, probes = [], [], []
 
     def add(which: np.ndarray, at: np.ndarray, count: np.ndarray, length: np.ndarray, i: int, probe: bool) -> None:
-        lo = start[which] + at
-        found = (sums[lo + count] - sums[lo]) * _powers["down"][lo]
-        keys.append(mix(found ^ mix(length.astype(np.uint64) * ODD[1] + np.uint64(i + 1))))
+        keys.append(key_of(content(start, sums, which, at, count), length, i))
         place.append(which)
         probes.append(np.full(len(which), probe))
 
@@ -89,8 +128,7 @@ def segment_rows(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray,
         add(all_, at, count, size, i, False)
         for less in range(edits + 1):
             at, count = segment(size - less, i, parts)
-            low = np.maximum(np.maximum(at - i, at + less - (edits - i)), 0)
-            high = np.minimum(np.minimum(at + i, at + less + (edits - i)), size - count)
+            low, high = room(at, i, less, edits, size - count)
             for shift in range(2 * edits + 1):
                 on = np.flatnonzero(low + shift <= high)
                 if len(on):
@@ -205,92 +243,80 @@ def line_texts(docs: DataFrame, ids: DataFrame, rule: Rule, text: str) -> DataFr
     return found.join(broadcast_if_small(ids, 2_000_000), "id", "left_semi").groupBy("lid").agg(F.first("id").alias("id"), F.first("text").alias("text"))
 
 
-def checked(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The links (a, b) among ``pairs`` (a, b, short hashes), as lids."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = len(batch)
-            ok = within([points_of(x) for c in ("x", "y") for x in batch[c].to_pylist()], np.arange(n), np.arange(n, 2 * n), rule.edits)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    left = texts.select(F.col("id").alias("ia"), F.col("lid").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("id").alias("ib"), F.col("lid").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "ia").join(right, "ib").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
-
-
-def _across(rule: Rule):
-    """Links within some buckets (or between two blocks of one) of lines in different components."""
+def _linked(rule: Rule):
+    """Of some buckets (or two blocks of one): links (a, b, 0) that join what they join, and (line, null, number of its pairs whose first bucket this is)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["key", "lid", "block"]).sort_values(["key", "lid"], ignore_index=True)
-        _, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
-        block, i, j, lines, lid = pdf["block"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0], pdf["text"].tolist(), pdf["lid"].to_numpy()
-        codes = [points_of(x) for x in lines]
-        bag, size = bags(codes), np.array([len(x) for x in lines])
-        key = pdf["key"].to_numpy()
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        spans = list(zip(first.tolist(), np.append(first[1:], len(key)).tolist()))
-        a, b, left, right, waiting = [], [], [], [], 0
-
-        def join() -> None:
-            if waiting:
+        pdf = pdf.drop_duplicates(["key", "lid"])
+        lid, seen, line = np.unique(pdf["lid"].to_numpy(), return_index=True, return_inverse=True)
+        codes = [points_of(x) for x in pdf["text"].to_numpy()[seen]]
+        bag, (size, start, sums) = bags(codes), hashed(codes)
+        _, rank = np.unique(pdf["key"].to_numpy(), return_inverse=True)
+        place = rank * (int(size.max()) + rule.edits + 1) + size[line]
+        order = np.argsort(place, kind="stable")
+        place, line, key, block = place[order], line[order], pdf["key"].to_numpy()[order], pdf["block"].to_numpy()[order]
+        after = np.searchsorted(place, place + rule.edits, "right") - np.arange(len(place)) - 1
+        two, ends = pdf["i"].iloc[0] != pdf["j"].iloc[0], np.cumsum(after)
+        near, root, a, b, left, right, waiting, lo = np.zeros(len(lid), np.int64), np.arange(len(lid)), [], [], [], [], 0, 0
+        while lo < len(place):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 5 * PAIRS, "right")))
+            one = np.repeat(np.arange(lo, hi), after[lo:hi])
+            other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi])
+            if two:
+                across = block[one] != block[other]
+                one, other = one[across], other[across]
+            x, y = line[one], line[other]
+            on = np.flatnonzero(np.abs(bag[x] - bag[y]).sum(axis=1) <= 2 * rule.edits)
+            on = on[first_keys(size, start, sums, x[on], y[on], rule.edits) == key[one[on]]]
+            left.append(x[on])
+            right.append(y[on])
+            waiting += len(on)
+            lo = hi
+            if waiting >= PAIRS or waiting and lo == len(place):
                 x, y = np.concatenate(left), np.concatenate(right)
                 ok = within(codes, x, y, rule.edits)
-                for at, o in zip(x[ok].tolist(), y[ok].tolist()):
-                    if root[o] != root[at]:
-                        a.append(lid[at])
-                        b.append(lid[o])
-                        root[root == root[o]] = root[at]
-
-        for at, cols in ((at, lo + np.flatnonzero(block[lo:hi] == j)) for lo, hi in spans for at in (lo + np.flatnonzero(block[lo:hi] == i)).tolist()):
-            other = cols[(root[cols] != root[at]) & (np.abs(size[cols] - size[at]) <= rule.edits) & ((cols > at) if i == j else True)]
-            other = other[np.abs(bag[other] - bag[at]).sum(axis=1) <= 2 * rule.edits]
-            left.append(np.full(len(other), at))
-            right.append(other)
-            waiting += len(other)
-            if waiting >= PAIRS:
-                join()
+                x, y = x[ok], y[ok]
+                near += np.bincount(x, minlength=len(lid)) + np.bincount(y, minlength=len(lid))
+                while len(x):
+                    open_ = root[x] != root[y]
+                    x, y = x[open_], y[open_]
+                    if len(x):
+                        a.append(lid[x[0]])
+                        b.append(lid[y[0]])
+                        root[root == root[y[0]]] = root[x[0]]
                 left, right, waiting = [], [], 0
-        join()
-        return pd.DataFrame({"a": a, "b": b})
+        some = np.flatnonzero(near)
+        return pd.DataFrame({"a": a + lid[some].tolist(), "b": b + [None] * len(some), "n": np.concatenate([np.zeros(len(a), np.int64), near[some]])})
 
     return run
 
 
-def line_links(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
-    """(a, b): links between different lines, enough of them to make the same components as all links within ``rule.edits``."""
+def line_links(docs: DataFrame, rule: Rule, text: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), enough of them to make the same components as all links within ``rule.edits``, and (lid, near): how many distinct lines are within them."""
     table = segment_table(docs, rule, text)
     of = W.partitionBy("key")
     kept = table.select("key", "id", F.min("id").over(of).alias("lo"), F.max("id").over(of).alias("hi"), F.min("probe").over(of).alias("some"), F.max("probe").over(of).alias("all"))
     buckets = cut_lineage(kept.filter("lo != hi and some != all").groupBy("key", "id").agg(F.lit(1).alias("one")).select("key", "id"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     buckets = cut_lineage(buckets.join(sizes, "key"))
-    met = buckets.groupBy("id").agg(F.sum("n").alias("met"))
-    lead = buckets.join(met, "id").groupBy("key").agg(F.max(F.struct("met", "id"))["id"].alias("lead"))
-    stars = buckets.join(lead, "key").filter("id != lead").select(F.least("id", "lead").alias("ia"), F.greatest("id", "lead").alias("ib")).distinct()
-    texts = cut_lineage(line_texts(docs, cut_lineage(met.select("id")), rule, text))
-    links = cut_lineage(checked(stars, texts, rule))
-    rooted = components(links)
-    named = buckets.join(texts.select("id", "lid"), "id").join(rooted.withColumnRenamed("node", "lid"), "lid", "left").withColumn("root", F.coalesce("root", "lid"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    texts = cut_lineage(line_texts(docs, buckets.select("id").distinct(), rule, text))
     blocks = F.ceil(F.col("n") / GROUP_BLOCK).cast("int")
-    open_ = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("lid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
-        "i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(texts.select("lid", "text"), "lid")
+    named = buckets.join(texts, "id").withColumn("block", F.pmod(F.xxhash64("lid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     # small buckets share a task's work, about GROUP_BLOCK rows at a time; one of several blocks is by itself
-    open_ = cut_lineage(open_.select("key", "i", "j", "block", "lid", "root", "text", (blocks == 1).alias("small")))
-    groups = max(1, open_.count() // GROUP_BLOCK)
-    rest = open_.withColumn("g", F.when(F.col("small"), F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key"))).groupBy(
-        "small", "g", "i", "j").applyInPandas(_across(rule), "a binary, b binary")
-    return cut_lineage(links.unionByName(rest))
+    groups = max(1, (buckets.filter(blocks == 1).count()) // GROUP_BLOCK)
+    found = cut_lineage(named.select("key", "block", "lid", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (blocks == 1).alias("small"),
+                                     F.when(blocks == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key")).alias("g")).groupBy(
+        "small", "g", "i", "j").applyInPandas(_linked(rule), "a binary, b binary, n long"))
+    return found.filter("b is not null").select("a", "b"), found.filter("b is null").groupBy(F.col("a").alias("lid")).agg(F.sum("n").alias("near"))
 
 
-def repeated_lines(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, first_doc, first_line, exact): every line that repeats an earlier one, and the line that stays.
+def line_classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line, first_doc, first_line, exact, near): every line of a class of more than one, with the place of the class's first line, its id.
 
     Lines are split at ``\\n`` and trimmed of ASCII white space; those that count (``Rule``) form the
-    components of equal and nearly equal lines. Of each, the first by document id, then line number, stays;
-    ``exact`` tells whether the other is equal to it. Candidates for edits share a segment (at
-    least one of edits + 1 is untouched). In each bucket members are first compared with the one
-    most often met, then only those still in different components are, in blocks and within one task.
+    components of equal and nearly equal lines, the classes. ``exact`` tells whether a line is equal to the
+    first by document id, then line number; ``near`` is the number of distinct other lines within the edits.
+    Candidates for edits share a segment (at least one of edits + 1 is untouched); every candidate pair
+    is verified once, in the first bucket it shares.
 
     Null texts have no lines; null ids come before others; rows of one id are one document; an empty table
     gives no rows; other columns are not read.
@@ -298,22 +324,34 @@ def repeated_lines(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", te
     rows = cut_lineage(line_rows(docs, rule, key, text))
     first = F.min(F.struct("doc_id", "line"))
     lines = rows.groupBy("lid").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-    links = line_links(docs, rule, text)
+    links, near = line_links(docs, rule, text)
     rooted = components(links)
     classed = lines.join(rooted.withColumnRenamed("node", "lid"), "lid", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "lid"))
-    classed = cut_lineage(classed)
+    classed = cut_lineage(classed.join(near, "lid", "left").withColumn("near", F.coalesce("near", F.lit(0))))
     stays = classed.groupBy("root").agg(F.min(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "lid")).alias("stay"))
-    target = salted_join(classed.select("lid", "root"), stays, ["root"], ["lid"]).select("lid", "stay")
-    found = salted_join(rows, target, ["lid"], ["doc_id", "line"])
-    return found.filter(~(F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("line") == F.col("stay.line")))).select(
-        "doc_id", "line", F.col("stay.doc_id").alias("first_doc"), F.col("stay.line").alias("first_line"), (F.col("lid") == F.col("stay.lid")).alias("exact"))
+    target = salted_join(classed.select("lid", "root", "near"), stays, ["root"], ["lid"]).select("lid", "stay", "near")
+    return salted_join(rows, target, ["lid"], ["doc_id", "line"]).select(
+        "doc_id", "line", F.col("stay.doc_id").alias("first_doc"), F.col("stay.line").alias("first_line"), (F.col("lid") == F.col("stay.lid")).alias("exact"), "near")
+
+
+def is_first() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))
+
+
+def repeated_lines(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``line_classes`` that repeat an earlier line; the first line of each class stays."""
+    return line_classes(docs, rule, key, text).filter(~is_first())
 
 
 def line_report(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_near, links) per document id with lines that count or not; links are (line, first_doc, first_line, exact)."""
-    gone = repeated_lines(docs, rule, key, text).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_removed"), F.sum(F.when(F.col("exact"), 0).otherwise(1)).alias("n_near"),
-        F.array_sort(F.collect_set(F.struct("line", "first_doc", "first_line", "exact"))).alias("links"))
+    """(doc_id, n_lines, n_removed, n_near, links, leads) per document id with lines that count or not.
+
+    ``links`` are (line, first_doc, first_line, exact, near) of removed lines, ``leads`` (line, near) of lines that stay for their class.
+    """
+    gone = line_classes(docs, rule, key, text).withColumn("stays", is_first()).groupBy("doc_id").agg(
+        F.count_if(~F.col("stays")).alias("n_removed"), F.count_if(~F.col("stays") & ~F.col("exact")).alias("n_near"),
+        F.array_sort(F.collect_set(F.when(~F.col("stays"), F.struct("line", "first_doc", "first_line", "exact", "near")))).alias("links"),
+        F.array_sort(F.collect_set(F.when(F.col("stays"), F.struct("line", "near")))).alias("leads"))
     all_ = docs.select(F.col(key).cast("long").alias("doc_id"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     return all_.join(gone, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_removed", "n_near")})
 
