@@ -27,6 +27,8 @@ class Rule(NamedTuple):
     chars: int = 40
 
 
+#: Every line that is not empty counts; only those of 40 code points may differ.
+EVERY = Rule(words=1)
 #: Code points hashed at once, cells of a verification, members of a bucket compared in one task.
 POINTS, CELLS, GROUP_BLOCK = 1_000_000, 2_000_000, 2048
 #: Bytes of text whose lines are in memory at once.

@@ -97,5 +97,5 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """For every document, its lines that repeat an earlier line up to two edits."""
-    return lines.line_report(table(spark, folder, "documents"))
+    """For every document, its lines that repeat an earlier line up to two edits, and how many distinct lines are near; no line is too short to repeat."""
+    return lines.line_report(table(spark, folder, "documents"), lines.EVERY)
