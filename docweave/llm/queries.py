@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import ann, bpe, chat, counts, lines, neardup, packing, quality, shards, toxicity
+from docweave.llm import ann, audit, bpe, chat, counts, lines, neardup, packing, periods, pieces, quality, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,3 +99,64 @@ def op8_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """For every document, its lines that repeat an earlier line up to two edits, and how many distinct lines are near; no line is too short to repeat."""
     return lines.line_report(table(spark, folder, "documents"), lines.EVERY)
+
+
+@query
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded by the 32k piece vocabulary, with begin and end, and decoded again."""
+    return pieces.encode_decode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes from the documents of each source, in all 120 orders."""
+    return audit.filter_audit(spark, f"{folder.rstrip('/')}/documents.parquet", table(spark, folder, "labels"))
+
+
+SQL["op12_filter_audit"] = r"""
+with texts as (select doc_id, coalesce("source", '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') words,
+    min(doc_id) over (partition by coalesce(text, '')) least from documents),
+marks as (select doc_id, coalesce(max((quality = 1)::int), 0) good, coalesce(max((toxic = 1)::int), 0) toxic from labels group by doc_id),
+failed as (select part, (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > least, false)::int mask, coalesce(good, 0) good, coalesce(toxic, 0) toxic from texts left join marks using (doc_id)),
+counted as (select part, mask, count(*) n, sum(good) good, sum(toxic) toxic from failed group by all),
+letters(l, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (select a.l || b.l || c.l || d.l || e.l filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] bits from letters a, letters b, letters c, letters d, letters e
+    where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+places as (select filter_order, step::int step, bits[step] f, coalesce(list_sum(bits[1:step - 1]), 0)::int before from orders, generate_series(1, 5) s(step)),
+steps as (select part, filter_order, step, f,
+    coalesce(sum(n) filter (mask & (f | before) = 0), 0)::bigint kept, coalesce(sum(n) filter (mask & before = 0 and mask & f <> 0), 0)::bigint removed,
+    coalesce(sum(n) filter (mask & before <> 0 and mask & f <> 0), 0)::bigint redundant, coalesce(sum(n) filter (mask = f), 0)::bigint unique_fails,
+    coalesce(sum(good) filter (mask & before = 0 and mask & f <> 0), 0)::bigint good_lost, coalesce(sum(toxic) filter (mask & before = 0 and mask & f <> 0), 0)::bigint toxic_lost
+    from counted, places group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, f))::bigint shapley from steps
+"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every text, after the contract's repetitions are put into some."""
+    return periods.periodic_runs(table(spark, folder, "documents"), plant=True)
+
+
+SQL["op13_periodic_runs"] = r"""
+with texts as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+bits as (select r, doc_id, w, len(w)::bigint n, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: list_transform(range(0, 8), lambda b: (ascii(c) >> b) & 1))) bits from texts),
+hashed as (select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(bits, lambda b: b::bigint)),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))) h from bits),
+changed as (select *, case when h % 10 = 0 and n > 0 then (h // 10) % n end a, h // 10 g from hashed),
+spaced as (select *, 1 + (n - a) // (3 + g % 8) p from changed),
+words as (select r, doc_id, n, i, w[1 + case when i >= a then a + (i - a) % p else i end] x from spaced, unnest(range(0, n)) u(i)),
+same as (select k.r, k.n, k.i j, k.i - e.i d from words k join words e on e.r = k.r and e.x = k.x and e.i < k.i and 4 * (k.i - e.i) <= k.n),
+cells as (select *, j - row_number() over (partition by r, d order by j) island from same),
+streaks as (select r, d q, min(j) - d s, count(*) + d len from cells group by r, d, island having count(*) + d >= greatest(6, 4 * d)),
+runs as (select * from streaks a where not exists (select 1 from streaks b where b.r = a.r and b.q < a.q and b.s <= a.s and b.s + b.len >= a.s + a.len)),
+told as (select r, count(*)::bigint n_runs, sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q)) runs_sha256,
+    arg_min({'s': s, 'len': len, 'q': q}, (-len, s, q)) top from runs group by r),
+gone as (select distinct w.r, w.i from words w join runs u on u.r = w.r and w.i between u.s + u.q and u.s + u.len - 1),
+kept as (select w.r, sha256(string_agg(x, ' ' order by i)) collapsed_sha256, count(*)::bigint n_kept from words w anti join gone using (r, i) group by w.r)
+select t.doc_id, coalesce(n_runs, 0) n_runs, top.s::bigint "start", top.len::bigint length, top.q::bigint period, (1000 * top.len // top.q)::bigint exponent_milli,
+    coalesce(runs_sha256, sha256('')) runs_sha256, coalesce(collapsed_sha256, sha256('')) collapsed_sha256, len(t.w)::bigint n_words, len(t.w)::bigint - coalesce(n_kept, 0) n_dropped
+from texts t left join told using (r) left join kept using (r)
+"""
