@@ -78,13 +78,12 @@ def failure_counters(spark: SparkSession, documents: str, labels: DataFrame, fol
     micro-batch; called again with the same folder, only new files are read, and a run that was cut off goes on.
     A micro-batch that is repeated writes its changes over itself. The state holds 16 bytes of a text's hash,
     its least id and the failures of the rows with that id; texts are hashed to cells of about ``TEXTS_PER_CELL``,
-    so that one entry serves many texts, and a text that very many rows share reaches it once per block and task.
+    so that one entry serves many texts, and a text that very many rows share reaches it once per block and task. The
+    session's state store provider holds it: the default one in the executors' memory, about a fiftieth of the texts' size, RocksDB on their disks.
     """
     session = spark.newSession()
-    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
         session.conf.set(name, spark.conf.get(name))
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     table = session.read.parquet(documents)
     plan, inputs, where = f"{folder}/plan", table.inputFiles(), documents.rstrip("/")
     if [x.rsplit("/", 1)[1] for x in inputs] == [where.rsplit("/", 1)[-1]]:
