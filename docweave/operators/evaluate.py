@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from docweave.functions.text import bigram_set, bigrams, overlap_share
+from docweave.operators.sequential import in_ranges
 
 
 def golden_metrics(ranked: DataFrame, golden: DataFrame, k: int) -> DataFrame:
@@ -84,30 +85,25 @@ def quality_report(questions: DataFrame, ranked: DataFrame, golden: DataFrame, k
         F.when(med_yes > 0, F.round(med_no / med_yes, 4)).alias("no_answer_separation"))
 
 
-def order_statistic(rows: DataFrame, group: list[str], value: str, index: Callable[[Column], Column], name: str,
-                    buckets: int = 256) -> DataFrame:
+def order_statistic(rows: DataFrame, group: list[str], value: str, index: Callable[[Column], Column], name: str) -> DataFrame:
     """(group, n, name): the value at 0-based place ``index(n)`` of each sorted group.
 
-    No group is sorted whole: values are counted in equal-width buckets, the bucket of
-    the wanted place is found from at most ``buckets`` counts, and only the distinct
-    values of that bucket are put in order.
+    No group is sorted whole: equal values are counted first, the distinct ones are dealt to ranges of about equal
+    size, the range of the wanted place is found from one count per range, and only its values are
+    put in order. A value far from all others, or a group with most of the rows, makes no range larger.
     """
     v = F.col(value).cast("double")
-    rows = rows.filter(v.isNotNull()).select(*group, v.alias("_v"))
-    span = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * buckets)).otherwise(F.lit(0).cast("long"))
-    placed = rows.join(span, group).withColumn("_b", bucket)
-    counts = placed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("n").alias("n"))
-    upto = F.sum("_c").over(W.partitionBy(*group).orderBy("_b"))
-    target = counts.withColumn("_upto", upto).withColumn("_i", index(F.col("n")).cast("long")).filter(
-        (F.col("_i") < F.col("_upto")) & (F.col("_i") >= F.col("_upto") - F.col("_c"))).select(
-        *group, "_b", (F.col("_i") - (F.col("_upto") - F.col("_c"))).alias("_skip"))
-    near = placed.join(target, [*group, "_b"]).groupBy(*group, "_v").agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_skip").alias("_skip"), F.first("n").alias("n"))
+    counted = rows.filter(v.isNotNull()).groupBy(*group, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = in_ranges(counted, [*group, "_v"])
+    of = W.partitionBy(*group)
+    counts = placed.groupBy(*group, "_range").agg(F.sum("_c").alias("_sum")).withColumn("n", F.sum("_sum").over(of)).withColumn("_upto", F.sum("_sum").over(of.orderBy("_range")))
+    target = counts.withColumn("_i", index(F.col("n")).cast("long")).filter((F.col("_i") < F.col("_upto")) & (F.col("_i") >= F.col("_upto") - F.col("_sum"))).select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_range").alias("_at"), "n", (F.col("_i") - (F.col("_upto") - F.col("_sum"))).alias("_skip"))
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     run = F.sum("_c").over(W.partitionBy(*group).orderBy("_v"))
-    return near.withColumn("_r", run).filter(F.col("_r") > F.col("_skip")).groupBy(*group).agg(
-        F.first("n").alias("n"), F.min("_v").alias(name))
+    return placed.join(F.broadcast(target) if not group else target, same).withColumn("_r", run).filter(F.col("_r") > F.col("_skip")).groupBy(*group).agg(F.first("n").alias("n"), F.min("_v").alias(name))
 
 
 def p95_floor(n: Column) -> Column:

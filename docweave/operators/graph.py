@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
@@ -11,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from docweave.functions.text import extract_links, normalize_title, rows_of
 from docweave.functions.vectors import cosine
 from docweave.operators.dense import distinct_vectors, similar_pairs
-from docweave.operators.sequential import scan_groups
+from docweave.operators.sequential import numbered_in_order
 from docweave.operators.sizing import broadcast_if_small
+from docweave.session import cut_lineage
 
 ANCHOR = 8
 
@@ -254,40 +254,50 @@ def match_titles(candidates: DataFrame, pages: DataFrame, scored: DataFrame, thr
     nth = lambda order: F.row_number().over(W.partitionBy("kb_id", "norm").orderBy(order))
     c = candidates.withColumn("norm", normalize_title(F.col("title"))).withColumn("n", nth("pos"))
     p = pages.withColumn("norm", normalize_title(F.col("title"))).withColumn("n", nth("page_id"))
-    exact = c.join(p.select("kb_id", "norm", "n", "page_id"), ["kb_id", "norm", "n"]).select("kb_id", "cand_id", "page_id", F.lit("title").alias("how"))
+    exact = cut_lineage(c.join(p.select("kb_id", "norm", "n", "page_id"), ["kb_id", "norm", "n"]).select("kb_id", "cand_id", "page_id", F.lit("title").alias("how")))
     gone = exact.select("kb_id", "page_id")
     if copies is None:
         copies = scored.select("kb_id", "page_id", F.col("page_id").alias("class_id")).distinct()
     queues = copies.join(gone, ["kb_id", "page_id"], "left_anti")
-    open_pairs = scored.filter(F.col("score") >= threshold).join(exact.select("kb_id", "cand_id"), ["kb_id", "cand_id"], "left_anti").join(
-        candidates.select("kb_id", "cand_id", "pos"), ["kb_id", "cand_id"])
-    offers = open_pairs.groupBy("kb_id", "pos", "cand_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("page_id").alias("class_id")))).alias("x"))
-    kinds = {f.name: f.dataType.simpleString() for f in offers.schema.fields} | {f.name: f.dataType.simpleString() for f in queues.schema.fields}
-    # the pages of a base are read before its candidates; arrays, as ids must not meet nulls in pandas
-    none = lambda name: F.array().cast(f"array<{kinds[name]}>").alias(name)
-    one = lambda name: F.array(name).alias(name)
-    read = queues.select("kb_id", F.lit(0).alias("turn"), F.lit(None).cast(kinds["pos"]).alias("pos"), none("cand_id"), one("page_id"), one("class_id"), F.array().cast("array<double>").alias("s")).unionByName(
-        offers.select("kb_id", F.lit(1).alias("turn"), "pos", one("cand_id"), none("page_id"), F.transform("x", lambda x: x["class_id"]).alias("class_id"), F.transform("x", lambda x: x["s"].cast("double")).alias("s")))
-
-    def step(open_pages: dict, rows: dict) -> tuple:
-        hits = []
-        for kb, turn, cand, page, wanted, far in zip(*(rows[c] for c in ("kb_id", "turn", "cand_id", "page_id", "class_id", "s"))):
-            if turn == 0:
-                open_pages.setdefault(wanted[0], deque()).append(page[0])
-                continue
-            best = None
-            for d, c in zip(far, wanted):
-                if best is not None and d != best[0]:
-                    break
-                if open_pages.get(c) and (best is None or open_pages[c][0] < best[1]):
-                    best = d, open_pages[c][0], c
-            if best is not None:
-                hits.append((kb, cand[0], open_pages[best[2]].popleft(), "vector"))
-        return tuple(zip(*hits))
-
-    greedy = scan_groups(read, ["kb_id"], ["turn", "pos", "page_id"], dict, step,
-                         f"kb_id {kinds['kb_id']}, cand_id {kinds['cand_id']}, page_id {kinds['page_id']}, how string")
-    return exact.unionByName(greedy)
+    offers = scored.filter(F.col("score") >= threshold).join(exact.select("kb_id", "cand_id"), ["kb_id", "cand_id"], "left_anti").join(
+        candidates.select("kb_id", "cand_id", "pos"), ["kb_id", "cand_id"]).select("kb_id", "pos", "cand_id", F.col("page_id").alias("class_id"), "score")
+    return exact.unionByName(first_come(offers, queues).withColumn("how", F.lit("vector")))
+
+
+#: Places in a queue, and positions of candidates, that are counted together.
+STRETCH = 4096
+
+
+def first_come(offers: DataFrame, queues: DataFrame) -> DataFrame:
+    """(kb_id, cand_id, page_id): what each candidate takes when they choose one after the other by ``pos``.
+
+    ``offers``: kb_id, pos, cand_id, class_id, score; ``queues``: kb_id, class_id, page_id. A candidate takes the best class with a
+    page left, and of equally good classes the one whose next page comes first; a class gives its pages in order.
+
+    All candidates choose at once, as if those before them would take what they took in the last round: a
+    class has then given as many pages as it has takers of lower position. The first candidate's choice depends on nobody, the
+    second's on the first's, so what no longer changes is the outcome of choosing in turn; chains of candidates
+    who push each other away, not the candidates, make the rounds. Takers are counted in stretches of positions, and
+    pages of a queue are met by their number, so no base or class is held by one task.
+    """
+    numbered = numbered_in_order(queues.select("kb_id", "class_id", "page_id"), ["kb_id", "class_id"], "page_id")
+    queue = cut_lineage(numbered.select("kb_id", "class_id", "page_id", "n"))
+    offers = cut_lineage(offers.withColumn("part", F.floor(F.col("pos") / STRETCH).cast("long")))
+    taken, seen = offers.select("kb_id", "pos", "cand_id", "class_id").withColumn("page_id", F.lit(None)).filter("false"), None
+    while True:
+        both = offers.withColumn("took", F.lit(0)).unionByName(
+            taken.select("kb_id", "pos", "cand_id", "class_id", F.lit(None).cast("double").alias("score"), F.floor(F.col("pos") / STRETCH).cast("long").alias("part"), F.lit(1).alias("took")))
+        takers = both.groupBy("kb_id", "class_id", "part").agg(F.sum("took").alias("c"))
+        before = takers.select("kb_id", "class_id", "part", F.coalesce(F.sum("c").over(W.partitionBy("kb_id", "class_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        inside = F.coalesce(F.sum("took").over(W.partitionBy("kb_id", "class_id", "part").orderBy("pos").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+        reach = both.withColumn("inside", inside).filter("took = 0").join(before, ["kb_id", "class_id", "part"]).withColumn("n", (F.col("before") + F.col("inside")).cast("long"))
+        choice = reach.join(queue, ["kb_id", "class_id", "n"]).groupBy("kb_id", "pos", "cand_id").agg(
+            F.min(F.struct((-F.col("score")).alias("s"), "page_id", "class_id")).alias("x"))
+        taken = cut_lineage(choice.select("kb_id", "pos", "cand_id", "x.class_id", "x.page_id"))
+        now = taken.agg(F.count(F.lit(1)), F.sum(F.xxhash64("kb_id", "cand_id", "page_id").cast("decimal(20,0)"))).first()
+        if now == seen:
+            return taken.select("kb_id", "cand_id", "page_id")
+        seen = now
 
 
 def fact_retention(facts: DataFrame, threshold: float = 0.75) -> DataFrame:

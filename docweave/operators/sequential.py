@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from docweave.session import cut_lineage
 
 Rows = dict[str, np.ndarray]
 
@@ -82,6 +83,23 @@ def segments(df: DataFrame, keys: list[str], at: str, gap: float, slice_width: f
         "_s", "_before", "_prev", "_open", "_run", "_carry")
 
 
+def in_ranges(rows: DataFrame, cols: list[str], name: str = "_range") -> DataFrame:
+    """``rows`` dealt by ranges of ``cols``, cut by a sample of their values so that ranges hold about as many rows each, with the number of the range.
+
+    Numbers rise with the columns. Neither one key with most rows nor one value far from the others makes a large range.
+    """
+    return cut_lineage(rows.repartitionByRange(*cols).withColumn(name, F.spark_partition_id()))
+
+
+def numbered_in_order(rows: DataFrame, keys: list[str], order: str, name: str = "n") -> DataFrame:
+    """Adds the number of each row, from 0, within its keys by ``order``; a key with any number of rows is many tasks."""
+    ranged = in_ranges(rows, [*keys, order])
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    start = F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(order)) - 1
+    return ranged.withColumn("_i", inside).join(sizes.withColumn("_start", start), [*keys, "_range"]).withColumn(name, (F.col("_i") + F.col("_start")).cast("long")).drop("_i", "_start", "_c", "_range")
+
+
 def seconds(ts: Column) -> Column:
     """Timestamp as seconds with microseconds."""
     return F.unix_micros(ts) / 1e6

@@ -63,12 +63,15 @@ def merge_usage(*parts: DataFrame) -> DataFrame:
         "estimated_cost", F.round("estimated_cost", 6)).drop("total_latency_ms")
 
 
+def merge_versions(rows: DataFrame, version: str) -> DataFrame:
+    """Daily rows of several versions summed per key; a non-empty error of a later version replaces an earlier one."""
+    said = F.when(F.coalesce("last_error", F.lit("")) != "", F.col(version))
+    return rows.groupBy(*USAGE_KEY).agg(*[F.sum(c).alias(c) for c in SUM_FIELDS], F.coalesce(F.max_by("last_error", said), F.lit("")).alias("last_error"))
+
+
 def upsert_usage(stored: DataFrame, deltas: DataFrame) -> DataFrame:
     """Stored rows with deltas added; a non-empty newer error replaces the old one."""
-    both = stored.withColumn("_new", F.lit(0)).unionByName(deltas.withColumn("_new", F.lit(1)))
-    said = F.when(F.coalesce("last_error", F.lit("")) != "", F.col("_new"))
-    return both.groupBy(*USAGE_KEY).agg(*[F.sum(c).alias(c) for c in SUM_FIELDS],
-                                        F.coalesce(F.max_by("last_error", said), F.lit("")).alias("last_error"))
+    return merge_versions(stored.withColumn("_new", F.lit(0)).unionByName(deltas.withColumn("_new", F.lit(1))), "_new")
 
 
 def feedback_stats(feedback: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from docweave.plans.catalog import QUERIES, SQL
 
-MODULES = ["corpus", "retrieval", "evaluation", "operations", "knowledge", "answers", "windows"]
+MODULES = ["corpus", "retrieval", "evaluation", "operations", "knowledge", "answers", "windows", "deletions"]
 
 for _name in MODULES:
     import_module(f"docweave.plans.{_name}")

@@ -146,7 +146,18 @@ def compare_answers(t) -> DataFrame:
     return graph.compare_answers(t.embeddings.select(F.col("label").alias("question_id"), F.col("vec_id").alias("kb_id"), "embedding"))
 
 
-@query("match_titles")
+@query("match_titles", f"""WITH RECURSIVE {s.VECTORS}, c AS (SELECT label, vec_id, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM v WHERE vec_id % 2 = 1),
+p AS (SELECT label, vec_id, e, (vec_id * 3)::VARCHAR AS title FROM v WHERE vec_id % 2 = 0),
+same AS (SELECT label, c.vec_id AS cand, p.vec_id AS page FROM c JOIN p USING (label) WHERE title = c.vec_id::VARCHAR),
+turns AS (SELECT label, vec_id, e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM c WHERE vec_id NOT IN (SELECT cand FROM same)),
+near AS (SELECT label, t.n, t.vec_id AS cand, p.vec_id AS page, round(list_cosine_similarity(t.e, p.e), 6) AS score FROM turns t JOIN p USING (label)
+  WHERE p.vec_id NOT IN (SELECT page FROM same) AND round(list_cosine_similarity(t.e, p.e), 6) >= 0.2),
+options AS (SELECT label, n, cand, list(page ORDER BY score DESC, page) AS pages FROM near GROUP BY ALL),
+steps AS (SELECT label, 0::BIGINT AS n, NULL::BIGINT AS cand, NULL::BIGINT AS page, []::BIGINT[] AS taken FROM (SELECT DISTINCT label FROM v)
+  UNION ALL SELECT label, n, cand, page, CASE WHEN page IS NULL THEN taken ELSE list_append(taken, page) END FROM (
+    SELECT s.label, s.n + 1 AS n, o.cand, list_filter(o.pages, lambda x: NOT list_contains(s.taken, x))[1] AS page, s.taken FROM steps s LEFT JOIN options o ON o.label = s.label AND o.n = s.n + 1
+    WHERE s.n < (SELECT count(*) FROM turns)))
+SELECT label AS kb_id, cand AS cand_id, page AS page_id, 'title' AS how FROM same UNION ALL SELECT label, cand, page, 'vector' FROM steps WHERE page IS NOT NULL""")
 def match_titles(t) -> DataFrame:
     """Odd vectors matched one to one with even ones of their class, best first in order."""
     e = t.embeddings
@@ -161,7 +172,7 @@ def match_titles(t) -> DataFrame:
     both = dense.class_pairs(pairs).select("id", "other", "score").unionByName(same).withColumnsRenamed({"id": "cand_class", "other": "class_id"})
     classes = wanted.select("kb_id", "cand_class").distinct().join(both, "cand_class").join(queue.select("kb_id", "class_id").distinct(), ["kb_id", "class_id"])
     scored = salted_join(wanted, classes, ["kb_id", "cand_class"], ["cand_id"]).select("kb_id", "cand_id", F.col("class_id").alias("page_id"), "score")
-    return graph.match_titles(cand, pages, scored, 0.2, queue)
+    return graph.match_titles(cand, pages, scored.withColumn("score", F.round("score", 6)), 0.2, queue)
 
 
 @query("fact_retention", f"""WITH {s.CHANNELS}, f AS (SELECT label AS page, query_id, max(round(score, 6)) >= 0.35 AS kept FROM dense JOIN v ON vec_id = query_id WHERE rank <= 5 GROUP BY 1, 2)

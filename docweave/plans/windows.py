@@ -99,19 +99,48 @@ def document_status(t) -> DataFrame:
     return windows.latest_status(rows, "doc_id").select("doc_id", "status", "changes")
 
 
-@query("rate_limit")
+def in_turn(rows: str, state: str, step: str, groups: str = "k") -> str:
+    """A twin that reads the rows of each group one after the other: ``rows`` selects k, id, moment and what ``step`` (the new state) needs."""
+    keys = groups.split(", ")
+    same = " AND ".join(f"e.{g} = st.{g}" for g in keys)
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY {groups} ORDER BY moment, id) AS n FROM ({rows})),
+st AS (SELECT {groups}, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BOOLEAN AS admitted, {state} FROM (SELECT DISTINCT {groups} FROM e)
+  UNION ALL SELECT {', '.join('e.' + g for g in keys)}, e.n, e.id, {step} FROM st JOIN e ON {same} AND e.n = st.n + 1)"""
+
+
+LIVE = "list_filter(stamps, lambda x: moment - x <= 43200)"
+
+
+@query("rate_limit", in_turn("SELECT user_id::VARCHAR AS k, event_id AS id, epoch_us(ts) / 1000000.0::DOUBLE AS moment FROM events", "[]::DOUBLE[] AS stamps",
+       f"len({LIVE}) < 3, CASE WHEN len({LIVE}) < 3 THEN list_append({LIVE}, moment) ELSE {LIVE} END") + " SELECT k AS user_id, id AS event_id, admitted FROM st WHERE n > 0")
 def rate_limit(t) -> DataFrame:
     """Events admitted at three per half day and user."""
     return limits.rate_limit(t.events, "user_id", "event_id", 3, 43200.0)
 
 
-@query("daily_quota")
+@query("daily_quota", in_turn("SELECT user_id::VARCHAR AS k, event_id AS id, epoch_us(ts) AS moment, ts::DATE AS day, value FROM events", "0.0::DOUBLE AS used",
+       "value <= 0 OR used + value <= 100, CASE WHEN value > 0 AND used + value <= 100 THEN used + value ELSE used END", "k, day") + " SELECT k AS user_id, id AS event_id, admitted FROM st WHERE n > 0")
 def daily_quota(t) -> DataFrame:
     """Amounts admitted up to 100 a day and user."""
     return limits.daily_quota(t.events, "user_id", "event_id", "value", 100.0)
 
 
-@query("concurrency_slots")
+@query("quota_refunds", in_turn("SELECT (user_id % 12)::VARCHAR AS k, event_id AS id, epoch_us(ts) AS moment, ts::DATE AS day, value, event_type = 'error' AS back FROM events", "0.0::DOUBLE AS used",
+       "CASE WHEN back THEN NULL ELSE value <= 0 OR used + value <= 200 END, CASE WHEN back THEN greatest(0, used - greatest(0, value)) WHEN value > 0 AND used + value <= 200 THEN used + value ELSE used END", "k, day")
+       + " SELECT k AS account, id AS event_id, admitted FROM st WHERE n > 0 AND admitted IS NOT NULL")
+def quota_refunds(t) -> DataFrame:
+    """Amounts admitted up to 200 a day and account, where failed events give theirs back."""
+    rows = t.events.select((F.col("user_id") % 12).alias("account"), "event_id", "ts", "value", F.when(F.col("event_type") == "error", "refund").alias("action"))
+    return limits.daily_quota(rows, "account", "event_id", "value", 200.0, "action")
+
+
+LAPSED = "CASE WHEN open > 0 AND moment - last > 43200 THEN 0 ELSE open END"
+
+
+@query("concurrency_slots", in_turn("SELECT user_id::VARCHAR AS k, event_id AS id, epoch_us(ts) / 1000000.0::DOUBLE AS moment, event_type = 'view' AS asks FROM events WHERE event_type IN ('view', 'error')",
+       "0::BIGINT AS open, 0.0::DOUBLE AS last", f"""CASE WHEN asks THEN ({LAPSED}) < 2 END,
+  CASE WHEN NOT asks THEN greatest(0, open - 1) WHEN ({LAPSED}) < 2 THEN ({LAPSED}) + 1 ELSE ({LAPSED}) END, CASE WHEN asks AND ({LAPSED}) < 2 THEN moment ELSE last END""")
+       + " SELECT k AS user_id, id AS event_id, admitted FROM st WHERE admitted IS NOT NULL")
 def concurrency_slots(t) -> DataFrame:
     """Slots acquired by views and freed by errors, two per user for 12 hours."""
     rows = t.events.filter(F.col("event_type").isin("view", "error")).withColumn("action", F.when(F.col("event_type") == "view", "acquire").otherwise("release"))

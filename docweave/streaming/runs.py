@@ -12,30 +12,61 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docweave.functions.rules import REDACTION, SECRET_RULES
 from docweave.operators.sequential import scan_groups
-from docweave.operators.usage import upsert_usage, usage_daily, usage_measures
+from docweave.operators.usage import merge_versions, usage_daily, usage_measures
+from docweave.sources.folders import folder_there, move_folder, remove_folder, subfolders
 
 
 def usage_ledger_stream(calls: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
-    """Adds each batch of calls to a Parquet ledger of versions ``ledger/v=<batch id>``.
+    """Writes the daily sums of each batch of calls to ``ledger/deltas/batch=<batch id>``; ``usage_ledger`` merges them.
 
-    A repeated batch id overwrites its own version from the version before it, so a
-    restart after a failure adds nothing twice.
+    A batch writes rows for its own days and keys only, however long the ledger is. A repeated batch
+    overwrites its own folder, so a restart after a failure adds nothing twice.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        deltas = usage_daily(usage_measures(batch))
-        stored = _version(spark, ledger, batch_id - 1)
-        out = deltas if stored is None else upsert_usage(stored, deltas)
-        out.write.mode("overwrite").parquet(f"{ledger}/v={batch_id}")
+        usage_daily(usage_measures(batch)).write.mode("overwrite").parquet(f"{ledger}/deltas/batch={batch_id}")
 
     return calls.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _version(spark: SparkSession, ledger: str, version: int) -> DataFrame | None:
-    if version < 0:
-        return None
-    return spark.read.parquet(f"{ledger}/v={version}")
+def _ledger_parts(spark: SparkSession, ledger: str) -> tuple[int, DataFrame | None]:
+    """The last batch that is in a compacted version (-1: none), and that version with the deltas after it, numbered by batch."""
+    done, version = -1, None
+    if folder_there(spark, f"{ledger}/compact"):
+        versions = spark.read.parquet(f"{ledger}/compact")
+        done = versions.agg(F.max("upto")).first()[0]
+        version = versions.filter(F.col("upto") == done).withColumnRenamed("upto", "batch")
+    if folder_there(spark, f"{ledger}/deltas"):
+        deltas = spark.read.parquet(f"{ledger}/deltas").filter(F.col("batch") > done)
+        version = deltas if version is None else version.unionByName(deltas)
+    return done, version
+
+
+def usage_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """The ledger as of now: the newest compacted version and the deltas of later batches, summed; None before the first batch."""
+    _, parts = _ledger_parts(spark, ledger)
+    return None if parts is None else merge_versions(parts, "batch")
+
+
+def compact_ledger(spark: SparkSession, ledger: str) -> int:
+    """Folds all deltas into one version ``ledger/compact/upto=<batch id>`` and removes what it replaces; returns that batch id.
+
+    The version counts for readers once it is written whole, and only then older versions and the deltas in it are removed; a
+    compaction that is cut off leaves a ledger that reads the same. A stream may go on meanwhile: its new batches are later.
+    """
+    done, parts = _ledger_parts(spark, ledger)
+    if parts is None:
+        return -1
+    last = parts.agg(F.max("batch")).first()[0]
+    if last > done:
+        part = f"{ledger}/compact/_making"
+        merge_versions(parts.filter(F.col("batch") <= last), "batch").write.mode("overwrite").parquet(part)
+        move_folder(spark, part, f"{ledger}/compact/upto={last}")
+    for kind, name, stale in (("compact", "upto", lambda n: n < last), ("deltas", "batch", lambda n: n <= last)):
+        for folder in subfolders(spark, f"{ledger}/{kind}"):
+            if folder.startswith(f"{name}=") and stale(int(folder.split("=")[1])):
+                remove_folder(spark, f"{ledger}/{kind}/{folder}")
+    return last
 
 
 # fixed values: text that may open a secret, and how much is held back

@@ -1,7 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.functions.numbers import closest_reference
 from docweave.operators import evaluate as ev, experiments as ex, graph
+from docweave.operators.sequential import in_ranges, numbered_in_order
 
 
 def rows(df, *cols):
@@ -91,13 +95,12 @@ def test_metrics(spark):
 
 
 def test_order_statistics_follow_the_definitions(spark):
-    import random
 
     rng = random.Random(2)
     vals = [(g, round(rng.expovariate(0.01), 1)) for g in range(3) for _ in range([1, 21, 100][g])]
     df = spark.createDataFrame(vals, "g int, v double")
     for fn, pick in ((ev.p95_floor, lambda s: s[int(0.95 * (len(s) - 1))]), (ev.p95_capped, lambda s: s[min(len(s) - 1, len(s) * 95 // 100)])):
-        got = {r["g"]: r["p"] for r in ev.order_statistic(df, ["g"], "v", fn, "p", buckets=7).collect()}
+        got = {r["g"]: r["p"] for r in ev.order_statistic(df, ["g"], "v", fn, "p").collect()}
         assert got == {g: pick(sorted(v for k, v in vals if k == g)) for g in range(3)}
 
 
@@ -123,3 +126,50 @@ def test_trajectories_and_gates(spark):
     cur = spark.createDataFrame([("n", 5.0), ("fast", 3.0), ("slow", 20.0)], "metric string, value double")
     base = spark.createDataFrame([("n", 5.0), ("fast", 1.0), ("slow", 10.0), ("gone", 1.0)], "metric string, value double")
     assert dict(rows(ev.regression_gate(cur, base, ["n"]), "metric", "verdict")) == {"n": "ok", "fast": "warn", "slow": "fail", "gone": "missing"}
+
+
+def test_one_outlier_moves_no_value_into_one_task(spark):
+    """Most values lie close together in one group, and one lies a billion times further; ranges stay even."""
+    rng = random.Random(8)
+    rows = [("hot", rng.random()) for _ in range(6000)] + [("hot", 1e12), ("hot", -1e300)] + [("cold", float(n)) for n in range(40)] + [(None, 3.0), (None, 5.0), ("cold", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = in_ranges(df.filter("v is not null"), ["g", "v"]).groupBy("_range").count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 2.5 * len(rows) / len(sizes)
+    got = {r["g"]: (r["n"], r["p"]) for r in ev.order_statistic(df, ["g"], "v", ev.p95_floor, "p").collect()}
+    for g in ("hot", "cold", None):
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == (len(values), values[95 * (len(values) - 1) // 100])
+    refs = spark.createDataFrame([("hot", 0.5), ("hot", 1e12), ("hot", 0.5), ("cold", 7.0), (None, 4.0)], "g string, value double")
+    out = closest_reference(df.filter("v is not null").withColumnRenamed("v", "value"), refs, ["g"]).collect()
+    known = {"hot": [0.5, 1e12], "cold": [7.0], None: [4.0]}
+    assert len(out) == len(rows) - 1 and all(r.closest == min(known[r.g], key=lambda x: (abs(x - r.value), x)) for r in out)
+
+
+def test_numbers_in_order_over_many_ranges(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("aaaaab"), x) for x in rng.sample(range(10_000), 3000)]
+    got = numbered_in_order(spark.createDataFrame(rows, "k string, v int"), ["k"], "v").collect()
+    want = {(k, v): n for k in "ab" for n, v in enumerate(sorted(v for q, v in rows if q == k))}
+    assert {(r.k, r.v): r.n for r in got} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_matching_in_rounds_is_matching_in_turn(spark, monkeypatch, seed):
+    """One base has nearly all candidates, classes have many pages, scores tie; candidates are counted in short stretches."""
+    monkeypatch.setattr(graph, "STRETCH", 7)
+    rng = random.Random(seed)
+    offers = {(kb, c): {k: rng.choice([0.5, 0.6, 0.7, 0.8]) for k in rng.sample(range(12), rng.randrange(1, 7))} for kb, n in (("hot", 90), ("cold", 6)) for c in range(n)}
+    queues = {(kb, p): rng.randrange(12) for kb in ("hot", "cold") for p in range(60)}
+    got = graph.first_come(spark.createDataFrame([(kb, c * 3, f"c{c}", k, s) for (kb, c), x in offers.items() for k, s in x.items()], "kb_id string, pos int, cand_id string, class_id int, score double"),
+                           spark.createDataFrame([(kb, k, p) for (kb, p), k in queues.items()], "kb_id string, class_id int, page_id int")).collect()
+    want, left = set(), {}
+    for (kb, p), k in sorted(queues.items()):
+        left.setdefault((kb, k), []).append(p)
+    for (kb, c), x in sorted(offers.items()):
+        best = min(((-s, left[kb, k][0], k) for k, s in x.items() if left.get((kb, k))), default=None)
+        if best:
+            want.add((kb, f"c{c}", left[kb, best[2]].pop(0)))
+    assert {(r.kb_id, r.cand_id, r.page_id) for r in got} == want and len(want) > 30
+    assert graph.first_come(spark.createDataFrame([], "kb_id string, pos int, cand_id string, class_id int, score double"), spark.createDataFrame([], "kb_id string, class_id int, page_id int")).count() == 0

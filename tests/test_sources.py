@@ -61,14 +61,53 @@ def test_chunk_sink_copy_and_reingest(spark, tmp_path):
     assert n == {"scanned": 5, "written": 4, "skipped": 1}
     with pytest.raises(Exception, match="another length"):
         sinks.copy_with_vectors(back, embed, 3, str(tmp_path / "w"))
-    fresh = back.filter("document_id = 'd1' AND chunk_index < 3")
-    assert sinks.reingest(spark, str(tmp_path / "c"), fresh, str(tmp_path / "n1")) == {"removed": 4, "added": 3}
-    assert spark.read.parquet(str(tmp_path / "n1")).count() == 4
-    with pytest.raises(sinks.IngestRefused):
-        sinks.reingest(spark, str(tmp_path / "c"), back.filter("document_id = 'd1' AND chunk_index < 1"), str(tmp_path / "n2"))
-    empty = fresh.limit(1).withColumn("content", F.lit(None).cast("string"))
-    with pytest.raises(sinks.IngestRefused):
-        sinks.reingest(spark, str(tmp_path / "c"), empty, str(tmp_path / "n3"), allow_shrink=True)
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_reingest_replaces_documents_in_their_buckets(spark, tmp_path):
+    store, staged = tmp_path / "store", str(tmp_path / "stage")
+    chunks = spark.createDataFrame([("k", f"d{d}", i, f"text {d} {i}") for d in range(40) for i in range(4)], CHUNK)
+    sinks.write_bucketed(chunks, str(store), buckets=16)
+    before = files_of(store)
+    fresh = spark.createDataFrame([("k", "d3", i, f"new {i}") for i in range(3)] + [("k", "d99", 0, "first"), ("k", "d99", 1, None)], CHUNK)
+    got = sinks.reingest(spark, str(store), fresh, staged, buckets=16)
+    assert (got["removed"], got["added"]) == (4, 4) and got["buckets"] in (1, 2)
+    rows = {(r.document_id, r.chunk_index): r.content for r in spark.read.parquet(str(store)).collect()}
+    assert rows == {(f"d{d}", i): f"text {d} {i}" for d in range(40) for i in range(4) if d != 3} | {("d3", i): f"new {i}" for i in range(3)} | {("d99", 0): "first"}
+    after = files_of(store)
+    touched = {name.split("/")[0] for name in before.keys() ^ after.keys()}
+    assert len(touched) == got["buckets"] and all(after[n] == t for n, t in before.items() if n.split("/")[0] not in touched)
+    for bad, shrink in ([("k", "d5", 0, "one")], False), ([("k", "d5", 0, None)], True), ([("k", "d5", i, "x") for i in range(4)] + [("k", "d6", 0, None)], True):
+        with pytest.raises(sinks.IngestRefused):
+            sinks.reingest(spark, str(store), spark.createDataFrame(bad, CHUNK), staged, buckets=16, allow_shrink=shrink)
+    assert files_of(store) == after
+    assert sinks.reingest(spark, str(store), fresh.filter("false"), staged, buckets=16) == {"removed": 0, "added": 0, "buckets": 0}
+
+
+def test_reingest_is_finished_after_a_crash(spark, tmp_path, monkeypatch):
+    store, staged = str(tmp_path / "store"), str(tmp_path / "stage")
+    sinks.write_bucketed(spark.createDataFrame([("k", "d1", 0, "old"), ("k", "d2", 0, "old")], CHUNK), store, buckets=4)
+    fresh = spark.createDataFrame([("k", "d1", 0, "new")], CHUNK)
+    real = sinks.finish_reingest
+    calls = []
+
+    def crash(*args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(*args)
+
+    monkeypatch.setattr(sinks, "finish_reingest", crash)
+    with pytest.raises(RuntimeError):
+        sinks.reingest(spark, store, fresh, staged, buckets=4)
+    read = lambda: {r.document_id: r.content for r in spark.read.parquet(store).collect()}
+    assert read() == {"d1": "old", "d2": "old"}
+    monkeypatch.setattr(sinks, "finish_reingest", real)
+    assert sinks.finish_reingest(spark, store, staged) and read() == {"d1": "new", "d2": "old"}
+    assert not sinks.finish_reingest(spark, store, staged)
 
 
 def test_traces_export_and_reindex(spark, tmp_path):

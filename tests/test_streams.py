@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.numbers import value_clusters
 from docweave.operators.sequential import segments
+from docweave.sources import folders
 from docweave.streaming import limits, runs, windows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -97,6 +98,55 @@ def test_stream_rate_limit_equals_batch(spark, events, tmp_path):
     assert got == {(r["id"], r["admitted"]) for r in limits.rate_limit(df, "k", "id", 3, 300.0).collect()}
 
 
+def judged_by_stream(spark, tmp_path, batches, schema, rule, **columns):
+    """Each batch is a run of the stream from the checkpoint of the one before, so every batch is a restart."""
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    try:
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+            stream = limits.admission_stream(spark.readStream.schema(schema).parquet(path), "k", "id", rule, "600 seconds", **columns)
+            drain(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    return {r.id: r.admitted for r in spark.read.parquet(out).collect()}
+
+
+ADMISSIONS = "id long, ts timestamp, k string, v double, action string"
+
+
+def admissions(seed):
+    """Rows of three batches, each out of order by less than the delay, and a last one that moves the watermark past all."""
+    rng = random.Random(seed)
+    rows = [(i, T0 + dt.timedelta(seconds=rng.uniform(0, 200_000)), rng.choice("aab"), rng.choice([1.0, 5.0, 20.0, 40.0, 0.0, -3.0]), rng.choice([None, "acquire", "release", "refund"])) for i in range(240)]
+    rows.sort(key=lambda r: (r[1].timestamp() + rng.uniform(0, 590)))
+    last = (9999, T0 + dt.timedelta(days=30), "z", 0.0, None)
+    return rows, [rows[:120], rows[120:], [last]]
+
+
+@pytest.mark.parametrize("kind", ["rate", "quota", "slots"])
+def test_admission_streams_equal_the_table_forms(spark, tmp_path, kind):
+    rows, batches = admissions(len(kind))
+    table = spark.createDataFrame(rows, ADMISSIONS)
+    if kind == "rate":
+        got, want = judged_by_stream(spark, tmp_path, batches, ADMISSIONS, lambda: limits.RateLimit(3, 4000.0)), limits.rate_limit(table, "k", "id", 3, 4000.0)
+    elif kind == "quota":
+        got, want = judged_by_stream(spark, tmp_path, batches, ADMISSIONS, lambda: limits.DailyQuota(200.0), amount="v", action="action"), limits.daily_quota(table, "k", "id", "v", 200.0, "action")
+    else:
+        got, want = judged_by_stream(spark, tmp_path, batches, ADMISSIONS, lambda: limits.Slots(2, 3000.0), action="action"), limits.slots(table, "k", "id", 2, 3000.0)
+    want = {r.id: r.admitted for r in want.collect()}
+    got.pop(9999, None)
+    assert got == want and len(set(want.values())) == 2
+
+
+def test_a_refund_makes_room_for_one_admission(spark):
+    data = [(0, 0, 50.0, None), (1, 1, 50.0, None), (2, 2, 1.0, None), (3, 3, 50.0, "refund"), (4, 4, 50.0, None), (5, 5, 1.0, None), (6, 90_000, 100.0, None), (7, 90_001, 500.0, "refund"), (8, 90_002, 101.0, None), (9, 90_003, 100.0, None)]
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=s), "u", v, x) for i, s, v, x in data], ADMISSIONS.replace("k string, v", "k string, v"))
+    got = {r.id: r.admitted for r in limits.daily_quota(df, "k", "id", "v", 100.0, "action").collect()}
+    assert got == {0: True, 1: True, 2: False, 4: True, 5: False, 6: True, 8: False, 9: True}
+
+
 def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
     schema = "ts timestamp, failed boolean"
     at = lambda m: T0 + dt.timedelta(minutes=m)
@@ -127,10 +177,29 @@ def test_usage_ledger_counts_each_batch_once(spark, tmp_path):
               "input_tokens int, output_tokens int, in_price double, out_price double, error string")
     src, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
     call = (T0, "p", "m", "t", "USD", 1.0, True, 10, 10, 1.0, 1.0, None)
-    for n in (2, 3):
-        spark.createDataFrame([call] * n, schema).coalesce(1).write.mode("append").parquet(src)
-        drain(runs.usage_ledger_stream(spark.readStream.schema(schema).parquet(src), ledger, str(tmp_path / "cp")))
-    assert spark.read.parquet(f"{ledger}/v=1").first()["calls"] == 5
+    assert runs.usage_ledger(spark, ledger) is None and runs.compact_ledger(spark, ledger) == -1
+
+    def run(rows, cp="cp"):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        drain(runs.usage_ledger_stream(spark.readStream.schema(schema).parquet(src), ledger, str(tmp_path / cp)))
+        return runs.usage_ledger(spark, ledger).collect()
+
+    assert [r.calls for r in run([call] * 2)] == [2]
+    other = (T0, "q", "m", "t", "USD", 1.0, False, 10, 10, 1.0, 1.0, "late")
+    assert sorted((r.provider_id, r.calls) for r in run([call] * 3 + [other])) == [("p", 5), ("q", 1)]
+    assert [spark.read.parquet(f"{ledger}/deltas/batch={b}").count() for b in (0, 1)] == [1, 2]  # a batch's own rows only
+    assert runs.compact_ledger(spark, ledger) == 1 and folders.subfolders(spark, f"{ledger}/deltas") == []
+    assert folders.subfolders(spark, f"{ledger}/compact") == ["upto=1"]
+    rows = run([call, (T0, "q", "m", "t", "USD", 1.0, False, 1, 1, 1.0, 1.0, "later")])
+    assert sorted((r.provider_id, r.calls, r.last_error) for r in rows) == [("p", 6, ""), ("q", 2, "later")]
+    # a batch that runs again, and a compaction that stopped before it removed anything, add nothing
+    spark.read.parquet(f"{ledger}/deltas/batch=2").write.mode("overwrite").parquet(f"{ledger}/deltas/_again")
+    spark.read.parquet(f"{ledger}/deltas/_again").write.mode("overwrite").parquet(f"{ledger}/deltas/batch=2")
+    kept = spark.read.parquet(f"{ledger}/deltas/batch=2").collect()
+    assert runs.compact_ledger(spark, ledger) == 2
+    spark.createDataFrame(kept).write.parquet(f"{ledger}/deltas/batch=2")
+    assert sorted(map(str, runs.usage_ledger(spark, ledger).collect())) == sorted(map(str, rows))
+    assert runs.compact_ledger(spark, ledger) == 2 and folders.subfolders(spark, f"{ledger}/deltas") in ([], ["_again"])
 
 
 def test_guard_masks_across_fragments(spark):
