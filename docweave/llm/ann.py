@@ -17,10 +17,14 @@ OUT = "query_id long, vec_id long, score double"
 
 
 class Search(NamedTuple):
-    """``projected`` dimensions (even), the chance ``sure`` with which each true neighbour is met, and the seed of the projection."""
+    """``projected`` dimensions (even), the chance ``sure`` with which a vector as near as the k-th best is met, and the seed of the projection.
 
-    projected: int = 10
-    sure: float = 0.97
+    Nearer vectors are met more surely: with these values 0.95 of all neighbours on vectors of 64 random numbers, where the
+    20th neighbour is hardly nearer than the average vector, which is the worst case for any projection.
+    """
+
+    projected: int = 8
+    sure: float = 0.9
     leaves_at_once: int = 4
     seed: int = 7
 
@@ -88,14 +92,15 @@ class Block:
         self.low = np.stack([points[at].min(axis=0) for at in leaves])
         self.high = np.stack([points[at].max(axis=0) for at in leaves])
         self.search = search
+        self.points, self.verified = points, 0
 
     def nearest(self, queries: np.ndarray, k: int) -> np.ndarray:
         """Places of up to ``k`` distinct vectors for each query (-1: none).
 
-        Leaves are visited by the distance of their boxes in the projection and verified with
-        exact inner products. A query stops when the next box is so far that a vector nearer
-        than its k-th best would have been met with chance ``sure``: squared projected over
-        squared true distance follows a chi-square law.
+        Leaves are visited by the distance of their boxes in the projection. Of their vectors only those are verified, by
+        exact inner products, whose own projected distance passes the test against the k-th best so far: squared projected over
+        squared true distance follows a chi-square law, so one that fails it is nearer than the k-th with a chance of
+        1 - ``sure`` at most. A query stops when the next box fails the test. ``verified`` counts inner products.
         """
         spots = queries @ self.stable[:-1]
         gap = np.zeros((len(queries), len(self.leaves)))
@@ -106,18 +111,25 @@ class Block:
         point = chi_square_point(self.search.sure, self.search.projected)
         lengths = (queries ** 2).sum(axis=1)
         best, score = np.full((len(queries), k), -1), np.full((len(queries), k), -np.inf)
+        reach = np.full(len(queries), np.inf)
         live, step = np.arange(len(queries)), self.search.leaves_at_once
         for at in range(0, len(self.leaves), step):
             for part in np.array_split(live, max(1, len(live) // 512)):
                 some = self.leaves[order[part, at:at + step]].reshape(len(part), -1)
-                found = np.einsum("qsd,qd->qs", self.vectors[some], queries[part])
-                found[some < 0] = -np.inf
+                far = np.zeros(some.shape)
+                for j in range(spots.shape[1]):
+                    far += (self.points[some, j] - spots[part, j:j + 1]) ** 2
+                row, col = np.nonzero((some >= 0) & (far <= reach[part][:, None]))
+                found = np.full(some.shape, -np.inf)
+                found[row, col] = np.einsum("id,id->i", self.vectors[some[row, col]], queries[part[row]])
+                self.verified += len(row)
                 places, scores = np.hstack([best[part], some]), np.hstack([score[part], found])
                 top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
                 best[part], score[part] = np.take_along_axis(places, top, axis=1), np.take_along_axis(scores, top, axis=1)
+            best[np.isneginf(score)] = -1
+            reach[live] = point * np.maximum(0, lengths[live] + self.square - 2 * score[live].min(axis=1))
             if at + step < len(self.leaves):
-                kth = np.maximum(0, lengths[live] + self.square - 2 * score[live].min(axis=1))
-                live = live[gap[live, at + step] <= point * kth]
+                live = live[gap[live, at + step] <= reach[live]]
             if not len(live):
                 break
         return best

@@ -39,17 +39,20 @@ TRIM = "\t\n\x0b\x0c\r "
 _powers: dict = {}
 
 
-def distinct_lines(texts: pa.Array, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(text, line number, place in the list of lines) of the lines that count, trimmed, and the distinct ones."""
+def distinct_lines(texts: pa.Array, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(text, line number, place among the distinct lines) of the lines that count, trimmed, and the distinct ones."""
     cut = pc.split_pattern(texts, "\n")
     bounds = cut.offsets.to_numpy().astype(np.int64)
-    coded = pc.utf8_trim(cut.flatten(), TRIM).dictionary_encode()
-    enough = pc.greater_equal(pc.count_substring_regex(coded.dictionary, r"[^\x20\x09-\x0D]+"), rule.words).to_numpy(zero_copy_only=False)
-    code = coded.indices.to_numpy()
+    coded = pc.ascii_trim_whitespace(cut.flatten()).dictionary_encode()
+    if rule.words == 1:
+        enough = pc.not_equal(coded.dictionary, "")
+    else:
+        enough = pc.greater_equal(pc.count_substring_regex(coded.dictionary, r"[^\x20\x09-\x0D]+"), rule.words)
+    counts, code = enough.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    number = np.arange(len(code)) - bounds[doc] if len(code) else np.empty(0, np.int64)
-    on = enough[code]
-    return doc[on], number[on], (np.cumsum(enough) - 1)[code[on]], coded.dictionary.filter(pa.array(enough)).to_pylist()
+    number = np.arange(len(code)) - (bounds - bounds[0])[doc] if len(code) else np.empty(0, np.int64)
+    on = counts[code]
+    return doc[on], number[on], (np.cumsum(counts) - 1)[code[on]], coded.dictionary.filter(enough)
 
 
 def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,9 +62,8 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return base * i + late, base + (i >= parts - extra)
 
 
-def hashed(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(size, start, sums) of some lines; sums of hashed points weighted by their place in the line."""
-    size = np.array([len(x) for x in codes], np.int64)
+def hashed(size: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, start, sums) of lines that lie one after the other in ``points``; sums of hashed points weighted by their place in the line."""
     longest = int(size.max(initial=0)) + 1
     if len(_powers.get("up", ())) < longest:
         steps = np.full(max(10_000, 2 * longest), 0x9E3779B97F4A7C15, np.uint64)
@@ -69,10 +71,12 @@ def hashed(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         _powers["up"] = np.cumprod(steps)
         steps[1:] = pow(0x9E3779B97F4A7C15, -1, 2 ** 64)
         _powers["down"] = np.cumprod(steps)
+    if "mixed" not in _powers:
+        _powers["mixed"] = mix(np.arange(2 ** 16, dtype=np.uint64) + ODD[0])
     start = np.cumsum(size) - size
-    points = np.concatenate([*codes, np.empty(0, np.uint32)]).astype(np.uint64)
-    at = np.arange(len(points)) - np.repeat(start, size)
-    return size, start, np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points + ODD[0]) * _powers["up"][at])])
+    mixed = _powers["mixed"][points] if len(points) and int(points.max()) < 2 ** 16 else mix(points.astype(np.uint64) + ODD[0])
+    mixed *= _powers["up"][np.arange(len(points)) - np.repeat(start, size)]
+    return size, start, np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
 
 
 def content(start: np.ndarray, sums: np.ndarray, which: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -110,32 +114,33 @@ def first_keys(size: np.ndarray, start: np.ndarray, sums: np.ndarray, left: np.n
 
 
 def segment_rows(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, key, probes) of the index rows (probes False) and probe rows of some lines.
+    """(place, key, index) of the rows of some lines.
 
     A line is indexed by each of its edits + 1 segments, keyed by segment number, line length and content.
     It probes the lengths from its own down to ``edits`` less, each segment only at starts that
-    leave room for the edits before and behind it. Substrings are hashed from prefix sums.
+    leave room for the edits before and behind it. Substrings are hashed from prefix sums. An index row is
+    a probe of its own length at its own place, too, and is not said twice.
     """
-    size, start, sums = hashed([points_of(x) for x in lines])
-    place, keys, probes = [], [], []
+    size, start, sums = hashed(np.array([len(x) for x in lines], np.int64), points_of("".join(lines)))
+    place, keys, index = [], [], []
 
-    def add(which: np.ndarray, at: np.ndarray, count: np.ndarray, length: np.ndarray, i: int, probe: bool) -> None:
+    def add(which: np.ndarray, at: np.ndarray, count: np.ndarray, length: np.ndarray, i: int, own: bool) -> None:
         keys.append(key_of(content(start, sums, which, at, count), length, i))
         place.append(which)
-        probes.append(np.full(len(which), probe))
+        index.append(np.full(len(which), own))
 
     parts, all_ = edits + 1, np.arange(len(lines))
     for i in range(parts):
-        at, count = segment(size, i, parts)
-        add(all_, at, count, size, i, False)
         for less in range(edits + 1):
             at, count = segment(size - less, i, parts)
+            if less == 0:
+                add(all_, at, count, size, i, True)
             low, high = room(at, i, less, edits, size - count)
             for shift in range(2 * edits + 1):
-                on = np.flatnonzero(low + shift <= high)
+                on = np.flatnonzero((low + shift <= high) & ((low + shift != at) | (less > 0)))
                 if len(on):
-                    add(on, (low + shift)[on], count[on], (size - less)[on], i, True)
-    return np.concatenate(place), np.concatenate(keys), np.concatenate(probes)
+                    add(on, (low + shift)[on], count[on], (size - less)[on], i, False)
+    return np.concatenate(place), np.concatenate(keys), np.concatenate(index)
 
 
 def points_of(line: str) -> np.ndarray:
@@ -195,51 +200,65 @@ def bags(codes: list[np.ndarray]) -> np.ndarray:
     return np.bincount(owner * 32 + np.concatenate(codes) % 32, minlength=32 * len(codes)).reshape(-1, 32).astype(np.int32)
 
 
-def _ids(lines: list[str]) -> tuple[np.ndarray, list[bytes]]:
-    raw = [x.encode("utf-8", "surrogatepass") for x in lines]
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).astype(np.int64), [xxhash.xxh3_128_digest(x) for x in raw]
+def _lids(lines: pa.Array) -> list[bytes]:
+    """16 bytes for each line."""
+    return [xxhash.xxh3_128_digest(x) for x in lines.cast(pa.large_binary()).to_pylist()]
+
+
+def _short(lids: list[bytes]) -> np.ndarray:
+    """The first half of each lid as a number."""
+    return np.frombuffer(b"".join(lids), "<i8")[::2].astype(np.int64)
+
+
+def _long(lines: pa.Array, rule: Rule) -> pa.Array:
+    return lines.filter(pc.greater_equal(pc.utf8_length(lines), rule.chars))
+
+
+def text_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, row, text): ``row`` tells rows of one id apart by a hash of their texts."""
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
 
 
 def line_rows(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
-    """(doc_id, line, lid): the lines that count; equal lines share a 16-byte lid."""
+    """(doc_id, row, line, lid): the lines that count; equal lines share a 16-byte lid."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE_BYTES):
             doc, number, place, lines = distinct_lines(text_of(batch), rule)
-            lids = pa.array(_ids(lines)[1], pa.binary()).take(pa.array(place))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(doc)), pa.array(number.astype(np.int32)), lids], names=["doc_id", "line", "lid"])
+            lids = pa.array(_lids(lines), pa.binary()).take(pa.array(place))
+            of = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(of), batch["row"].take(of), pa.array(number.astype(np.int32)), lids], names=["doc_id", "row", "line", "lid"])
 
-    return docs.selectExpr(f"cast(`{key}` as long) doc_id", f"`{text}` text").mapInArrow(run, "doc_id long, line int, lid binary")
+    return text_rows(docs, key, text).mapInArrow(run, "doc_id long, row long, line int, lid binary")
 
 
 def segment_table(docs: DataFrame, rule: Rule, text: str) -> DataFrame:
-    """(key, id, probe): index and probe rows of the lines long enough to differ; id is an 8-byte hash."""
+    """(key, id, index): index and probe rows of the lines long enough to differ; id is an 8-byte hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE_BYTES):
-            _, _, _, lines = distinct_lines(text_of(batch), rule)
-            lines = [x for x in lines if len(x) >= rule.chars]
-            ids, _ = _ids(lines)
+            found = _long(distinct_lines(text_of(batch), rule)[3], rule)
+            ids, lines = _short(_lids(found)), found.to_pylist()
             ends = np.cumsum([len(x) for x in lines])
             lo = 0
             while lo < len(lines):
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + POINTS, "right")))
-                place, keys, probes = segment_rows(lines[lo:hi], rule.edits)
+                place, keys, index = segment_rows(lines[lo:hi], rule.edits)
                 for s in range(0, len(keys), 100_000):
                     part = slice(s, s + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].astype(np.int64)), pa.array(ids[lo:hi][place[part]]), pa.array(probes[part])], names=["key", "id", "probe"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part].astype(np.int64)), pa.array(ids[lo:hi][place[part]]), pa.array(index[part])], names=["key", "id", "index"])
                 lo = hi
 
-    return docs.selectExpr(f"`{text}` text").mapInArrow(run, "key long, id long, probe boolean")
+    return docs.selectExpr(f"`{text}` text").mapInArrow(run, "key long, id long, index boolean")
 
 
 def line_texts(docs: DataFrame, ids: DataFrame, rule: Rule, text: str) -> DataFrame:
-    """(id, lid, line): the distinct lines whose short hash is in ``ids``."""
+    """(id, lid, text): the distinct lines whose short hash is in ``ids``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE_BYTES):
-            _, _, _, lines = distinct_lines(text_of(batch), rule)
-            lines = [x for x in lines if len(x) >= rule.chars]
-            short, lids = _ids(lines)
+            lines = _long(distinct_lines(text_of(batch), rule)[3], rule)
+            lids = _lids(lines)
+            short = _short(lids)
             for s in range(0, len(lines), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(short[s:s + 10_000]), pa.array(lids[s:s + 10_000], pa.binary()), pa.array(lines[s:s + 10_000], pa.string())], names=["id", "lid", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(short[s:s + 10_000]), pa.array(lids[s:s + 10_000], pa.binary()), lines.slice(s, 10_000).cast(pa.string())], names=["id", "lid", "text"])
 
     found = docs.selectExpr(f"`{text}` text").mapInArrow(run, "id long, lid binary, text string")
     return found.join(broadcast_if_small(ids, 2_000_000), "id", "left_semi").groupBy("lid").agg(F.first("id").alias("id"), F.first("text").alias("text"))
@@ -251,7 +270,7 @@ def _linked(rule: Rule):
         pdf = pdf.drop_duplicates(["key", "lid"])
         lid, seen, line = np.unique(pdf["lid"].to_numpy(), return_index=True, return_inverse=True)
         codes = [points_of(x) for x in pdf["text"].to_numpy()[seen]]
-        bag, (size, start, sums) = bags(codes), hashed(codes)
+        bag, (size, start, sums) = bags(codes), hashed(np.array([len(x) for x in codes], np.int64), np.concatenate(codes))
         _, rank = np.unique(pdf["key"].to_numpy(), return_inverse=True)
         place = rank * (int(size.max()) + rule.edits + 1) + size[line]
         order = np.argsort(place, kind="stable")
@@ -296,8 +315,8 @@ def line_links(docs: DataFrame, rule: Rule, text: str) -> tuple[DataFrame, DataF
     """Links (a, b), enough of them to make the same components as all links within ``rule.edits``, and (lid, near): how many distinct lines are within them."""
     table = segment_table(docs, rule, text)
     of = W.partitionBy("key")
-    kept = table.select("key", "id", F.min("id").over(of).alias("lo"), F.max("id").over(of).alias("hi"), F.min("probe").over(of).alias("some"), F.max("probe").over(of).alias("all"))
-    buckets = cut_lineage(kept.filter("lo != hi and some != all").groupBy("key", "id").agg(F.lit(1).alias("one")).select("key", "id"))
+    kept = table.select("key", "id", F.min("id").over(of).alias("lo"), F.max("id").over(of).alias("hi"), F.max("index").over(of).alias("indexed"))
+    buckets = cut_lineage(kept.filter("lo != hi and indexed").groupBy("key", "id").agg(F.lit(1).alias("one")).select("key", "id"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     buckets = cut_lineage(buckets.join(sizes, "key"))
     texts = cut_lineage(line_texts(docs, buckets.select("id").distinct(), rule, text))
@@ -312,7 +331,7 @@ def line_links(docs: DataFrame, rule: Rule, text: str) -> tuple[DataFrame, DataF
 
 
 def line_classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, first_doc, first_line, exact, near): every line of a class of more than one, with the place of the class's first line, its id.
+    """(doc_id, row, line, first_doc, first_row, first_line, exact, near): every line of a class of more than one, with the place of the class's first line.
 
     Lines are split at ``\\n`` and trimmed of ASCII white space; those that count (``Rule``) form the
     components of equal and nearly equal lines, the classes. ``exact`` tells whether a line is equal to the
@@ -320,24 +339,25 @@ def line_classes(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text
     Candidates for edits share a segment (at least one of edits + 1 is untouched); every candidate pair
     is verified once, in the first bucket it shares.
 
-    Null texts have no lines; null ids come before others; rows of one id are one document; an empty table
+    Null texts have no lines; null ids come before others; rows of one id with different texts are told apart by ``row``, a hash
+    of the text, and are documents of their own, while repeated rows (id and text) are one document; an empty table
     gives no rows; other columns are not read.
     """
     rows = cut_lineage(line_rows(docs, rule, key, text))
-    first = F.min(F.struct("doc_id", "line"))
-    lines = rows.groupBy("lid").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    lines = rows.groupBy("lid").agg(F.min(F.struct("doc_id", "line", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
     links, near = line_links(docs, rule, text)
     rooted = components(links)
     classed = lines.join(rooted.withColumnRenamed("node", "lid"), "lid", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "lid"))
     classed = cut_lineage(classed.join(near, "lid", "left").withColumn("near", F.coalesce("near", F.lit(0))))
-    stays = classed.groupBy("root").agg(F.min(F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), "lid")).alias("stay"))
+    stays = classed.groupBy("root").agg(F.min(F.struct("first", "lid")).alias("stay"))
     target = salted_join(classed.select("lid", "root", "near"), stays, ["root"], ["lid"]).select("lid", "stay", "near")
     return salted_join(rows, target, ["lid"], ["doc_id", "line"]).select(
-        "doc_id", "line", F.col("stay.doc_id").alias("first_doc"), F.col("stay.line").alias("first_line"), (F.col("lid") == F.col("stay.lid")).alias("exact"), "near")
+        "doc_id", "row", "line", F.col("stay.first.doc_id").alias("first_doc"), F.col("stay.first.row").alias("first_row"), F.col("stay.first.line").alias("first_line"),
+        (F.col("lid") == F.col("stay.lid")).alias("exact"), "near")
 
 
 def is_first() -> Column:
-    return F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))
+    return F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("row") == F.col("first_row")) & (F.col("line") == F.col("first_line"))
 
 
 def repeated_lines(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -345,17 +365,23 @@ def repeated_lines(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", te
     return line_classes(docs, rule, key, text).filter(~is_first())
 
 
+def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` (with _id and _row) left joined with ``found`` (doc_id, row, ...); null ids meet."""
+    return docs.join(found, docs["_id"].eqNullSafe(found["doc_id"]) & (docs["_row"] == found["row"]), "left").drop(found["doc_id"], found["row"])
+
+
 def line_report(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_removed, n_near, links, leads) per document id with lines that count or not.
+    """(doc_id, n_lines, n_removed, n_near, links, leads) per row.
 
     ``links`` are (line, first_doc, first_line, exact, near) of removed lines, ``leads`` (line, near) of lines that stay for their class.
     """
-    gone = line_classes(docs, rule, key, text).withColumn("stays", is_first()).groupBy("doc_id").agg(
-        F.count_if(~F.col("stays")).alias("n_removed"), F.count_if(~F.col("stays") & ~F.col("exact")).alias("n_near"),
+    gone = line_classes(docs, rule, key, text).withColumn("stays", is_first()).groupBy("doc_id", "row").agg(
         F.array_sort(F.collect_set(F.when(~F.col("stays"), F.struct("line", "first_doc", "first_line", "exact", "near")))).alias("links"),
         F.array_sort(F.collect_set(F.when(F.col("stays"), F.struct("line", "near")))).alias("leads"))
-    all_ = docs.select(F.col(key).cast("long").alias("doc_id"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    return all_.join(gone, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_removed", "n_near")})
+    all_ = docs.select(F.col(key).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_row"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    removed = F.coalesce(F.size("links"), F.lit(0)).cast("long")
+    near = F.coalesce(F.size(F.filter("links", lambda x: ~x["exact"])), F.lit(0)).cast("long")
+    return with_found(all_, gone).select(F.col("_id").alias("doc_id"), "n_lines", removed.alias("n_removed"), near.alias("n_near"), "links", "leads")
 
 
 def without_lines(text: Column, removed: Column) -> Column:
@@ -363,7 +389,11 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 
 def drop_repeated_lines(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated lines taken out of their texts; all rows and columns stay (a text may become empty)."""
-    gone = repeated_lines(docs, rule, key, text).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
+    """``docs`` with the repeated lines taken out of their texts; all rows and columns stay (a text may become empty).
+
+    The first line of each class stays in every copy of its row; rows of one id with other texts are judged each, as are rows without an id.
+    """
+    gone = repeated_lines(docs, rule, key, text).groupBy("doc_id", "row").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"doc_id": "_gone_id", "row": "_gone_row"})
     edited = F.when(F.col("_gone").isNotNull(), without_lines(F.col(text), F.col("_gone"))).otherwise(F.col(text))
-    return docs.join(gone, docs[key].cast("long") == gone["_id"], "left").withColumn(text, edited).select(*docs.columns)
+    same = docs[key].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text]) == gone["_gone_row"])
+    return docs.join(gone, same, "left").withColumn(text, edited).select(*docs.columns)

@@ -144,21 +144,26 @@ def _identity(doc: np.ndarray, value: np.ndarray, times: np.ndarray, n_docs: int
     return [r.tobytes() for r in out]
 
 
+def text_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, row, text): ``row`` tells rows of one id apart by a hash of their texts."""
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
+
+
 def signatures(docs: DataFrame, shape: Shape, key: str, text: str) -> DataFrame:
-    """(doc_id, rid, sig): identity and signature of each row's set of shingles."""
+    """(doc_id, row, rid, sig): identity and signature of each row's set of shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE_BYTES):
             doc, value, times = shingles(text_of(batch), shape.words)
             times = times if shape.weighted else np.ones_like(times)
             sig = dart_signatures(doc, value, times.astype(np.float64), len(batch), shape.size)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_identity(doc, value, times, len(batch)), pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
-                                             names=["doc_id", "rid", "sig"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(_identity(doc, value, times, len(batch)), pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
+                                             names=["doc_id", "row", "rid", "sig"])
 
-    return docs.selectExpr(f"cast(`{key}` as long) doc_id", f"`{text}` text").mapInArrow(run, "doc_id long, rid binary, sig binary")
+    return text_rows(docs, key, text).mapInArrow(run, "doc_id long, row long, rid binary, sig binary")
 
 
 def sets(docs: DataFrame, ids: DataFrame, shape: Shape, key: str, text: str) -> DataFrame:
-    """(rid, hashes, times) of the sets whose first document is in ``ids`` (doc_id, rid)."""
+    """(rid, hashes, times) of the sets whose first row is in ``ids`` (doc_id, row, rid)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE_BYTES):
             doc, value, times = shingles(text_of(batch), shape.words)
@@ -168,7 +173,9 @@ def sets(docs: DataFrame, ids: DataFrame, shape: Shape, key: str, text: str) ->
                                               pa.array([times[a:b].astype("<u4").tobytes() if shape.weighted else b"" for a, b in zip(at, at[1:])], pa.binary())],
                                              names=["rid", "hashes", "times"])
 
-    rows = docs.selectExpr(f"cast(`{key}` as long) doc_id", f"`{text}` text").join(broadcast_if_small(ids.select("doc_id"), 2_000_000), "doc_id", "left_semi")
+    first = ids.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    rows = text_rows(docs, key, text)
+    rows = rows.join(broadcast_if_small(first, 2_000_000), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["row"] == F.col("_row")), "left_semi").select("text")
     out = rows.mapInArrow(run, "rid binary, hashes binary, times binary")
     return out.join(ids.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.first("hashes").alias("hashes"), F.first("times").alias("times"))
 
@@ -241,8 +248,8 @@ def _across(shape: Shape):
     return run
 
 
-def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size): the class of every row, named by its least doc_id.
+def near_classes(docs: DataFrame, shape: Shape, key: str, text: str) -> DataFrame:
+    """(doc_id, row, stay, class_size): each row, the row of its class that has the least id (none: null, where no other row is in the class), and how many rows that class has.
 
     Classes are the components of the links between texts of similarity at least
     ``shape.similarity``; links are found with the chance of the bands (at the threshold, all but
@@ -253,13 +260,13 @@ def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id"
     links that join components, never pairs, so a large group of copies costs its members, not their square.
 
     Words are separated by blank and ASCII white space. Texts of fewer than ``shape.words`` words are one shingle; texts
-    without words (also null) are copies of each other. Null ids stay null, name no class, and
-    are linked to equal sets only; rows of one id with different texts are judged each, so an id may come with two classes; repeated
+    without words (also null) are copies of each other. Null ids come last, are linked like others, and name a class only if
+    it has no other id (then null); rows of one id with different texts are judged each, so an id may come with two classes; repeated
     rows share a class; an empty table gives no rows; other columns are not read.
     """
     signed = cut_lineage(signatures(docs, shape, key, text))
-    copies = signed.groupBy("rid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
-    copies = cut_lineage(copies)
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    copies = cut_lineage(signed.groupBy("rid").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")))
     width = 2 * shape.rows
     spots = F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(shape.bands)]))
     rows = copies.select("rid", spots.alias("band", "bucket"))
@@ -268,7 +275,7 @@ def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id"
     lead = buckets.join(met, "rid").groupBy("bucket").agg(F.max(F.struct("met", "rid"))["rid"].alias("lead"))
     stars = buckets.join(lead, "bucket").filter("rid != lead").select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
     stars = cut_lineage(stars)
-    wanted = met.select("rid").join(copies.select("rid", "doc_id"), "rid")
+    wanted = met.select("rid").join(copies.select("rid", "at.doc_id", "at.row"), "rid")
     held = cut_lineage(sets(docs, cut_lineage(wanted), shape, key, text))
     links = cut_lineage(checked(stars, held, shape))
     rooted = components(links)
@@ -281,24 +288,30 @@ def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id"
     rest = open_.groupBy("bucket", "i", "j").applyInPandas(_across(shape), "a binary, b binary")
     links = links.unionByName(rest)
     rooted = components(links)
-    sizes = copies.select("rid", "doc_id", "n").join(rooted.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    classes = sizes.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("m"))
-    shared = sizes.join(classes.filter("class_size > 1"), "root").select("rid", "class_id", "class_size")
-    return salted_join(signed.select("doc_id", "rid"), shared, ["rid"], ["doc_id"], how="left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+    sizes = copies.select("rid", "at", "n").join(rooted.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    classes = sizes.groupBy("root").agg(F.min("at").alias("stay"), F.sum("n").alias("class_size"))
+    shared = sizes.join(classes.filter("class_size > 1"), "root").select("rid", "stay", "class_size")
+    return salted_join(signed.select("doc_id", "row", "rid"), shared, ["rid"], ["doc_id", "row"], how="left").select("doc_id", "row", "stay", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+
+
+def near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, class_size): the class of every row, named by its least doc_id; see ``near_classes``."""
+    name = F.when(F.col("stay").isNull(), F.col("doc_id")).otherwise(F.col("stay.doc_id"))
+    return near_classes(docs, shape, key, text).select("doc_id", name.alias("class_id"), "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of the least id; all columns stay.
 
-    Only the ids of rows to drop meet the texts, broadcast while they are few. Rows without an
-    id stay; of repeated rows of one id and text one stays; an id any of whose texts goes, goes.
+    Rows are told apart by id and text, so a row goes only if another of its own class stays, whatever other rows have its id.
+    Rows without an id stay only if their class has no row with one, and then one does. Of repeated rows of one id and text one
+    stays. Only the ids and text hashes of rows to drop meet the texts, broadcast while they are few.
     """
-    found = cut_lineage(near_duplicates(docs, shape, key, text))
-    gone = found.filter("doc_id != class_id").select("doc_id").distinct()
-    twice = cut_lineage(found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id").join(gone, "doc_id", "left_anti"))
-    key_ = docs[key].cast("long")
-    out = cut_lineage(gone.unionByName(twice))
-    left = docs.join(broadcast_if_small(out.withColumnRenamed("doc_id", "_id"), 2_000_000), key_ == F.col("_id"), "left_anti")
-    again = docs.join(broadcast_if_small(twice.withColumnRenamed("doc_id", "_id"), 2_000_000), key_ == F.col("_id"), "left_semi").dropDuplicates([key, text])
-    return left.unionByName(again)
+    found = near_classes(docs, shape, key, text).filter("class_size > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("row") == F.col("stay.row"))
+    counted = cut_lineage(found.withColumn("stays", stays).groupBy("doc_id", "row", "stays").agg(F.count(F.lit(1)).alias("n")))
+    out = counted.filter("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    twice = counted.filter("stays and n > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    same = docs[key].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_row"))
+    left = docs.join(broadcast_if_small(out, 2_000_000), same, "left_anti")
+    return left.unionByName(docs.join(broadcast_if_small(twice, 2_000_000), same, "left_semi").dropDuplicates([key, text]))

@@ -18,6 +18,12 @@ FLOORS = [0.03, 0.05, 0.15, 0.1]
 #: Words of its group's average that every text's rates are mixed with, so short texts don't look odd by chance.
 PRIOR_WORDS = 100
 BINS_PER_UNIT = 64
+#: Share of the rows that the estimates rest on; starts of the search, and about how many rows the drawn ones begin with.
+INNER, STARTS, SUBSET = 0.75, 5, 12
+#: Rows, and words, that the level above counts for in the estimate and in the rates of a group.
+PRIOR_ROWS, PRIOR_SENT = 100, 20_000
+#: Largest squared distance of a kept row. Fitted: clean labelled rows of the sample tables reach 31, and the chi-square law of four features gives 5e-9 beyond 43.
+CUTOFF = 45.0
 
 
 def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -62,39 +68,65 @@ def distance(features: list[str]) -> Column:
     return sum((y * y for y in solved), F.lit(0.0))
 
 
-def estimates(rows: DataFrame, group: str, features: list[str], floors: list[float]) -> DataFrame:
-    """Centre m_i and lower triangular factor l_i_j of the covariance of each group, one aggregation."""
-    d = range(len(features))
-    out = rows.groupBy(group).agg(*[F.avg(f).alias(f"m_{i}") for i, f in enumerate(features)],
-                                  *[F.covar_pop(features[i], features[j]).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)])
-    for j in d:
+def factored(found: DataFrame, features: list[str], floors: list[float]) -> DataFrame:
+    """Adds the lower triangular factor l_i_j of the covariance s_i_j; no feature varies less than its floor."""
+    for j in range(len(features)):
         left = F.col(f"s_{j}_{j}") - sum((F.col(f"l_{j}_{k}") ** 2 for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(left, F.lit(floors[j] ** 2))))
+        found = found.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(left, F.lit(floors[j] ** 2))))
         for i in range(j + 1, len(features)):
             left = F.col(f"s_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l_{i}_{j}", left / F.col(f"l_{j}_{j}"))
-    return out.drop(*[f"s_{i}_{j}" for i in d for j in range(i + 1)])
+            found = found.withColumn(f"l_{i}_{j}", left / F.col(f"l_{j}_{j}"))
+    return found
+
+
+def moments(rows: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    """Centre m_i and covariance s_i_j of each group, one aggregation."""
+    d = range(len(features))
+    return rows.groupBy(*by).agg(*[F.avg(f).alias(f"m_{i}") for i, f in enumerate(features)],
+                                 *[F.covar_pop(features[i], features[j]).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)])
+
+
+def starts(rows: DataFrame, group: str, key: str, features: list[str]) -> DataFrame:
+    """(group, _start, m_i, s_i_j): where the search begins, from all rows, from medians, and from some dozen rows each, chosen by the hash of their key."""
+    d = range(len(features))
+    every = moments(rows, [group], features).withColumn("_start", F.lit(0))
+    middle = rows.groupBy(group).agg(*[F.percentile_approx(f, 0.5).alias(f"m_{i}") for i, f in enumerate(features)], F.count(F.lit(1)).alias("_n"))
+    middle = cut_lineage(middle)
+    apart = salted_join(rows, middle, [group], [key])
+    spread = apart.groupBy(group).agg(*[(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5)).alias(f"w_{i}") for i, f in enumerate(features)])
+    medians = middle.join(spread, group).select(group, F.lit(1).alias("_start"), *[f"m_{i}" for i in d],
+                                                *[(F.col(f"w_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)])
+    some = F.array(*[F.struct(F.lit(n).alias("n"), F.pmod(F.xxhash64(F.col(key), F.lit(n)), F.ceil(F.col("_n") / SUBSET)).alias("h")) for n in range(2, STARTS)])
+    drawn = apart.select(group, *features, F.explode(F.filter(some, lambda x: x["h"] == 0)).alias("x")).select(group, *features, F.col("x.n").alias("_start"))
+    return every.unionByName(medians).unionByName(moments(drawn, [group, "_start"], features))
 
 
 def minimum_covariance(rows: DataFrame, group: str, key: str, features: list[str], floors: list[float], steps: int = 4, share: float = 0.75) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each group: m_i, l_i_j and the distance ``edge`` of its inner ``share``.
+    """Minimum-covariance-determinant estimates of each group: n, m_i, s_i_j, l_i_j.
 
-    Concentration steps start from all rows: distances under the current estimate are counted
-    in narrow bins, the bins with the nearest ``share`` of the group's rows make the next subset.
-    Counts and moments are summed before the shuffle, so a group of any size costs one row a task.
+    Concentration steps begin at several starts: distances under the current estimate are counted
+    in narrow bins, and the bins with the nearest ``share`` of the group's rows make the next subset, whose determinant is
+    no larger. Of the ends, that of the least determinant is kept. Counts and moments are summed before the shuffle, so a group of
+    any size costs a row per start and task.
     """
-    found = cut_lineage(estimates(rows, group, features, floors))
-    for step in range(steps + 1):
+    found = cut_lineage(factored(starts(rows, group, key, features), features, floors))
+    keys = [group, "_start"]
+    for _ in range(steps):
         far = salted_join(rows, found, [group], [key]).withColumn("_bin", F.floor(BINS_PER_UNIT * F.log1p(distance(features))).cast("int"))
-        bins = far.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("n"))
-        up, of = W.partitionBy(group).orderBy("_bin"), W.partitionBy(group)
-        edges = bins.withColumn("below", F.sum("n").over(up)).withColumn("total", F.sum("n").over(of)).filter(
-            F.col("below") >= share * F.col("total")).groupBy(group).agg(F.min("_bin").alias("edge_bin"))
-        if step == steps:
-            edge = F.expm1((F.col("edge_bin") + 1) / BINS_PER_UNIT)
-            return cut_lineage(found.join(edges, group).withColumn("edge", edge).drop("edge_bin"))
-        inner = salted_join(far.select(group, key, *features, "_bin"), edges, [group], [key]).filter(F.col("_bin") <= F.col("edge_bin"))
-        found = cut_lineage(estimates(inner, group, features, floors))
+        edges = inner_edges(far, keys, share)
+        inner = salted_join(far.select(*keys, key, *features, "_bin"), edges, keys, [key]).filter(F.col("_bin") <= F.col("edge_bin"))
+        found = cut_lineage(factored(moments(inner, keys, features), features, floors))
+    determinant = sum((F.log(f"l_{i}_{i}") for i in range(len(features))), F.lit(0.0))
+    best = found.groupBy(group).agg(F.min_by("_start", F.struct(F.round(determinant, 9), "_start")).alias("_start"))
+    return cut_lineage(found.join(best, keys).drop("_start").join(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group))
+
+
+def inner_edges(far: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(keys, edge_bin): the bin of ``_bin`` up to which the nearest ``share`` of each group's rows lie."""
+    bins = far.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    up, of = W.partitionBy(*keys).orderBy("_bin"), W.partitionBy(*keys)
+    return bins.withColumn("_below", F.sum("_c").over(up)).withColumn("_total", F.sum("_c").over(of)).filter(
+        F.col("_below") >= share * F.col("_total")).groupBy(*keys).agg(F.min("_bin").alias("edge_bin"))
 
 
 RATES = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -116,18 +148,66 @@ def _features(rows: DataFrame, groups: DataFrame, spread: list[str]) -> DataFram
                                "f_lines": F.log1p(100 * rate["n_dup_lines"]), "f_repeats": rate["n_repeat_words"]})
 
 
-def learn_rules(stats: DataFrame, least: int) -> DataFrame:
-    """A row for each language and source (``_both``): its group's rates r_*, and m_*, l_*_* and edge of the robust estimate, if any."""
+def pulled(n: Column, own: Column, other: Column, weight: float) -> Column:
+    """``own``, known from ``n`` rows (or words), pulled to ``other`` as if that were known from ``weight`` more."""
+    return (n * own + weight * other) / (n + weight)
+
+
+def levels(lang: str = "_lang", both: str = "_both") -> Column:
+    """Names of the whole table, the language, and the language and source of a row."""
+    return F.array(F.lit("all"), F.concat(F.lit("lang "), F.col(lang)), F.concat(F.lit("both "), F.col(both)))
+
+
+def shrunken(found: DataFrame, features: list[str], prior: int) -> DataFrame:
+    """Estimates of ``found`` (n, m_i, s_i_j, and p_m_i, p_s_i_j of the level above) pulled to the level above; the distance of the centres adds to the covariance."""
+    d = range(len(features))
+    n = F.coalesce(F.col("n"), F.lit(0))
+    mean = {i: F.coalesce(pulled(n, F.col(f"m_{i}"), F.col(f"p_m_{i}"), prior), F.col(f"p_m_{i}")) for i in d}
+    gap = lambda i: F.coalesce(F.col(f"m_{i}") - F.col(f"p_m_{i}"), F.lit(0.0))
+    between = n * prior / (n + prior) ** 2
+    cov = {(i, j): F.coalesce(pulled(n, F.col(f"s_{i}_{j}"), F.col(f"p_s_{i}_{j}"), prior), F.col(f"p_s_{i}_{j}")) + between * gap(i) * gap(j) for i in d for j in range(i + 1)}
+    others = [c for c in found.columns if not c.startswith(("m_", "s_", "p_", "l_"))]
+    return found.select(*others, *[mean[i].alias(f"m_{i}") for i in d], *[c.alias(f"s_{i}_{j}") for (i, j), c in cov.items()])
+
+
+def learn_rules(stats: DataFrame, least: int, prior: int = PRIOR_ROWS) -> DataFrame:
+    """A row for each language and source (``_both``): rates r_* of its texts, m_*, l_*_* and edge of its robust estimate, own_rows behind it.
+
+    Rates and estimates of a language are pulled to those of the whole table, and those of a source in a language to the
+    language's, as if these came with ``PRIOR_SENT`` words and ``prior`` rows more. So a group of three rows is judged nearly by its language, one of
+    thousands by itself, and none by a switch between the two. With fewer than ``least`` rows in all there is no estimate.
+    """
     good = stats.filter(~F.col("base_failed"))
-    sizes = good.groupBy("_lang", "_both").agg(F.count(F.lit(1)).alias("n"))
-    pools = sizes.withColumn("_pool", F.when(F.col("n") >= least, F.col("_both")).otherwise(F.col("_lang")))
-    pools = pools.withColumn("_n", F.sum("n").over(W.partitionBy("_pool"))).withColumn("_group", F.when(F.col("_n") >= least, F.col("_pool")).otherwise(F.lit("")))
-    pools = cut_lineage(pools.select("_both", "_group"))
-    sums = good.groupBy("_both").agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"s_{c}") for c in ["n_words", *RATES]])
-    rated = sums.join(pools, "_both").groupBy("_group").agg(F.sum("_rows").alias("_rows"), *[(F.sum(f"s_{c}") / F.sum("s_n_words")).alias(f"r_{c}") for c in RATES])
-    groups = cut_lineage(pools.join(rated, "_group"))
-    rows = cut_lineage(_features(good, groups, ["_key"]).filter(F.col("_rows") >= least).select("_key", "_group", *FEATURES))
-    return cut_lineage(groups.join(minimum_covariance(rows, "_group", "_key", FEATURES, FLOORS), "_group", "left"))
+    sums = cut_lineage(good.groupBy("_lang", "_both").agg(F.count(F.lit(1)).alias("own_rows"), *[F.sum(c).alias(f"s_{c}") for c in ["n_words", *RATES]]))
+    langs = sums.groupBy("_lang").agg(F.sum("s_n_words").alias("w"), *[F.sum(f"s_{c}").alias(f"a_{c}") for c in RATES])
+    whole = sums.agg(F.sum("own_rows").alias("_all"), *[(F.sum(f"s_{c}") / F.sum("s_n_words")).alias(f"t_{c}") for c in RATES])
+    known = langs.join(F.broadcast(whole.withColumn("_one", F.lit(1))), F.col("_one") == 1).select(
+        "_lang", "_all", *[((F.col(f"a_{c}") + PRIOR_SENT * F.col(f"t_{c}")) / (F.col("w") + PRIOR_SENT)).alias(f"g_{c}") for c in RATES])
+    groups = cut_lineage(sums.join(known, "_lang").select("_lang", "_both", "own_rows", "_all", *[
+        ((F.col(f"s_{c}") + PRIOR_SENT * F.col(f"g_{c}")) / (F.col("s_n_words") + PRIOR_SENT)).alias(f"r_{c}") for c in RATES]))
+    rows = cut_lineage(_features(good, groups.drop("_lang"), ["_key"]).filter(F.col("_all") >= least).select("_key", "_lang", "_both", *FEATURES))
+    several = rows.select("_key", *FEATURES, F.explode(levels()).alias("_level"))
+    found = minimum_covariance(several, "_level", "_key", FEATURES, FLOORS)
+    values = [c for c in found.columns if c.startswith(("m_", "s_"))]
+    of = lambda name: found.select("_level", "n", *values).withColumnRenamed("_level", name)
+    above = lambda frame: frame.select("_level", *[F.col(c).alias(f"p_{c}") for c in values])
+    top = found.filter("_level = 'all'").select(*[F.col(c).alias(f"p_{c}") for c in values], F.lit(1).alias("_one"))
+    second = shrunken(of("_level").filter(F.col("_level").startswith("lang ")).join(F.broadcast(top), F.col("_one") == 1).drop("_one"), FEATURES, prior)
+    third = groups.select("_both", "_lang").withColumn("_level", F.concat(F.lit("lang "), F.col("_lang"))).join(above(second), "_level").drop("_level").withColumn(
+        "_level", F.concat(F.lit("both "), F.col("_both"))).join(of("_level"), "_level", "left")
+    judged = cut_lineage(factored(shrunken(third, FEATURES, prior), FEATURES, FLOORS))
+    far = salted_join(rows, judged.select("_both", *[c for c in judged.columns if c.startswith(("m_", "l_"))]), ["_both"], ["_key"]).withColumn(
+        "_bin", F.floor(BINS_PER_UNIT * F.log1p(distance(FEATURES))).cast("int"))
+    edges = cut_lineage(inner_edges(far.select("_key", "_bin", F.explode(levels()).alias("_level")), ["_level"], INNER).withColumn("e", F.expm1((F.col("edge_bin") + 1) / BINS_PER_UNIT)))
+    edge = lambda level, name: F.broadcast(edges.select(F.col("_level").alias(level), F.col("e").alias(name))) if at_most(edges, BROADCAST_ROWS) else edges.select(F.col("_level").alias(level), F.col("e").alias(name))
+    named = judged.select("_both", "_lang", "n", *[c for c in judged.columns if c.startswith(("m_", "l_"))]).withColumns({"_l0": F.lit("all"), "_l1": levels()[1], "_l2": levels()[2]})
+    for i in range(3):
+        named = named.join(edge(f"_l{i}", f"e{i}"), f"_l{i}", "left")
+    size = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_size"))
+    named = named.join(size, "_lang", "left")
+    second_edge = pulled(F.coalesce("_size", F.lit(0)), F.coalesce("e1", "e0"), F.col("e0"), prior)
+    named = named.withColumn("edge", pulled(F.coalesce("n", F.lit(0)), F.coalesce("e2", "e1", "e0"), second_edge, prior))
+    return cut_lineage(groups.drop("_lang", "_all").join(named.drop("_lang", "n", "_size", *[f"{x}{i}" for x in ("_l", "e") for i in range(3)]), "_both", "left"))
 
 
 def _judged(stats: DataFrame, rules: DataFrame, cutoff: float) -> DataFrame:
@@ -135,17 +215,17 @@ def _judged(stats: DataFrame, rules: DataFrame, cutoff: float) -> DataFrame:
     return far.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
 
 
-def quality_rules(docs: DataFrame, cutoff: float = 45.0, least: int = 100, key: str = "doc_id", text: str = "text", lang: str = "lang",
+def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, least: int = 100, key: str = "doc_id", text: str = "text", lang: str = "lang",
                   source: str = "source") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept), one row per row of ``docs``.
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept, own_share), one row per row of ``docs``.
 
     A row is kept if it passes the base rules and its squared robust distance, scaled so that
     the inner three quarters of its group match the chi-square law, is at most ``cutoff``.
     Vectors are log word length, log symbols per word, repeated lines and repeated words, as
     rates mixed with ``PRIOR_WORDS`` words at the group's rate; rows failing the base rules
-    have no part in the estimates. Groups are (lang, source); those with fewer than ``least``
-    rows are pooled by language, and pools still smaller together. With fewer than ``least``
-    rows in that last pool no row is an outlier.
+    have no part in the estimates. Groups are (lang, source), pulled to their language as far as they are small;
+    ``own_share`` is the part of the judgement that is the group's own (null: no row of it passes the base rules). With fewer than ``least``
+    rows in all no row is an outlier.
 
     Null texts are empty and fail; null languages and sources are groups of their own; repeated
     rows and keys each count; an empty table gives no rows; other columns are not read.
@@ -153,10 +233,11 @@ def quality_rules(docs: DataFrame, cutoff: float = 45.0, least: int = 100, key:
     rows = _keyed(docs, [F.col(f"`{key}`").cast("long").alias("doc_id")], text, lang, source)
     stats = cut_lineage(text_statistics(rows).drop("text").withColumn("base_failed", base_failed()).withColumn("_key", F.col("doc_id")))
     return _judged(stats, learn_rules(stats, least), cutoff).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept",
+        F.round(F.col("own_rows") / (F.col("own_rows") + PRIOR_ROWS), 6).alias("own_share"))
 
 
-def drop_low_quality(docs: DataFrame, cutoff: float = 45.0, least: int = 100, key: str = "doc_id", text: str = "text", lang: str = "lang",
+def drop_low_quality(docs: DataFrame, cutoff: float = CUTOFF, least: int = 100, key: str = "doc_id", text: str = "text", lang: str = "lang",
                      source: str = "source") -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
 

@@ -1,6 +1,7 @@
 """Nearest neighbours against all inner products."""
 
 import numpy as np
+import pytest
 
 from docweave.llm import ann
 
@@ -50,5 +51,18 @@ def test_recall_and_empty_tables(spark, monkeypatch):
     assert ann.nearest_neighbours(table.limit(3), table.filter("false"), 20).count() == 0
 
 
+@pytest.mark.parametrize("spread, most", [(0.25, 0.2), (0.6, 0.6), (None, 0.85)])
+def test_the_projection_spares_inner_products(spread, most):
+    """Clusters of narrow and wide spread, and vectors without any: enough neighbours are found, and not all vectors are verified."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(4000, 32)) if spread is None else rng.normal(size=(40, 32))[rng.integers(0, 40, 4000)] + spread * rng.normal(size=(4000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    block = ann.Block(np.arange(4000), v, ann.Search())
+    asked = block.vectors[::20]
+    got, want = block.nearest(asked, 20), np.argsort(-(asked @ block.vectors.T), axis=1)[:, :20]
+    recall = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(got.tolist(), want.tolist())])
+    assert recall >= 0.9 and block.verified / (len(asked) * 4000) <= most, (recall, block.verified / (len(asked) * 4000))
+
+
 def test_chi_square_point():
     assert abs(ann.chi_square_point(0.95, 10) - 18.307) < 1e-3 and abs(ann.chi_square_point(0.5, 2) - 1.38629) < 1e-4

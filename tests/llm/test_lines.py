@@ -106,3 +106,14 @@ def test_lines_go_and_rows_stay(spark):
     report = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.line_report(table.filter("doc_id in (1, 2, 4)")).collect()}
     assert report == {1: (3, 0), 2: (2, 1), 4: (1, 0)}
     assert lines.drop_repeated_lines(table.filter("false")).count() == 0 and lines.line_report(table.filter("false")).count() == 0
+
+
+def test_rows_of_one_id_keep_the_lines_that_are_found_nowhere_else(spark):
+    line, own = "a line that is said in two documents of them", "a line of its own that no other row has at all"
+    rows = [(1, line), (5, f"own\n{line}"), (5, f"x\n{own}"), (None, f"{own}\nz"), (None, f"{line}\n{own}")]
+    table = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in lines.drop_repeated_lines(table).collect()), key=str)
+    assert sum(t.count(line) for _, t in got) == 1 == sum(t.count(own) for _, t in got)
+    assert [t for i, t in got if i == 5] in (["own", "x"], ["own", f"x\n{own}"]) and (1, "") in got
+    report = lines.line_report(table).collect()
+    assert len(report) == 5 and sum(r.n_removed for r in report) == 4

@@ -93,3 +93,27 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.root for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{n: 1 for n in range(1, 41)}, **{n: 100 for n in range(100, 160)}, 600: 600, 601: 600}
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def near(text, times):
+    words = text.split()
+    for k in range(times):
+        words[7 + 23 * k] = f"changed{k}"
+    return " ".join(words)
+
+
+def test_rows_are_dropped_by_row_not_by_id(spark):
+    a, b = (" ".join(f"{x}{n}" for n in range(120)) for x in "ab")
+    rows = [(3, a), (7, near(a, 1)), (7, b), (None, near(b, 1)), (None, near(b, 2)), (7, b)]
+    table = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], SCHEMA).repartition(3)
+    assert sorted((r.doc_id, r.text) for r in neardup.drop_near_duplicates(table).collect()) == [(3, a), (7, b)]
+
+
+def test_rows_without_an_id_are_linked(spark):
+    a = " ".join(f"a{n}" for n in range(160))
+    table = spark.createDataFrame([(None, near(a, k), "clash", 1) for k in range(3)], SCHEMA)
+    assert [(r.class_id, r.class_size) for r in neardup.near_duplicates(table).collect()] == [(None, 3)] * 3
+    assert neardup.drop_near_duplicates(table).count() == 1
+    both = table.unionByName(spark.createDataFrame([(9, near(a, 1), "clash", 1)], SCHEMA))
+    assert {(r.class_id, r.class_size) for r in neardup.near_duplicates(both).collect()} == {(9, 4)}
+    assert [r.doc_id for r in neardup.drop_near_duplicates(both).collect()] == [9]

@@ -57,21 +57,50 @@ def test_statistics_and_outliers(written):
     assert quality.quality_rules(written.filter("false")).count() == 0 and quality.drop_low_quality(written.filter("false")).count() == 0
 
 
-def test_estimate_is_that_of_the_same_steps_in_numpy(spark):
+def least_determinant(x, share, rng, tries=300):
+    """An independent estimate: concentration from many random triples of points, exact subsets, the least determinant of all."""
+    best, h = (np.inf, None), math.ceil(share * len(x))
+    for _ in range(tries):
+        keep = rng.choice(len(x), x.shape[1] + 2, replace=False)
+        for _ in range(12):
+            mean, cov = x[keep].mean(axis=0), np.cov(x[keep].T, bias=True) + 1e-9 * np.eye(x.shape[1])
+            keep = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))[:h]
+        cov = np.cov(x[keep].T, bias=True)
+        best = min(best, (np.linalg.det(cov), tuple(x[keep].mean(axis=0))))
+    return best
+
+
+@pytest.mark.parametrize("share", [0.1, 0.16, 0.2])
+def test_a_tight_cluster_of_outliers_moves_nothing(spark, share):
+    """A cluster nine deviations away, which an estimate from all rows takes for part of the data, beside a clean group and one of three rows."""
     rng = np.random.default_rng(2)
-    x = rng.multivariate_normal([1, -2], [[1, 0.6], [0.6, 2]], 500)
-    x[:80] += [9, 9]
-    rows = spark.createDataFrame([("g", i, float(a), float(b)) for i, (a, b) in enumerate(x)], "g string, k long, a double, b double")
-    got = quality.minimum_covariance(rows, "g", "k", ["a", "b"], [1e-3, 1e-3], steps=4).first()
-    keep = np.ones(len(x), bool)
-    for step in range(5):
-        mean, cov = x[keep].mean(axis=0), np.cov(x[keep].T, bias=True)
-        far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        bins = np.floor(quality.BINS_PER_UNIT * np.log1p(far))
-        keep = bins <= np.sort(bins)[math.ceil(0.75 * len(x)) - 1]
-    low = np.linalg.cholesky(cov)
-    assert np.allclose([got.m_0, got.m_1, got.l_0_0, got.l_1_0, got.l_1_1], [*mean, low[0, 0], low[1, 0], low[1, 1]], atol=1e-6)
-    assert np.allclose(mean, [1, -2], atol=0.3)
+    cov = np.array([[1, 0.6, 0, 0], [0.6, 2, 0, 0], [0, 0, 1, 0.2], [0, 0, 0.2, 1]])
+    x = rng.multivariate_normal([1, -2, 0, 3], cov, 800)
+    bad = int(share * len(x))
+    x[:bad] = np.array([10, 7, 9, 12]) + 0.1 * rng.normal(size=(bad, 4))
+    rows = [("g", i, *map(float, r)) for i, r in enumerate(x)] + [("clean", 10_000 + i, *map(float, r)) for i, r in enumerate(rng.normal(size=(300, 4)))] + [("few", 90_000 + i, 1.0, 2.0, 3.0, 4.0) for i in range(3)]
+    features = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "g string, k long, a double, b double, c double, d double")
+    got = {r.g: r for r in quality.minimum_covariance(df, "g", "k", features, [1e-3] * 4).collect()}
+    det, mean = least_determinant(x, 0.75, rng)
+    mine = np.array([got["g"][f"m_{i}"] for i in range(4)])
+    assert np.allclose(mine, mean, atol=0.15) and np.allclose(mine, [1, -2, 0, 3], atol=0.35)
+    assert np.prod([got["g"][f"l_{i}_{i}"] for i in range(4)]) ** 2 < 1.3 * det
+    assert (got["g"].n, got["clean"].n, got["few"].n) == (800, 300, 3) and got["few"].m_2 == 3.0 and got["few"].l_0_0 == 1e-3
+    far = df.join(spark.createDataFrame(list(got.values())), "g").withColumn("far", quality.distance(features)).collect()
+    assert min(r.far for r in far if r.k < bad) > 50 > sorted(r.far for r in far if bad <= r.k < 800)[-5]
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """Groups of one, twelve and 2000 rows; what judges a row moves with the size of its group, without a jump."""
+    rng = random.Random(4)
+    word = lambda long: "".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 9 + long)))
+    rows = [(n, " ".join(word(0) for _ in range(rng.randrange(60, 200))), "en", "large" if n < 1500 else "dozen" if n < 1512 else f"single{n}") for n in range(1514)]
+    rows += [(5000, " ".join(word(0) + "#*|" for _ in range(120)), "en", "dozen"), (5001, " ".join(word(0) + "#*|" for _ in range(120)), "en", "never seen before"), (5002, " ".join(word(0) + "#*|" for _ in range(120)), "xx", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert all(r.kept for i, r in got.items() if i < 5000) and not got[5000].kept and not got[5001].kept, [(i, r.distance) for i, r in got.items() if r.kept != (i < 5000)]
+    assert got[3].own_share > 0.9 and 0.05 < got[1501].own_share < 0.15 and 0 < got[1513].own_share < 0.02
 
 
 def marked(seed, n):
