@@ -226,21 +226,6 @@ def distinct_vectors(frame: DataFrame, key: str, vec_col: str = "embedding") ->
         F.min(F.col(key).cast("long")).alias("id"), F.count(F.lit(1)).alias("copies"))
 
 
-def with_copies(pairs: DataFrame, frame: DataFrame, key: str, vec_col: str = "embedding") -> DataFrame:
-    """(id, other, score): ``pairs`` (a, b, score) of similar_pairs in both directions, with the copies they stand for.
-
-    Every copy lists the first of its copies and all that this one lists, and the first lists
-    its copies; copies are not paired with each other, so a hot group costs its rows. A zero
-    vector is similar to nothing.
-    """
-    rep = distinct_vectors(frame, key, vec_col).filter("copies > 1").filter(F.exists(vec_col, lambda x: x != 0)).select("id", F.col(vec_col).alias("_v"))
-    member = frame.select(F.col(key).cast("long").alias("copy"), F.col(vec_col).alias("_v")).join(rep, "_v").filter("copy != id").select("copy", "id")
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "score").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "score"))
-    taken = both.join(member, "id").select(F.col("copy").alias("id"), "other", "score")
-    own = member.select("id", F.col("copy").alias("other"), F.lit(1.0).alias("score")).unionByName(member.select(F.col("copy").alias("id"), F.col("id").alias("other"), F.lit(1.0).alias("score")))
-    return both.unionByName(taken).unionByName(own)
-
-
 def members(frame: DataFrame, key: str, vec_col: str = "embedding") -> DataFrame:
     """(copy, id, n): every row with a vector that is not zero, the first of the n rows of equal vectors, and n."""
     rep = distinct_vectors(frame, key, vec_col).filter(F.exists(vec_col, lambda x: x != 0)).select("id", F.col("copies").alias("n"), F.col(vec_col).alias("_v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docweave.functions.text import rows_of
-
+from docweave.operators.sequential import numbered_in_order
 
 
 def bucket(user: Column, experiment: Column) -> Column:
@@ -135,3 +135,11 @@ def fuse_votes(votes: DataFrame, abstain_below: float = 0.35, threshold: float =
     return agg.select("execution_id", F.coalesce(yes, F.lit(False)).alias("decision"), conf.alias("confidence"))
 
 
+def metric_rows(metrics: DataFrame) -> DataFrame:
+    """(experiment_id, variant_id, metric_name, place, value): the recorded values of every variant and metric in the order of their ids.
+
+    ``metrics``: id, experiment_id, variant_id, metric_name, value. The list of a variant and name is its rows by ``place``
+    from 0; as rows it may be of any length. Ids are unique.
+    """
+    keys = ["experiment_id", "variant_id", "metric_name"]
+    return numbered_in_order(metrics.select("id", *keys, "value"), keys, "id", "place").select(*keys, "place", "value")

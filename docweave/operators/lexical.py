@@ -48,6 +48,12 @@ def fit_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def corpus_totals(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: corpus_size, mean_length."""
+    return docs.select(F.size(tokens(F.col(text_col))).alias("n")).agg(
+        F.count(F.lit(1)).alias("corpus_size"), F.avg("n").alias("mean_length"))
+
+
 def made_once(name: str, array: Column) -> Column:
     """A column that later expressions read and do not make again, not even once per element inside a lambda: the row of a generator over one element."""
     return rows_of(F.array(array)).alias(name)
@@ -64,32 +70,24 @@ def counted_terms(docs: DataFrame, keys: list[str], text_col: str = "text") -> D
     return placed.select(*keys, n.cast("long").alias("length"), made_once("terms", counts))
 
 
-def counted_rows(docs: DataFrame, keys: list[str], text_col: str = "text", only_terms: DataFrame | None = None, few_terms: bool | None = None) -> DataFrame:
-    """(keys, term, tf, length), and for each row of ``docs`` one with a null term that carries its length.
-
-    One pass over the texts: words are counted inside their row, pruned to ``only_terms``, and only
-    distinct terms are hashed on the keys. Document frequencies, corpus totals and scores all read that one shuffle.
-    """
-    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
-    rows = counted_terms(docs, keys, text_col).select(*keys, "length", rows_of(F.concat(whole, "terms")).alias("e")).select(*keys, "e.term", "e.tf", "length")
-    if only_terms is not None:
-        few = at_most(only_terms, BROADCAST_ROWS) if few_terms is None else few_terms
-        wanted = only_terms.select("term").unionByName(only_terms.sparkSession.createDataFrame([(None,)], "term string"))
-        if few:
-            wanted = F.broadcast(wanted)
-        rows = rows.join(wanted.withColumnRenamed("term", "_term"), F.col("term").eqNullSafe(F.col("_term")), "left_semi")
-    return rows.repartition(*keys)
-
-
 def postings(docs: DataFrame, keys: list[str], text_col: str = "text",
              only_terms: DataFrame | None = None, few_terms: bool | None = None) -> DataFrame:
     """(keys, term, tf, length). ``only_terms`` prunes before anything is shuffled; pass
     ``few_terms`` when their number is already checked.
 
-    Rows are hashed on the document alone: adding up scores per question and document
-    and taking norms then happen where the rows lie.
+    All words are counted inside their row, so that only distinct terms are hashed on the document; the few words that
+    ``only_terms`` leaves are hashed as they are and counted there, which spares sorting the rest. Adding up scores per
+    question and document and taking norms then happen where the rows lie.
     """
-    return counted_rows(docs, keys, text_col, only_terms, few_terms).filter(F.col("term").isNotNull())
+    if only_terms is None:
+        rows = counted_terms(docs, keys, text_col).select(*keys, "length", rows_of(F.col("terms")).alias("e"))
+        return rows.select(*keys, "e.term", "e.tf", "length").filter(F.col("term").isNotNull()).repartition(*keys)
+    words = docs.select(*keys, tokens(F.col(text_col)).alias("words"))
+    rows = words.select(*keys, F.size("words").cast("long").alias("length"), rows_of(F.col("words")).alias("term")).filter(
+        F.col("term").isNotNull())
+    few = at_most(only_terms, BROADCAST_ROWS) if few_terms is None else few_terms
+    rows = rows.join(F.broadcast(only_terms) if few else only_terms, "term", "left_semi")
+    return rows.repartition(*keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
 def query_terms(queries: DataFrame, query_key: str, text_col: str = "text") -> DataFrame:
@@ -106,16 +104,13 @@ def weighted_postings(docs: DataFrame, keys: list[str], text_col: str = "text",
     """
     if only_terms is not None and few_terms is None:
         few_terms = at_most(only_terms, BROADCAST_ROWS)
-    rows = counted_rows(docs, keys, text_col, only_terms, few_terms)
-    hits = rows.filter(F.col("term").isNotNull())
+    hits = postings(docs, keys, text_col, only_terms, few_terms)
     if vocabulary is None:
-        # the totals come from the same shuffle: every document has a row without a term
-        counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"), F.sum("tf").alias("tf"))
-        corpus = counts.filter(F.col("term").isNull())
+        totals = corpus_totals(docs, text_col).select(F.struct("corpus_size", "mean_length")).scalar()
+        # an aggregate of all columns keeps both uses of the rows on one shuffle
         stats = (
-            counts.filter(F.col("term").isNotNull())
-            .withColumn("corpus_size", corpus.select("df").scalar())
-            .withColumn("mean_length", corpus.select(F.col("length") / F.col("df")).scalar())
+            hits.groupBy("term").agg(F.count(F.when((F.col("length") > 0) & (F.col("tf") > 0), 1)).alias("df")).withColumn("_t", totals)
+            .withColumn("corpus_size", F.col("_t.corpus_size")).withColumn("mean_length", F.col("_t.mean_length"))
             .withColumn("idf", idf(F.col("corpus_size"), F.col("df")))
         )
     else:

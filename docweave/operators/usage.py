@@ -195,6 +195,26 @@ def audit_filter(user: str | None = None, action: str | None = None, resource_ty
     return cond
 
 
+#: Most rows of a page (fixed value).
+PAGE_LIMIT = 200
+
+
+def owner_pages(rows: DataFrame, owner: str, newest: str, key: str, where: dict[str, object] | None = None, skip: int = 0, limit: int = 100) -> DataFrame:
+    """The page of rows ``skip`` + 1 to ``skip`` + ``limit`` of every owner at once, newest first, with its ``place`` from 1; ties go to the smaller key.
+
+    ``where`` names columns that must have a value; None sets no condition. A list of one owner is this with the owner among
+    the conditions. Only the leading rows of an owner leave the task that reads them. Rows without an owner are nobody's.
+    """
+    if skip < 0 or not 1 <= limit <= PAGE_LIMIT:
+        raise ValueError(f"skip must not be negative, and limit lie between 1 and {PAGE_LIMIT}")
+    kept = rows.filter(F.col(owner).isNotNull())
+    for name, value in (where or {}).items():
+        if value is not None:
+            kept = kept.filter(F.col(name) == F.lit(value))
+    order = W.partitionBy(owner).orderBy(F.col(newest).desc_nulls_last(), key)
+    return kept.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= skip + limit).filter(F.col("place") > skip)
+
+
 def recent_questions(sessions: DataFrame, messages: DataFrame, sessions_kept: int = 10, questions: int = 10) -> DataFrame:
     """User messages of the newest sessions, in session and message order, first ten."""
     newest = sessions.orderBy(F.col("updated_at").desc(), F.col("session_id").desc()).limit(sessions_kept)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from docweave.functions import numbers, routing, rules
+from docweave.functions import numbers, routing, rules, strategies
 from docweave.operators import answers, lifecycle, usage
 from docweave.plans.catalog import query
 from docweave.plans.evaluation import question_answers, PAIRS
@@ -91,6 +91,16 @@ def context_strategy(t) -> DataFrame:
     return routing.context_strategy(before, last)
 
 
+@query("strategy_votes", f"""WITH q AS (SELECT conv_id, turn, trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)) AS low FROM conversations WHERE role = 'user'),
+x AS (SELECT *, regexp_matches(low, '{_alt(routing.EXACT_GREETINGS)}') AS greet, {" + ".join(f"contains(low, '{w}')::INT" for w in routing.KNOWLEDGE_WORDS)} AS n FROM q),
+v AS (SELECT conv_id, turn, NOT greet AND n >= 1 AS result, CASE WHEN greet THEN 0.9::DOUBLE WHEN n >= 2 THEN least(0.8 + n * 0.05, 0.95) WHEN n = 1 THEN 0.6 ELSE 0.3 END AS confidence FROM x)
+SELECT conv_id, turn, 'keyword' AS strategy, result, confidence FROM v
+UNION ALL SELECT conv_id, turn, 'smalltalk', FALSE, CASE WHEN NOT result AND confidence >= 0.9 THEN confidence ELSE 0 END FROM v""")
+def strategy_votes(t) -> DataFrame:
+    """Votes of all registered strategies on every user message."""
+    return strategies.votes(questions(t), "text").select("conv_id", "turn", "strategy", "result", "confidence")
+
+
 @query("rewrite_queries")
 def rewrite_queries(t) -> DataFrame:
     """Search queries made of every user message."""
@@ -161,18 +171,21 @@ def answer_confidence(t) -> DataFrame:
     src = e.filter(F.col("event_type") != "purchase").select(day, F.col("event_id").alias("pos"), "value", F.col("event_type").alias("domain"))
     own = e.filter(F.col("event_type") == "purchase").select(day, "value")
     share = answers.cross_source_share(own, src, "day")
-    fresh = e.groupBy(day).agg(F.avg(numbers.age_freshness(F.lit(1706745600) - F.unix_timestamp("ts"))).alias("f"))
-    return share.join(fresh, "day").select("day", answers.answer_confidence(F.col("share"), F.lit(0.5), F.lit(0.5), F.col("f")).alias("confidence"))
+    # cited: events with an even number among their properties; authority: by user, as in source_confidence
+    fresh = e.groupBy(day).agg(F.avg(numbers.age_freshness(F.lit(1706745600) - F.unix_timestamp("ts"))).alias("f"), F.avg((F.get_json_object("props", "$.k").cast("long") % 2 == 0).cast("double")).alias("cited"),
+                               F.avg(F.col("user_id") % 11 / 10.0).alias("authority"))
+    return share.join(fresh, "day").select("day", answers.answer_confidence(F.col("share"), F.col("cited"), F.col("authority"), F.col("f")).alias("confidence"))
 
 
-@query("source_confidence", """WITH e AS (SELECT event_id, (json_extract(props, '$.k')::BIGINT) / 100.0::DOUBLE AS c, epoch(TIMESTAMP '2024-01-31 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT AS age, user_id % 3 AS n, event_type = 'error' AS fb FROM events),
-f AS (SELECT *, CASE WHEN age <= 60 THEN 1.0::DOUBLE WHEN age <= 300 THEN 0.9 WHEN age <= 900 THEN 0.8 WHEN age <= 3600 THEN 0.7 WHEN age <= 21600 THEN 0.5 WHEN age <= 86400 THEN 0.3 ELSE 0.1 END AS fresh FROM e)
-SELECT event_id, round(greatest(0.0, least(1.0, (0.4 * c + 0.3 * fresh + 0.2 * 0.5 + 0.1 * least(1.0, n / 2)) * CASE WHEN fb THEN 0.7 ELSE 1 END)) + 0.0000037, 2) AS confidence FROM f""")
+@query("source_confidence", """WITH e AS (SELECT event_id, ((json_extract(props, '$.k')::BIGINT) / 100.0)::DECIMAL(8,4) AS c, epoch(TIMESTAMP '2024-01-31 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT AS age, user_id, event_type = 'error' AS fb FROM events),
+f AS (SELECT *, (CASE WHEN age <= 60 THEN 1.0 WHEN age <= 300 THEN 0.9 WHEN age <= 900 THEN 0.8 WHEN age <= 3600 THEN 0.7 WHEN age <= 21600 THEN 0.5 WHEN age <= 86400 THEN 0.3 ELSE 0.1 END)::DECIMAL(8,4) AS fresh FROM e),
+w AS (SELECT event_id, fb, 0.4::DECIMAL(2,1) * c + 0.3::DECIMAL(2,1) * fresh + 0.2::DECIMAL(2,1) * (user_id % 11 / 10.0)::DECIMAL(8,4) + 0.1::DECIMAL(2,1) * least(1.0, (user_id % 3) / 2)::DECIMAL(8,4) AS score FROM f)
+SELECT event_id, round(greatest(0::DECIMAL(12,6), least(1::DECIMAL(12,6), CASE WHEN fb THEN score * 0.7::DECIMAL(2,1) ELSE score END)), 2)::DOUBLE AS confidence FROM w""")
 def source_confidence(t) -> DataFrame:
-    """Confidence of every event read as a sourced answer; the small shift keeps halves apart from float noise."""
+    """Confidence of every event read as a sourced answer, the authority of its source by user."""
     k = F.get_json_object("props", "$.k").cast("long") / 100.0
     fresh = numbers.age_freshness(F.lit(1706659200) - F.unix_timestamp("ts"))
-    level = numbers.overall_confidence(k, fresh, F.lit(0.5), F.col("user_id") % 3, F.col("event_type") == "error", shift=0.0000037)
+    level = numbers.overall_confidence(k, fresh, F.col("user_id") % 11 / 10.0, F.col("user_id") % 3, F.col("event_type") == "error")
     return t.events.select("event_id", level.alias("confidence"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from docweave.functions import numbers, rules, web
+from docweave.functions import numbers, rules, text as texts, web
 from docweave.functions.text import estimate_tokens, rows_of
 from docweave.operators import chunking, duplicates
 from docweave.plans import sqlparts as s
@@ -257,6 +257,28 @@ def numeric_conflicts(t) -> DataFrame:
     return numbers.numeric_conflicts(facts, ["user_id"]).withColumn("max_relative_diff", F.round("max_relative_diff", 6))
 
 
+@query("conflict_confidence", """
+WITH g AS (SELECT user_id, event_type, count(*) AS facts, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2),
+d AS (SELECT *, (hi - lo) / greatest(abs(lo), abs(hi), 1e-9) AS diff FROM g WHERE facts >= 2)
+SELECT user_id, count(*) AS conflicts, min(CASE WHEN diff >= 0.5 THEN 0.2::DOUBLE WHEN diff >= 0.2 THEN 0.5 ELSE 0.8 END) AS confidence FROM d WHERE diff >= 0.05 GROUP BY 1""")
+def conflict_confidence(t) -> DataFrame:
+    """How far the values of a user can be trusted, by the worst of their conflicts."""
+    facts = t.events.select("user_id", F.col("event_type").alias("metric"), F.lit("k").alias("unit"), "value")
+    return numbers.conflict_confidence(numbers.numeric_conflicts(facts, ["user_id"]), ["user_id"])
+
+
+@query("distinct_ids", """
+WITH r AS (SELECT l_orderkey AS id, CASE WHEN l_suppkey % 3 = 0 THEN ' ' ELSE ' ' || (l_suppkey % 5) END AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+f AS (SELECT id, trim(x) AS x, min(n) AS n FROM r WHERE trim(x) <> '' GROUP BY 1, 2)
+SELECT id, coalesce(string_agg(f.x, ',' ORDER BY f.n), '') AS ids FROM (SELECT DISTINCT id FROM r) LEFT JOIN f USING (id) GROUP BY id""")
+def distinct_ids(t) -> DataFrame:
+    """The ids each order names, without blanks, once each and in the order they come."""
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    listed = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    ids = F.transform("r", lambda x: F.when(x["l_suppkey"] % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), (x["l_suppkey"] % 5).cast("string"))))
+    return listed.select("id", F.array_join(texts.distinct_ids(ids), ",").alias("ids"))
+
+
 @query("value_consensus", """
 WITH m AS (SELECT ts::DATE AS day, event_type, count(value) AS n, median(value) AS mid, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2),
 d AS (SELECT *, CASE WHEN mid <> 0 THEN greatest(hi - mid, mid - lo) / abs(mid) ELSE 0 END AS dev FROM m)

@@ -298,3 +298,12 @@ def ngram_mining(t) -> DataFrame:
 SELECT keyword, count(*) AS frequency FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def suggested_keywords(t) -> DataFrame:
     return ex.suggested_keywords(missed(t))
+
+
+@query("metric_rows", """SELECT user_id % 7 AS experiment_id, event_type AS variant_id, 'm' || (event_id % 3) AS metric_name,
+  row_number() OVER (PARTITION BY user_id % 7, event_type, event_id % 3 ORDER BY event_id) - 1 AS place, value FROM events""")
+def metric_rows(t) -> DataFrame:
+    """Recorded values of every experiment, variant and metric, numbered in their order."""
+    rows = t.events.select(F.col("event_id").alias("id"), (F.col("user_id") % 7).alias("experiment_id"), F.col("event_type").alias("variant_id"),
+                           F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("metric_name"), "value")
+    return ex.metric_rows(rows)

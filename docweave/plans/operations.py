@@ -441,7 +441,8 @@ def session_delete(t) -> DataFrame:
     return left["messages"].groupBy((F.col("conv_id") % 4).alias("part")).agg(F.count(F.lit(1)).alias("messages"))
 
 
-@query("memory_ids")
+@query("memory_ids", """WITH h AS (SELECT conv_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('agent-memory:' || conv_id)) AS h FROM (SELECT DISTINCT conv_id FROM conversations))
+SELECT conv_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS memory_id FROM h""")
 def memory_ids(t) -> DataFrame:
     """Memory document id of every conversation."""
     return t.conversations.select("conv_id").distinct().select("conv_id", lifecycle.memory_document_id(F.col("conv_id")).alias("memory_id"))
@@ -488,3 +489,28 @@ def worth_keeping(t) -> DataFrame:
     none = F.filter(F.array(F.struct(F.lit("").alias("document_id"), F.lit("").alias("source_kind"))), lambda s: F.lit(False))
     j = t.orders.join(src, "o_orderkey", "left")
     return j.select("o_orderkey", lifecycle.worth_keeping(kind, answer, F.coalesce("sources", none), F.col("o_orderpriority") == "1-URGENT").alias("keep"))
+
+
+def _pages_sql(rows: str, owner: str, skip: int, limit: int) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {owner} ORDER BY ts DESC, id) AS place FROM ({rows}) WHERE {owner} IS NOT NULL) WHERE place > {skip} AND place <= {skip + limit}"""
+
+
+@query("feedback_pages", _pages_sql("SELECT event_id AS id, user_id AS owner_id, ts, event_id % 40 AS session_id FROM events WHERE event_type = 'click'", "owner_id", 3, 5))
+def feedback_pages(t) -> DataFrame:
+    """Second page of the ratings of every user."""
+    rows = t.events.filter(F.col("event_type") == "click").select(F.col("event_id").alias("id"), F.col("user_id").alias("owner_id"), "ts", (F.col("event_id") % 40).alias("session_id"))
+    return usage.owner_pages(rows, "owner_id", "ts", "id", {"session_id": None}, 3, 5).withColumn("place", F.col("place").cast("long"))
+
+
+@query("badcase_pages", _pages_sql("SELECT event_id AS id, user_id, ts, 'c' || (event_id % 3) AS category FROM events WHERE event_type = 'error' AND event_id % 3 = 1", "user_id", 0, 4))
+def badcase_pages(t) -> DataFrame:
+    """First page of every user's bad cases of one category."""
+    rows = t.events.filter(F.col("event_type") == "error").select(F.col("event_id").alias("id"), "user_id", "ts", F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("category"))
+    return usage.owner_pages(rows, "user_id", "ts", "id", {"category": "c1", "feedback_type": None}, 0, 4).withColumn("place", F.col("place").cast("long"))
+
+
+@query("experiment_pages", _pages_sql("SELECT o_orderkey AS id, o_custkey AS owner_id, o_orderdate AS ts, o_orderstatus AS status FROM orders WHERE o_orderstatus = 'O'", "owner_id", 0, 3))
+def experiment_pages(t) -> DataFrame:
+    """Newest running experiments (open orders) of every owner."""
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("status"))
+    return usage.owner_pages(rows, "owner_id", "ts", "id", {"status": "O"}, 0, 3).withColumn("place", F.col("place").cast("long"))

@@ -163,16 +163,21 @@ def classify_modes(best: DataFrame, threshold: float = 0.55) -> DataFrame:
                          top.alias("top_score"), F.round(top + F.get("m", 1)["s"], 6).alias("gap"))
 
 
+#: The vector of a question is the one stored under its number; its words are those of its text.
+HYBRID = f"""{s.VECTORS}, {BM25_DOCS},
+near AS (SELECT item_id AS query_id, b.vec_id AS document_id, list_inner_product(a.e, b.e) AS score FROM benchmark JOIN v a ON a.vec_id = item_id JOIN v b ON b.vec_id <> a.vec_id),
+channels AS (SELECT 1 AS c, query_id, document_id, score, rank FROM ({s.ranked('near', 'query_id', 'document_id', 20)})
+  UNION ALL SELECT 2 AS c, item_id, doc_id, score, rank FROM ({s.ranked('scores', 'item_id', 'doc_id', 20)}))"""
+
+
 def channels(t, size: int = 20) -> DataFrame:
-    """Two ranked channels of every vector: all numbers, and the first half of them."""
-    half = t.embeddings.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
-    out = None
-    for name, frame in (("dense", t.embeddings), ("sparse", half)):
-        top = dense.dense_top_k(frame, frame, size, "vec_id", "vec_id", exclude_self=True).select(
-            "query_id", F.lit(name).alias("channel"), F.col("id").alias("document_id"),
-            F.lit(0).cast("long").alias("chunk_index"), "rank", "score")
-        out = top if out is None else out.unionByName(top)
-    return out
+    """Two ranked channels of every benchmark question over the documents: vectors, and BM25 over the words."""
+    asked = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    near = dense.dense_top_k(asked, t.embeddings, size, "vec_id", "vec_id", exclude_self=True)
+    lexical_ = lexical.bm25_top_k(t.documents, t.benchmark, ["doc_id"], "item_id", size).withColumnsRenamed({"item_id": "query_id", "doc_id": "id"})
+    out = [f.select("query_id", F.lit(name).alias("channel"), F.col("id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), "rank", "score")
+           for name, f in (("dense", near), ("sparse", lexical_))]
+    return out[0].unionByName(out[1])
 
 
 def _fused_sql(score: str, name: str) -> str:
@@ -188,7 +193,7 @@ def _top(fused: DataFrame, score: str, name: str, k: int = 10, extra: tuple[str,
         *[F.round(c, 6).alias(c) for c in extra])
 
 
-@query("rrf_fuse", f"""WITH {s.CHANNELS}, {_fused_sql('1.0 / (60 + rank)', 'channels')}
+@query("rrf_fuse", f"""WITH {HYBRID}, {_fused_sql('1.0 / (60 + rank)', 'channels')}
 SELECT query_id, document_id, rank, round(fused, 9) AS rrf_score, round(dense_score, 6) AS dense_score,
   round(sparse_score, 6) AS sparse_score FROM out WHERE rank <= 10""")
 def rrf_fuse(t) -> DataFrame:
@@ -196,14 +201,14 @@ def rrf_fuse(t) -> DataFrame:
                 extra=("dense_score", "sparse_score"))
 
 
-@query("weighted_rrf", f"""WITH {s.CHANNELS}, {_fused_sql('CASE c WHEN 1 THEN 0.7 ELSE 0.3 END / (60 + rank)', 'channels')}
+@query("weighted_rrf", f"""WITH {HYBRID}, {_fused_sql('CASE c WHEN 1 THEN 0.7 ELSE 0.3 END / (60 + rank)', 'channels')}
 SELECT query_id, document_id, rank, round(fused, 9) AS rrf_score FROM out WHERE rank <= 10""")
 def weighted_rrf(t) -> DataFrame:
     return _top(fusion.reciprocal_rank_fusion(channels(t), ["dense", "sparse"], weights={"dense": 0.7, "sparse": 0.3}),
                 "rrf_score", "rrf_score")
 
 
-@query("minmax_fuse", f"""WITH {s.CHANNELS},
+@query("minmax_fuse", f"""WITH {HYBRID},
 span AS (SELECT *, min(score) OVER (PARTITION BY query_id, c) AS lo, max(score) OVER (PARTITION BY query_id, c) AS hi FROM channels),
 {_fused_sql("CASE c WHEN 1 THEN 0.7 ELSE 0.3 END * CASE WHEN hi > lo THEN 0.5 + 0.5 * (score - lo) / (hi - lo) ELSE 1 END", 'span')}
 SELECT query_id, document_id, rank, round(fused, 9) AS fused_score FROM out WHERE rank <= 10""")
@@ -211,7 +216,7 @@ def minmax_fuse(t) -> DataFrame:
     return _top(fusion.minmax_fusion(channels(t), {"dense": 0.7, "sparse": 0.3}), "fused_score", "fused_score")
 
 
-@query("union_candidates", f"""WITH {s.CHANNELS},
+@query("union_candidates", f"""WITH {HYBRID},
 u AS (SELECT query_id, document_id, min((3 - c) * 1000 + rank) AS seen FROM channels GROUP BY 1, 2),
 out AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seen, document_id) AS rank FROM u)
 SELECT query_id, document_id, rank FROM out WHERE rank <= 25""")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docweave.functions import routing, rules
-from docweave.operators import context, dense, lexical
+from docweave.operators import context, lexical
 from docweave.streaming import limits
 
 AT = "2024-01-01 10:00:0{}"
@@ -40,13 +40,6 @@ def test_null_kinds_are_raw(spark):
     assert ids(exclude_kinds=["wiki"]) == [1, 2] and ids(source_kind="raw") == [1, 2] and ids(kb_ids=[], document_ids=[]) == [1, 2, 3]
 
 
-def test_copies_keep_their_pairs(spark):
-    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.9, 0.1]), (4, [0.0, 1.0]), (5, [0.0, 0.0]), (6, [0.0, 0.0]), (7, [1.0, 0.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = dense.with_copies(dense.similar_pairs(table, "vec_id", 0.9), table, "vec_id").collect()
-    assert {(r.id, r.other) for r in found} == {(1, 3), (3, 1), (2, 3), (7, 3), (1, 2), (2, 1), (1, 7), (7, 1)} and len(found) == 8
-
-
 def test_long_lexicon_and_short_one_agree(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "aaa badword xbad" + " bad" * 600), (2, ""), (3, None), (4, "none of it")], "id int, text string")
     lexicon = spark.createDataFrame([("bad", "c", 1), ("aa", "c", 2), ("badword", "d", 3), ("of it", "d", 4)], "word string, category string, position int")
