@@ -86,13 +86,18 @@ def moments(rows: DataFrame, by: list[str], features: list[str]) -> DataFrame:
                                  *[F.covar_pop(features[i], features[j]).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)])
 
 
-def starts(rows: DataFrame, group: str, key: str, features: list[str]) -> DataFrame:
+def beside(rows: DataFrame, groups: DataFrame, on: list[str], spread: str, few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their group: ``groups`` is broadcast if it is known to be of ``few`` rows, else joined with salt."""
+    return rows.join(F.broadcast(groups), on, how) if few else salted_join(rows, groups, on, [spread], how=how)
+
+
+def starts(rows: DataFrame, group: str, key: str, features: list[str], few: bool) -> DataFrame:
     """(group, _start, m_i, s_i_j): where the search begins, from all rows, from medians, and from some dozen rows each, chosen by the hash of their key."""
     d = range(len(features))
     every = moments(rows, [group], features).withColumn("_start", F.lit(0))
     middle = rows.groupBy(group).agg(*[F.percentile_approx(f, 0.5).alias(f"m_{i}") for i, f in enumerate(features)], F.count(F.lit(1)).alias("_n"))
     middle = cut_lineage(middle)
-    apart = salted_join(rows, middle, [group], [key])
+    apart = beside(rows, middle, [group], key, few)
     spread = apart.groupBy(group).agg(*[(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5)).alias(f"w_{i}") for i, f in enumerate(features)])
     medians = middle.join(spread, group).select(group, F.lit(1).alias("_start"), *[f"m_{i}" for i in d],
                                                 *[(F.col(f"w_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i in d for j in range(i + 1)])
@@ -109,12 +114,13 @@ def minimum_covariance(rows: DataFrame, group: str, key: str, features: list[str
     no larger. Of the ends, that of the least determinant is kept. Counts and moments are summed before the shuffle, so a group of
     any size costs a row per start and task.
     """
-    found = cut_lineage(factored(starts(rows, group, key, features), features, floors))
+    few = at_most(rows.select(group).distinct(), BROADCAST_ROWS // STARTS)
+    found = cut_lineage(factored(starts(rows, group, key, features, few), features, floors))
     keys = [group, "_start"]
     for _ in range(steps):
-        far = salted_join(rows, found, [group], [key]).withColumn("_bin", F.floor(BINS_PER_UNIT * F.log1p(distance(features))).cast("int"))
+        far = beside(rows, found, [group], key, few).withColumn("_bin", F.floor(BINS_PER_UNIT * F.log1p(distance(features))).cast("int"))
         edges = inner_edges(far, keys, share)
-        inner = salted_join(far.select(*keys, key, *features, "_bin"), edges, keys, [key]).filter(F.col("_bin") <= F.col("edge_bin"))
+        inner = beside(far.select(*keys, key, *features, "_bin"), edges, keys, key, few).filter(F.col("_bin") <= F.col("edge_bin"))
         found = cut_lineage(factored(moments(inner, keys, features), features, floors))
     determinant = sum((F.log(f"l_{i}_{i}") for i in range(len(features))), F.lit(0.0))
     best = found.groupBy(group).agg(F.min_by("_start", F.struct(F.round(determinant, 9), "_start")).alias("_start"))
@@ -196,7 +202,7 @@ def learn_rules(stats: DataFrame, least: int, prior: int = PRIOR_ROWS) -> DataFr
     third = groups.select("_both", "_lang").withColumn("_level", F.concat(F.lit("lang "), F.col("_lang"))).join(above(second), "_level").drop("_level").withColumn(
         "_level", F.concat(F.lit("both "), F.col("_both"))).join(of("_level"), "_level", "left")
     judged = cut_lineage(factored(shrunken(third, FEATURES, prior), FEATURES, FLOORS))
-    far = salted_join(rows, judged.select("_both", *[c for c in judged.columns if c.startswith(("m_", "l_"))]), ["_both"], ["_key"]).withColumn(
+    far = beside(rows, judged.select("_both", *[c for c in judged.columns if c.startswith(("m_", "l_"))]), ["_both"], "_key", at_most(judged, BROADCAST_ROWS)).withColumn(
         "_bin", F.floor(BINS_PER_UNIT * F.log1p(distance(FEATURES))).cast("int"))
     edges = cut_lineage(inner_edges(far.select("_key", "_bin", F.explode(levels()).alias("_level")), ["_level"], INNER).withColumn("e", F.expm1((F.col("edge_bin") + 1) / BINS_PER_UNIT)))
     edge = lambda level, name: F.broadcast(edges.select(F.col("_level").alias(level), F.col("e").alias(name))) if at_most(edges, BROADCAST_ROWS) else edges.select(F.col("_level").alias(level), F.col("e").alias(name))
