@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -11,13 +9,11 @@ from docweave.functions.text import extract_links, normalize_title, rows_of
 from docweave.functions.vectors import cosine
 from docweave.operators.dense import distinct_vectors, similar_pairs
 from docweave.operators.sequential import numbered_in_order
-from docweave.operators.sizing import broadcast_if_small
 from docweave.session import cut_lineage
 
-ANCHOR = 8
-
-
+# fixed values: titles that travel to the tasks as one table; else pages and titles of a base that one task holds
 TITLE_ROWS = 200_000
+PAGE_GROUP, TITLE_GROUP = 4096, 100_000
 
 
 def title_mentions(pages: DataFrame, titles: DataFrame, most: int = 8) -> DataFrame:
@@ -25,62 +21,80 @@ def title_mentions(pages: DataFrame, titles: DataFrame, most: int = 8) -> DataFr
 
     ``pages``: id, kb_id, title, content; ``titles``: kb_id, title. Blanks and case are
     ignored, titles of one character and the page's own title are left out, the first
-    ``most`` by first position stay. A title table of checked size travels to the tasks,
-    so each text is read once and nothing is shuffled; a larger one meets the texts by
-    an equi-join on the first characters of a title, then the text decides.
+    ``most`` by first position stay, and no task returns more than these of a page. A title table of checked size travels to
+    the tasks, so each text is read once and not shuffled; a larger one meets the texts base by base,
+    in groups of so many pages and so many titles.
     """
     t = titles.select("kb_id", "title", normalize_title(F.col("title")).alias("norm")).filter(F.length("norm") >= 2)
     t = t.groupBy("kb_id", "norm").agg(F.min("title").alias("title"))
     body = pages.select("id", "kb_id", normalize_title(F.col("content")).alias("hay"), normalize_title(F.col("title")).alias("own"))
-    small = t.select(F.col("kb_id").cast("string").alias("kb"), "norm").limit(TITLE_ROWS + 1).collect()
-    found = _mentions_in_task(body, small) if len(small) <= TITLE_ROWS else _mentions_by_anchor(body, t)
-    named = found.filter(F.col("norm") != F.col("own")).join(broadcast_if_small(t), ["kb_id", "norm"])
+    small = t.filter(F.col("kb_id").isNotNull()).select(F.col("kb_id").cast("string").alias("kb"), "norm", "title").limit(TITLE_ROWS + 1).collect()
+    found = _mentions_in_task(body, small, most) if len(small) <= TITLE_ROWS else _mentions_by_base(body, t, most)
     w = W.partitionBy("id").orderBy("position", "title")
-    return named.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("id", "title", "position", "place")
-
-
-def _mentions_in_task(body: DataFrame, rows: list) -> DataFrame:
-    """Windows of every title length in use, looked up among the titles of the base."""
-    table: dict[str, dict[int, set[str]]] = {}
-    for kb, norm in rows:
-        table.setdefault(kb, {}).setdefault(len(norm), set()).add(norm)
-    packed = body.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("norm", T.StringType()), T.StructField("position", T.IntegerType())])))
-    def find(kb: pd.Series, hay: pd.Series) -> pd.Series:
-        out = []
-        for base, text in zip(kb, hay):
-            hits = []
-            for size, names in packed.value.get(base, {}).items():
-                # few names: look each up in the text; many: look the text's windows up among them
-                if len(names) < len(text) // 8:
-                    found = ((name, text.find(name)) for name in names)
-                    hits.extend((name, at + 1) for name, at in found if at >= 0)
-                else:
-                    seen = {text[i:i + size] for i in range(len(text) - size + 1)}
-                    hits.extend((name, text.index(name) + 1) for name in names & seen)
-            out.append(hits)
-        return pd.Series(out)
-
-    hits = body.select("id", "kb_id", "own", rows_of(find(F.col("kb_id").cast("string"), F.col("hay"))).alias("h")).filter(
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("id", "title", "position", "place")
+
+
+def first_mentions(text: str, own: str, names: dict[int, dict[str, str]], most: int) -> list[tuple[int, str]]:
+    """(position, title) of the first ``most`` titles in a text; ``names``: by length, title by normalised title."""
+    if sum(map(len, names.values())) < len(text) // 8:
+        # few names: look each up in the text
+        found = ((text.find(norm) + 1, title) for by in names.values() for norm, title in by.items() if norm != own)
+        return sorted(f for f in found if f[0])[:most]
+    # many: look the text's windows up among them, up to the last position that can still matter
+    hits, seen = [], {own}
+    for i in range(len(text)):
+        for size, by in names.items():
+            part = text[i:i + size]
+            if part in by and part not in seen:
+                seen.add(part)
+                hits.append((i + 1, by[part]))
+        if len(hits) >= most:
+            break
+    return sorted(hits)[:most]
+
+
+def _by_length(norms, titles) -> dict[int, dict[str, str]]:
+    names: dict[int, dict[str, str]] = {}
+    for norm, title in zip(norms, titles):
+        names.setdefault(len(norm), {})[norm] = title
+    return names
+
+
+def _mentions_in_task(body: DataFrame, rows: list, most: int) -> DataFrame:
+    """Every text beside the titles of its base."""
+    listed: dict[str, tuple[list[str], list[str]]] = {}
+    for kb, norm, title in rows:
+        held = listed.setdefault(kb, ([], []))
+        held[0].append(norm)
+        held[1].append(title)
+    packed = body.sparkSession.sparkContext.broadcast({kb: _by_length(*held) for kb, held in listed.items()})
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), T.StructField("title", T.StringType())])))
+    def find(kb: pd.Series, hay: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([first_mentions(text, mine, packed.value.get(base, {}), most) for base, text, mine in zip(kb, hay, own)], dtype=object)
+
+    hits = body.select("id", rows_of(find(F.col("kb_id").cast("string"), F.col("hay"), F.col("own"))).alias("h")).filter(
         F.col("h").isNotNull())
-    return hits.select("id", "kb_id", "own", "h.norm", "h.position")
-
-
-def _mentions_by_anchor(body: DataFrame, t: DataFrame) -> DataFrame:
-    t = t.withColumn("size", F.least(F.length("norm"), F.lit(ANCHOR))).withColumn("anchor", F.expr("substring(norm, 1, size)"))
-    anchors = broadcast_if_small(t.select("kb_id", "anchor").distinct())
-    # per anchor size the first characters in use: only windows that begin with one are cut out
-    heads = t.groupBy("size").agg(F.sort_array(F.collect_set(F.substring("norm", 1, 1))).alias("heads")).collect()
-    seen = None
-    for size, heads in sorted((r["size"], r["heads"]) for r in heads):
-        first = "[" + "".join(re.escape(c) for c in heads) + "]" if len(heads) <= 2000 else "."
-        windows = F.array_distinct(F.regexp_extract_all("hay", F.lit(f"(?s)(?=({first}.{{{size - 1}}}))"), F.lit(1)))
-        part = body.select("id", "kb_id", rows_of(windows).alias("anchor")).join(anchors, ["kb_id", "anchor"], "left_semi")
-        seen = part if seen is None else seen.unionByName(part)
-    pairs = seen.join(t, ["kb_id", "anchor"]).select("id", "kb_id", "norm")
-    return pairs.join(body.select("id", "hay", "own"), "id").withColumn("position", F.expr("locate(norm, hay)")).filter(
-        F.col("position") > 0).drop("hay")
+    return hits.select("id", "h.title", "h.position")
+
+
+def _mentions_by_base(body: DataFrame, t: DataFrame, most: int) -> DataFrame:
+    """Groups of pages and of titles of one base; each returns the first ``most`` of its titles for a page, so the first of all are among them."""
+    some = lambda rows, size, name: rows.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = some(body, PAGE_GROUP, "parts").join(some(t, TITLE_GROUP, "shards"), "kb_id")
+    part = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = body.join(sizes, "kb_id").select(F.col("kb_id").alias("base"), "id", "hay", "own", part("parts", "id", "hay").alias("part"), every("shards").alias("shard"))
+    right = t.join(sizes, "kb_id").select(F.col("kb_id").alias("base"), "norm", "title", part("shards", "norm").alias("shard"), every("parts").alias("part"))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = _by_length(b["norm"], b["title"])
+        hits = [(i, title, at) for i, text, own in zip(a["id"], a["hay"], a["own"]) for at, title in first_mentions(text, own, names, most)]
+        return pd.DataFrame(hits, columns=["id", "title", "position"])
+
+    keys = ["base", "part", "shard"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        meet, f"id {body.schema['id'].dataType.simpleString()}, title string, position int")
 
 
 def fill_links(pages: DataFrame) -> DataFrame:

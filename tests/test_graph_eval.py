@@ -38,6 +38,37 @@ def test_title_links_in_both_routes(pages, bound, monkeypatch):
     assert set(rows(marked, "id", "target")) == {("i", "Alpha")}
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_title_search_returns_no_more_than_wanted_from_a_task(spark, bound, monkeypatch):
+    monkeypatch.setattr(graph, "TITLE_ROWS", bound)
+    monkeypatch.setattr(graph, "PAGE_GROUP", 7)
+    monkeypatch.setattr(graph, "TITLE_GROUP", 5)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    data = [(i, rng.choice(["k", "z"]), rng.choice([word(), word().title()]), " ".join(word() for _ in range(30))) for i in range(40)]
+    pages = spark.createDataFrame(data, "id long, kb_id string, title string, content string").withColumn("status", F.lit("active"))
+    want = set()
+    for i, kb, title, content in data:
+        names = {}
+        for _, k, other, _ in data:
+            if k == kb and len(other) >= 2 and other.lower() != title.lower():
+                names[other.lower()] = min(other, names.get(other.lower(), other))
+        hits = sorted((content.replace(" ", "").find(n) + 1, names[n]) for n in names if n in content.replace(" ", ""))
+        want |= {(i, name, at, place) for place, (at, name) in enumerate(hits[:8], 1)}
+    assert {tuple(r) for r in graph.fill_links(pages).collect()} == want
+
+
+def test_a_page_gives_its_first_titles_only(spark):
+    titles = [(a + b).lower() for a in "abcdef" for b in "abcdef"]
+    names = {2: {t: t.upper() for t in titles}}
+    text = "".join(titles)
+    assert graph.first_mentions(text, "aa", names, 3) == graph.first_mentions(text * 20, "aa", names, 3) == sorted((text.find(n) + 1, n.upper()) for n in titles if n != "aa")[:3]
+    body = spark.createDataFrame([(i, "k", text, "") for i in range(5)], "id long, kb_id string, hay string, own string")
+    t = spark.createDataFrame([("k", n, n.upper()) for n in titles], "kb_id string, norm string, title string")
+    rows_ = [("k", n, n.upper()) for n in titles]
+    assert graph._mentions_in_task(body, rows_, 2).count() == graph._mentions_by_base(body, t, 2).count() == 10
+
+
 def test_navigation(spark):
     e = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "query_id int, page_id string, rank int")
     l = spark.createDataFrame([("a", "x", 0), ("a", "b", 1), ("a", "y", 2), ("b", "z", 0), ("c", "x", 0), ("c", "w", 1)], "page_id string, target_id string, place int")
