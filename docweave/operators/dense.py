@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from docweave.operators.sizing import DENSE_QUERY_BYTES, salt_of, salted_join
@@ -18,6 +20,13 @@ from docweave.operators.sizing import DENSE_QUERY_BYTES, salt_of, salted_join
 BLOCK_ROWS = 4096
 SCORE_CELLS = 16_000_000
 
+# fixed values of the search: queries that travel to all tasks, queries and chunks of one task of the grid, chunks of one tile
+FEW_QUERIES = 2048
+QUERY_BLOCK, CHUNK_BLOCK = 32_768, 65_536
+TILE_ROWS = 8192
+#: Stands for a null id inside a block; it comes before all others, as a null does.
+NO_ID = np.iinfo(np.int64).min
+
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
@@ -52,59 +61,146 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+class _Top:
+    """The k best chunks so far of a block of queries, by score rounded to six digits, ties by id.
+
+    Chunks come in tiles. Single precision rules out every pair that, by the bound of its rounding error, can't be
+    better than the k-th so far; the few others are scored in double precision.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.vectors, self.k, self.own = ids, vectors, k, exclude_self
+        self.rough, self.slack = self._rough(vectors)
+        self.shown = np.full((len(ids), k), -np.inf)
+        self.score = np.full((len(ids), k), -np.inf)
+        self.found = np.zeros((len(ids), k), np.int64)
+        self.filled = np.zeros((len(ids), k), bool)
+
+    @staticmethod
+    def _rough(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors in single precision, and their lengths times the relative error of a product."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            length = np.sqrt((vectors * vectors).sum(axis=1))
+            error = length * math.sqrt((vectors.shape[1] + 8) * 2.0 ** -23)
+            return vectors.astype(np.float32), error
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        rough, slack = self._rough(vectors)
+        safe = all(len(x) == 0 or np.nanmax(x, initial=0) < 1e12 for x in (slack, self.slack)) and np.isfinite(vectors).all()
+        at = 0
+        while at < len(ids):
+            # the first tiles are small: they set a bound for the others
+            size = min(TILE_ROWS, max(256, at))
+            tile = slice(at, at + size)
+            at += size
+            step = max(1, min(1024, SCORE_CELLS // 2 // size))
+            for start in range(0, len(self.ids), step):
+                self._tile(slice(start, start + step), ids[tile], vectors[tile], rough[tile], slack[tile], safe)
+
+    def _tile(self, rows: slice, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, slack: np.ndarray, safe: bool) -> None:
+        low = np.where(self.filled[rows, -1], self.shown[rows, -1], -np.inf)
+        cells = len(low) * len(ids)
+        x = y = None
+        if safe and np.isfinite(low).all():
+            least = low - 1e-6 - self.slack[rows] * (slack.max() if len(slack) else 0)
+            x, y = np.nonzero(self.rough[rows] @ rough.T >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
+        if x is None or len(x) * 16 > cells:
+            # no bound yet, or too many near it: the whole tile in double precision
+            scores = self.vectors[rows] @ vectors.T
+            shown = np.round(scores, 6)
+            if self.own:
+                shown[(self.ids[rows][:, None] == ids[None, :]) & (ids != NO_ID)[None, :]] = np.nan
+            last = self.found[rows, -1]
+            good = (shown > low[:, None]) | ((shown == low[:, None]) & (ids[None, :] < last[:, None]))
+            if len(ids) > 2 * self.k:
+                floor = -np.partition(np.where(good, -shown, np.inf), self.k - 1, axis=1)[:, self.k - 1]
+                good &= shown >= floor[:, None]
+            x, y = np.nonzero(good)
+            scores, shown = scores[x, y], shown[x, y]
+        else:
+            scores = np.einsum("ij,ij->i", self.vectors[rows][x], vectors[y])
+            shown = np.round(scores, 6)
+            good = (shown > low[x]) | ((shown == low[x]) & (ids[y] < self.found[rows, -1][x]))
+            if self.own:
+                good &= (self.ids[rows][x] != ids[y]) | (ids[y] == NO_ID)
+            x, y, scores, shown = x[good], y[good], scores[good], shown[good]
+        if len(x):
+            self._merge(rows.start, x, ids[y], scores, shown)
+
+    def _merge(self, start: int, x: np.ndarray, ids: np.ndarray, scores: np.ndarray, shown: np.ndarray) -> None:
+        touched = np.unique(x)
+        held = self.filled[touched + start]
+        row = np.concatenate([x, np.broadcast_to(touched[:, None], held.shape)[held]]) + start
+        ids, scores, shown = (np.concatenate([new, old[touched + start][held]]) for new, old in ((ids, self.found), (scores, self.score), (shown, self.shown)))
+        order = np.lexsort((ids, -shown, row))
+        row, ids, scores, shown = row[order], ids[order], scores[order], shown[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        keep = place < self.k
+        row, place = row[keep], place[keep]
+        self.found[row, place], self.score[row, place], self.shown[row, place], self.filled[row, place] = ids[keep], scores[keep], shown[keep], True
+
+    def rows(self) -> pa.Table:
+        n = self.filled.sum(axis=1)
+        key = lambda ids: pa.array(ids, pa.int64(), mask=ids == NO_ID)
+        return pa.table({"query_id": key(np.repeat(self.ids, n)), "id": key(self.found[self.filled]), "score": pa.array(self.score[self.filled], pa.float64())})
+
+
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a table (id, v), in order of the ids."""
+    lists = table["v"].combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    ids = np.asarray(table["id"].fill_null(NO_ID).to_numpy())
+    flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64)
+    width = len(flat) // max(1, len(ids))
+    if lists.null_count or (pc.list_value_length(lists).to_numpy(zero_copy_only=False) != width).any():
+        raise ValueError("vectors of unequal length")
+    order = np.argsort(ids, kind="stable")
+    return ids[order], flat.reshape(len(ids), width)[order]
+
+
+FOUND = "query_id long, id long, score double"
+
+
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_key: str, key: str,
                 vec_col: str = "embedding", exclude_self: bool = False,
                 query_bytes: int = DENSE_QUERY_BYTES) -> DataFrame:
     """(query_id, id, score, rank): exact k largest inner products per query.
 
-    A query table of checked size travels to the tasks as one matrix; every task
+    A query table of checked size, ``FEW_QUERIES`` at most, travels to the tasks as one matrix; every task
     keeps k rows per query, so only queries x k x tasks rows are shuffled. A larger
     query table meets the chunks in a grid of bounded blocks instead.
     """
     dim = _dimension(queries, vec_col)
-    limit = max(1, query_bytes // max(1, 8 * dim))
-    head = queries.select(F.col(query_key).cast("long").alias("q"), F.col(vec_col).alias("v")).limit(limit + 1)
-    local = head.toPandas() if head.count() <= limit else None
-    if local is None:
+    limit = max(1, min(FEW_QUERIES, query_bytes // max(1, 8 * dim)))
+    asked = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    head = asked.limit(limit + 1).toArrow()
+    if head.num_rows > limit:
         return _grid_top_k(queries, chunks, k, query_key, key, vec_col, exclude_self)
-    ids = local["q"].to_numpy()
-    matrix = _matrix(local["v"]) if len(local) else np.zeros((0, dim))
-    packed = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
+    packed = chunks.sparkSession.sparkContext.broadcast(_block(head))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qmat = packed.value
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(qids)
-        for pdf in (part for batch in batches for part in _slices(batch, len(qids))):
-            if not len(qids):
-                continue
-            keys = pdf["id"].to_numpy()
-            scores = qmat @ _matrix(pdf["v"]).T
-            for i in range(len(qids)):
-                row, row_keys = scores[i], keys
-                if exclude_self:
-                    keep = keys != qids[i]
-                    row, row_keys = row[keep], keys[keep]
-                best = _best(row, row_keys, k)
-                all_keys = np.concatenate([held[i][0], row_keys[best]])
-                all_scores = np.concatenate([held[i][1], row[best]])
-                best = _best(all_scores, all_keys, k)
-                held[i] = (all_keys[best], all_scores[best])
-        for i, (found, score) in enumerate(held):
-            if len(found):
-                yield pd.DataFrame({"query_id": qids[i], "id": found, "score": score})
-
-    found = chunks.select(F.col(key).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInPandas(
-        scan, "query_id long, id long, score double")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = _Top(*packed.value, k, exclude_self)
+        for batch in batches:
+            if batch.num_rows and len(top.ids):
+                top.add(*_block(pa.Table.from_batches([batch])))
+        yield from top.rows().to_batches()
+
+    found = chunks.select(F.col(key).cast("long").alias("id"), F.col(vec_col).alias("v")).mapInArrow(scan, FOUND)
     return _rank(found, k)
 
 
-def _blocks(n_rows: int) -> int:
-    return max(1, math.ceil(n_rows / BLOCK_ROWS))
+def _blocks(n_rows: int, rows: int | None = None) -> int:
+    return max(1, math.ceil(n_rows / (rows or BLOCK_ROWS)))
 
 
 def _grid_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_key: str, key: str,
                 vec_col: str, exclude_self: bool) -> DataFrame:
-    nq, nc = _blocks(queries.count()), _blocks(chunks.count())
+    """Blocks of queries meet blocks of chunks, both as large as one task may hold while there is a task for every core."""
+    n, m = queries.count(), chunks.count()
+    cores = max(2, queries.sparkSession.sparkContext.defaultParallelism)
+    nc = _blocks(m, CHUNK_BLOCK)
+    nq = max(_blocks(n, QUERY_BLOCK), min(_blocks(2 * cores, nc), _blocks(n)))
     left = queries.select(F.col(query_key).cast("long").alias("id"), F.col(vec_col).alias("v"))
     right = chunks.select(F.col(key).cast("long").alias("id"), F.col(vec_col).alias("v"))
     left = left.withColumn("i", salt_of(F.col("id"), buckets=nq)).withColumn(
@@ -112,19 +208,18 @@ def _grid_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_key: str, k
     right = right.withColumn("j", salt_of(F.col("id"), buckets=nc)).withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            scores = _matrix(a["v"]) @ _matrix(b["v"]).T
-            keys = b["id"].to_numpy()
-            for row, qid in zip(scores, a["id"].to_numpy()):
-                keep = keys != qid if exclude_self else np.ones(len(keys), bool)
-                best = _best(row[keep], keys[keep], k)
-                out.append(pd.DataFrame({"query_id": qid, "id": keys[keep][best], "score": row[keep][best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(
-        meet, "query_id long, id long, score double")
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        top = _Top(*_block(a), k, exclude_self)
+        top.add(*_block(b))
+        return top.rows()
+
+    # one block pair a task: what many of them hold in turn would be the memory of a task
+    tasks = nq * nc
+    cell = (F.col("i") * nc + F.col("j")).alias("cell")
+    found = left.select("id", "v", cell).repartition(tasks, "cell").groupBy("cell").cogroup(
+        right.select("id", "v", cell).repartition(tasks, "cell").groupBy("cell")).applyInArrow(meet, FOUND)
     return _rank(found, k)
 
 

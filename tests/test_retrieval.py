@@ -130,6 +130,29 @@ def test_dense_exact_in_both_routes(spark):
     assert set(rows(small, "query_id", "id")) == want == set(rows(large, "query_id", "id"))
 
 
+def test_dense_blocks_and_tiles_keep_ties_copies_and_null_ids(spark, monkeypatch):
+    for name, value in (("FEW_QUERIES", 5), ("QUERY_BLOCK", 64), ("CHUNK_BLOCK", 90), ("TILE_ROWS", 32)):
+        monkeypatch.setattr(dense, name, value)
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(400, 6)).astype(np.float32)
+    m[50:350:3] = m[7]  # many copies: ties by id
+    m[60] = m[7] * np.float32(1 + 1e-7)
+    m[61] = 1e20
+    ids = [*range(398), 3, None]
+    schema = "id long, embedding array<float>"
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, m)], schema).repartition(3)
+    scores = np.round(m.astype(float) @ m.astype(float).T, 6)
+    want = {q: [i for _, i in sorted((-scores[q, c], -1 if i is None else i) for c, i in enumerate(ids) if i != q)[:4]] for q in range(398) if q != 3}
+    few = df.filter("id % 100 = 7")
+    for asked in (df, few):
+        got = {}
+        for r in dense.dense_top_k(asked, df, 4, "id", "id", exclude_self=True).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(-1 if r["id"] is None else r["id"])
+        keys = [q for q in want if asked is df or q % 100 == 7]
+        assert {q: got[q] for q in keys} == {q: want[q] for q in keys}
+        assert asked is few or len(got[None]) == 4 and len(got[3]) == 4
+
+
 def test_cells_are_exact_on_clustered_data(spark, monkeypatch):
     monkeypatch.setattr(dense, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(8)
