@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docweave.functions.text import estimate_tokens, normalize_title
+from docweave.operators.sizing import broadcast_if_small
 
 UUID = re.compile(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 DEFAULT_EXCLUDED_KINDS = "wiki,wiki_syn"
@@ -104,7 +105,8 @@ def neighbor_rows(base: DataFrame, chunks: DataFrame, same_heading: bool = True)
         F.coalesce("heading_path", F.lit("")).alias("parent_heading"), F.col("chunk_index").alias("parent_index"),
         F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"),
     ).withColumn("chunk_index", F.col("parent_index") + F.col("side")).filter(F.col("chunk_index") >= 0)
-    found = sides.join(chunks.select("document_id", "chunk_index", "content", "heading_path"), ["document_id", "chunk_index"])
+    # few rows per query, so the chunks are not shuffled to meet them
+    found = chunks.select("document_id", "chunk_index", "content", "heading_path").join(broadcast_if_small(sides), ["document_id", "chunk_index"])
     if same_heading:
         child = F.coalesce("heading_path", F.lit(""))
         fits = (child == "") | (F.col("parent_heading") == "") | (F.col("parent_heading") == child)

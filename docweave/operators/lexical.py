@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from docweave.functions.rules import text_windows
 from docweave.functions.text import rows_of, tokens
+from docweave.operators.sequential import null_safe_join
 from docweave.operators.sizing import BROADCAST_ROWS, at_most, broadcast_if_small, salted_join
+from docweave.session import cut_lineage
 
 # fixed values: saturation and length normalisation of the term weight
 K1 = 1.5
@@ -147,7 +155,130 @@ def top_k(scored: DataFrame, query_key: str, keys: list[str], k: int, score_col:
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, keys: list[str], query_key: str, k: int,
                text_col: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
-    return top_k(bm25_scores(docs, queries, keys, query_key, text_col, vocabulary), query_key, keys, k)
+    """(query_key, keys, score, rank): k best rows of ``docs`` per query.
+
+    Query terms of checked number travel to the tasks: each scores its rows where they lie and keeps k per query, so
+    neither words nor pairs of query and row are shuffled, only terms' frequencies and queries x k x tasks rows.
+    More query terms, or keys that are neither whole numbers nor strings, go by a join of the words.
+    """
+    plain = all(isinstance(docs.schema[c].dataType, (T.IntegralType, T.StringType)) for c in keys)
+    asked = query_terms(queries, query_key, text_col).select(F.col(query_key).alias("q"), "term").limit(BROADCAST_ROWS + 1).collect() if plain else []
+    if not plain or len(asked) > BROADCAST_ROWS:
+        return top_k(bm25_scores(docs, queries, keys, query_key, text_col, vocabulary), query_key, keys, k)
+    return top_k(_scored_in_task(docs, asked, queries.schema[query_key], keys, k, text_col, vocabulary), query_key, keys, k)
+
+
+def rows_of_words(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, words, length, n): the words of each row; the n rows that share their keys are one."""
+    words = docs.select(*keys, tokens(F.col(text_col)).alias("words"))
+    size = F.size("words").cast("long")
+    again = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    one = lambda rows: rows.withColumns({"length": size, "n": F.lit(1).cast("long")})
+    if at_most(again, 0):
+        return one(words)
+    again = cut_lineage(again)
+    both = null_safe_join(words, again, keys).groupBy(*keys).agg(
+        F.flatten(F.collect_list("words")).alias("words"), F.first(size).alias("length"), F.count(F.lit(1)).alias("n"))
+    return one(null_safe_join(words, again, keys, "left_anti")).unionByName(both)
+
+
+def _occurrences(lists: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in ``terms``, tf) of the wanted terms, by row and place."""
+    at = pc.index_in(lists.flatten(), value_set=terms)
+    known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[known]
+    code, tf = np.unique(row * max(1, len(terms)) + at.drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+    return code // max(1, len(terms)), code % max(1, len(terms)), tf
+
+
+def _weighted_terms(rows: DataFrame, terms: list[str]) -> tuple[dict[str, float], float]:
+    """Terms with a positive idf, and the mean length; a task gives one row per term and two for the totals."""
+    packed = rows.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(packed.value) + 2, np.int64)
+        for batch in batches:
+            n[2:] += np.bincount(_occurrences(batch.column("words"), packed.value)[1], minlength=len(packed.value))
+            n[:2] += pc.sum(batch.column("n")).as_py() or 0, pc.sum(pc.list_value_length(batch.column("words"))).as_py() or 0
+        yield pa.record_batch({"at": pa.array(np.arange(len(n)), pa.int64()), "n": pa.array(n, pa.int64())})
+
+    found = dict(rows.select("words", "n").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n")).collect())
+    corpus, length = found.get(0, 0), found.get(1, 0)
+    weights = {term: math.log((corpus - found[i] + 0.5) / (found[i] + 0.5)) for i, term in enumerate(terms, 2) if found.get(i)}
+    return {term: w for term, w in weights.items() if w > 0}, length / max(1, corpus)
+
+
+#: Cells of row and query, and entries of row, term and query, that a task holds at once.
+CELLS = 2_000_000
+
+
+def _scored_in_task(docs: DataFrame, asked: list, query_field: T.StructField, keys: list[str], k: int,
+                    text_col: str, vocabulary: DataFrame | None) -> DataFrame:
+    """(query_key, keys, score): for each task and query, the k best rows that share a term of positive weight."""
+    spark = docs.sparkSession
+    rows = rows_of_words(docs, keys, text_col)
+    wanted = sorted({term for _, term in asked})
+    if vocabulary is None:
+        weight, mean = _weighted_terms(rows, wanted)
+        known = {term: (w, mean) for term, w in weight.items()}
+    else:
+        names = F.broadcast(spark.createDataFrame([(x,) for x in wanted], "term string"))
+        known = {r[0]: (r[1], r[2]) for r in vocabulary.filter(F.col("idf") > 0).join(names, "term").select("term", "idf", "mean_length").collect()}
+    terms, questions = sorted(known), list(dict.fromkeys(q for q, _ in asked))
+    term_at, query_at = ({x: i for i, x in enumerate(xs)} for xs in (terms, questions))
+    pairs = np.array(sorted((term_at[term], query_at[q]) for q, term in asked if term in known), np.int64).reshape(-1, 2)
+    first = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1))
+    packed = spark.sparkContext.broadcast((pa.array(terms, pa.string()), np.array([known[x] for x in terms], float).reshape(-1, 2), first, pairs[:, 1].copy()))
+    n, names = len(questions), [f"k{i}" for i in range(len(keys))]
+    order = [("q", "ascending"), ("shown", "descending"), *[(c, "ascending") for c in names]]
+
+    def scores_of(part: pa.RecordBatch) -> np.ndarray:
+        terms, weights, first, who = packed.value
+        row, term, tf = _occurrences(part.column("words"), terms)
+        scores = np.zeros(part.num_rows * n)
+        if len(row):
+            length = part.column("length").to_numpy(zero_copy_only=False)[row]
+            weight = weights[term, 0] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / weights[term, 1]))
+            times = first[term + 1] - first[term]
+            upto = np.cumsum(times)
+            cuts = np.unique(np.r_[0, np.searchsorted(upto, np.arange(CELLS, upto[-1], CELLS)) + 1, len(row)])
+            for lo, hi in zip(cuts, cuts[1:]):
+                t, base = times[lo:hi], row[lo] * n
+                query = who[np.arange(t.sum()) + np.repeat(first[term[lo:hi]] - (np.cumsum(t) - t), t)]
+                sums = np.bincount(np.repeat(row[lo:hi] * n - base, t) + query, weights=np.repeat(weight[lo:hi], t))
+                scores[base:base + len(sums)] += sums
+        return scores.reshape(part.num_rows, n)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, low, size = None, np.full(n, -np.inf), 64
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows and n:
+                # the first pieces are small: they set a bound for the others
+                part = batch.slice(at, min(size, max(1, CELLS // n)))
+                at, size = at + part.num_rows, min(size * 2, CELLS)
+                scores = scores_of(part)
+                x, q = np.nonzero((scores > 0) & (scores * 1e6 + 0.5 >= low))
+                if not len(x):
+                    continue
+                score = scores[x, q]
+                new = pa.table({"q": pa.array(q, pa.int64()), "score": pa.array(score), "shown": pa.array(np.floor(score * 1e6 + 0.5)),
+                                **{c: part.column(c).take(pa.array(x)) for c in names}})
+                held = new if held is None else pa.concat_tables([held, new])
+                held = held.take(pc.sort_indices(held, sort_keys=order, null_placement="at_start"))
+                q = held["q"].to_numpy()
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                last = place == k - 1
+                low[q[last]] = held["shown"].to_numpy()[last]
+                held = held.filter(pa.array(place < k)).combine_chunks()
+        if held is not None:
+            yield from held.drop_columns(["shown"]).to_batches()
+
+    schema = ", ".join(["q long", "score double", *[f"{name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(names, keys)]])
+    found = rows.select("words", "length", *[F.col(c).alias(name) for name, c in zip(names, keys)]).mapInArrow(scan, schema)
+    listed = spark.createDataFrame(list(enumerate(questions)), T.StructType([T.StructField("q", T.LongType()), T.StructField("_key", query_field.dataType)]))
+    return found.join(F.broadcast(listed), "q").select(
+        F.col("_key").alias(query_field.name), *[F.col(name).alias(c) for name, c in zip(names, keys)], "score")
 
 
 def sparse_statistics(docs: DataFrame, keys: list[str], vocabulary: DataFrame, text_col: str = "text") -> DataFrame:

@@ -218,7 +218,7 @@ FROM facts f LEFT JOIN r USING (query_id, fact)""")
 def loss_funnel(t) -> DataFrame:
     """First rank of every fact after each stage and the stage that dropped it."""
     hits, _ = line_hits(t)
-    chosen = packed(t).select(F.lit("packed").alias("stage"), "query_id", F.col("position").cast("long").alias("rank"), "content")
+    chosen = packed(hits).select(F.lit("packed").alias("stage"), "query_id", F.col("position").cast("long").alias("rank"), "content")
     stages = chosen
     for name, df in (("sparse", hits), ("deduped", context.dedupe_content(hits))):
         stages = stages.unionByName(df.select(F.lit(name).alias("stage"), "query_id", F.col("rank").cast("long").alias("rank"), "content"))

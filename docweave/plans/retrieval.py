@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from docweave.functions.text import rows_of, tokens
 from docweave.operators import context, dense, fusion, lexical
 from docweave.operators.chunking import chunk_documents, line_chunks
+from docweave.operators.sequential import in_ranges, null_safe_join
+from docweave.operators.sizing import broadcast_if_small
 from docweave.plans import sqlparts as s
 from docweave.plans.catalog import query
 from docweave.session import cut_lineage
@@ -71,8 +73,8 @@ def sparse_self_check(t) -> DataFrame:
     """Fifty evenly spaced chunks must find themselves in the top five by their first 200 characters."""
     chunks = line_chunks(t.documents)
     probes = evenly_spaced(chunks.filter(F.length("content") >= 80), ["document_id", "chunk_index"], 50)
-    probes = probes.select((F.col("document_id") * 1000000 + F.col("chunk_index")).alias("q"),
-                           F.substring("content", 1, 200).alias("text"))
+    probes = cut_lineage(probes.select((F.col("document_id") * 1000000 + F.col("chunk_index")).alias("q"),
+                                       F.substring("content", 1, 200).alias("text")))
     top = lexical.bm25_top_k(chunks.withColumnRenamed("content", "text"), probes, ["document_id", "chunk_index"], "q", 5)
     n = probes.agg(F.count(F.lit(1)))
     return top.filter(F.col("q") == F.col("document_id") * 1000000 + F.col("chunk_index")).agg(
@@ -83,21 +85,21 @@ def sparse_self_check(t) -> DataFrame:
 def evenly_spaced(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """Every (count // n)-th row in key order, n at most, without one global sort task.
 
-    Rows are counted per range of the first key; a running sum over those few counts
-    gives each range its first number.
+    Rows are counted per value of the first key, and the counts summed up in ranges of about equal size; only the
+    rows of the at most n values that hold a wanted number are put in order.
     """
-    total = rows.count()
-    step = max(total // n, 1)
-    lead = F.col(order[0])
-    span = max(total, 1) // 64 + 1
-    ranged = rows.withColumn("_g", F.floor(lead / span))
-    per = ranged.groupBy("_g").agg(F.count(F.lit(1)).alias("c"))
-    start = per.withColumn("_start", F.coalesce(
-        F.sum("c").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("c")
-    number = F.row_number().over(W.partitionBy("_g").orderBy(*order)) - 1
-    return ranged.withColumn("_i", number).join(F.broadcast(start), "_g").withColumn(
-        "_i", F.col("_i") + F.col("_start")).filter(
-        (F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < n)).drop("_g", "_i", "_start")
+    lead = order[0]
+    per = in_ranges(rows.groupBy(lead).agg(F.count(F.lit(1)).alias("_c")), [lead])
+    step = max((per.agg(F.sum("_c")).first()[0] or 0) // n, 1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = per.groupBy("_range").agg(F.sum("_c").alias("_sum")).select("_range", before("_sum", W.orderBy("_range")).alias("_before"))
+    placed = per.withColumn("_in", before("_c", W.partitionBy("_range").orderBy(lead))).join(F.broadcast(ranges), "_range").select(
+        lead, "_c", (F.col("_before") + F.col("_in")).alias("_start"))
+    first = F.ceil(F.col("_start") / step) * step
+    some = cut_lineage(placed.filter((first < F.col("_start") + F.col("_c")) & (first < n * step)).select(lead, "_start"))
+    number = F.row_number().over(W.partitionBy(lead).orderBy(*order)) - 1 + F.col("_start")
+    return null_safe_join(rows, F.broadcast(some), [lead]).withColumn("_i", number).filter(
+        (F.col("_i") % step == 0) & (F.floor(F.col("_i") / step) < n)).drop("_i", "_start")
 
 
 @query("dense_topk", f"""WITH {s.CHANNELS}
@@ -286,7 +288,8 @@ def line_hits(t, k: int = 8) -> tuple[DataFrame, DataFrame]:
     """(hits, chunks): the k best lines of every benchmark text, and all lines."""
     chunks = line_chunks(t.documents).withColumn("heading_path", F.lit(""))
     top = lexical.bm25_top_k(chunks.withColumnRenamed("content", "text"), t.benchmark, ["document_id", "chunk_index"], "item_id", k)
-    hits = top.join(chunks, ["document_id", "chunk_index"]).select(
+    # k rows per question, so the lines are not shuffled to meet them
+    hits = chunks.join(broadcast_if_small(cut_lineage(top)), ["document_id", "chunk_index"]).select(
         F.col("item_id").alias("query_id"), "document_id", "chunk_index", "rank", F.round("score", 6).alias("score"), "content", "heading_path")
     # k rows per question, read several times by what follows
     return cut_lineage(hits), chunks
@@ -342,22 +345,22 @@ def content_dedup(t) -> DataFrame:
     return out.select("query_id", "document_id", "chunk_index", F.col("rank").cast("long").alias("rank"), "score")
 
 
-def packed(t) -> DataFrame:
-    return context.pack_context(context.dedupe_content(line_hits(t)[0]), budget=712)
+def packed(hits: DataFrame) -> DataFrame:
+    return context.pack_context(context.dedupe_content(hits), budget=712)
 
 
 @query("pack_context", f"""WITH RECURSIVE {PACKED}
 SELECT query_id, document_id, chunk_index, position, tokens FROM slots""")
 def pack_context(t) -> DataFrame:
     """Selected lines per question under a token budget of 712 with 512 kept free."""
-    return packed(t).select("query_id", "document_id", "chunk_index", F.col("position").cast("long").alias("position"), "tokens")
+    return packed(line_hits(t)[0]).select("query_id", "document_id", "chunk_index", F.col("position").cast("long").alias("position"), "tokens")
 
 
 @query("lost_in_middle", f"""WITH RECURSIVE {PACKED}
 SELECT query_id, document_id, chunk_index, position, source_index FROM slots""")
 def lost_in_middle(t) -> DataFrame:
     """Best lines at both ends of the context."""
-    return context.lost_in_the_middle(packed(t)).select(
+    return context.lost_in_the_middle(packed(line_hits(t)[0])).select(
         "query_id", "document_id", "chunk_index", F.col("position").cast("long").alias("position"),
         F.col("source_index").cast("long").alias("source_index"))
 
@@ -367,7 +370,7 @@ SELECT query_id, string_agg('[' || source_index || '] src' || document_id || chr
 FROM slots GROUP BY query_id""")
 def context_text(t) -> DataFrame:
     """Numbered context of every question."""
-    slots = context.lost_in_the_middle(packed(t))
+    slots = context.lost_in_the_middle(packed(line_hits(t)[0]))
     header = context.context_header(F.lit("kb"), F.col("source_index"),
                                     F.concat(F.lit("src"), F.col("document_id").cast("string")), F.lit(None).cast("string"))
     return context.context_text(slots, header)

@@ -13,6 +13,7 @@ from docweave.functions.text import tokens
 from docweave.operators import context, fusion
 from docweave.operators.dense import dense_top_k
 from docweave.operators.lexical import bm25_top_k
+from docweave.operators.sizing import broadcast_if_small
 from docweave.session import cut_lineage
 
 
@@ -81,14 +82,15 @@ def retrieve(questions: DataFrame, chunks: DataFrame, config: RetrievalConfig =
         chunks = chunks.filter(context.retrieval_filter(exclude_kinds=list(config.exclude_kinds)))
     # one 64-bit key per chunk position for the vector channel
     keyed = chunks.withColumn("_key", F.xxhash64("document_id", "chunk_index"))
-    dense = dense_top_k(questions, keyed, config.pool, "query_id", "_key").join(
-        keyed.select(F.col("_key").alias("id"), *fusion.KEY), "id").select(
+    near = cut_lineage(dense_top_k(questions, keyed, config.pool, "query_id", "_key"))
+    dense = keyed.select(F.col("_key").alias("id"), *fusion.KEY).join(broadcast_if_small(near), "id").select(
         "query_id", F.lit("dense").alias("channel"), *fusion.KEY, "rank", "score")
     sparse = bm25_top_k(chunks, questions, fusion.KEY, "query_id", config.pool, "content_text") if "content_text" in chunks.columns \
         else bm25_top_k(chunks.withColumn("text", F.col("content")), questions, fusion.KEY, "query_id", config.pool)
     sparse = sparse.select("query_id", F.lit("sparse").alias("channel"), *fusion.KEY, "rank", "score")
-    fused = fusion.reciprocal_rank_fusion(dense.unionByName(sparse), ["dense", "sparse"], config.rrf_k)
-    pool = fused.join(chunks.select(*fusion.KEY, "content", "heading_path", "source_kind"), fusion.KEY)
+    # a pool per question, so the chunks are not shuffled to meet it
+    fused = cut_lineage(fusion.reciprocal_rank_fusion(dense.unionByName(sparse), ["dense", "sparse"], config.rrf_k))
+    pool = chunks.select(*fusion.KEY, "content", "heading_path", "source_kind").join(broadcast_if_small(fused), fusion.KEY)
     if config.fold:
         pool = fusion.fold_table_rows(pool)
     pool = pool.join(questions.select("query_id", F.col("text").alias("question")), "query_id")

@@ -3,6 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators import context, dense, fusion, lexical
+from docweave.operators.sequential import null_safe_join
+from docweave.plans import retrieval
 from docweave.plans.retrieve import RetrievalConfig, hashing_embedder, retrieve
 
 RANKED = "query_id int, channel string, document_id string, chunk_index int, rank int, score double"
@@ -194,6 +196,40 @@ def test_query_without_known_term_returns_nothing(spark):
     assert rows(lexical.bm25_top_k(docs, q, ["doc_id"], "q", 3), "q", "doc_id") == [(2, 3)]
 
 
+def test_bm25_in_tasks_gives_what_the_join_gives(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "CELLS", 50)
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(f"w{int(x)}" for x in rng.zipf(1.5, n) % 60)
+    data = [(i // 3, str(i % 3), text(rng.integers(0, 12))) for i in range(150)]
+    data += [(60 + i, "a", "w3 w9 w9") for i in range(40)] + [data[5], data[7], data[7], (None, "x", "w1 w9"), (None, "x", "w1 w9"), (None, None, "w3"), (200, "z", None)]
+    docs = spark.createDataFrame(data, "d long, c string, text string").repartition(4)
+    q = spark.createDataFrame([(i, text(6)) for i in range(30)] + [(4, "w3"), (None, "w9"), (77, "zzz")], "q long, text string")
+    frozen = lexical.fit_vocabulary(docs.filter("d < 40"))
+    for vocabulary in (None, frozen):
+        want = lexical.top_k(lexical.bm25_scores(docs, q, ["d", "c"], "q", vocabulary=vocabulary), "q", ["d", "c"], 5)
+        got = lexical.bm25_top_k(docs, q, ["d", "c"], "q", 5, vocabulary=vocabulary)
+        plain = lambda df: sorted(repr((r["q"], r["rank"], r["d"], r["c"], round(r["score"], 6))) for r in df.collect())
+        assert plain(got) == plain(want)
+    # no words and no pairs leave a task: k rows per query of each task at most
+    asked = [(r["q"], r["term"]) for r in lexical.query_terms(q, "q").collect()]
+    many = docs.unionByName(docs.withColumn("d", F.col("d") + 1000))
+    assert lexical._scored_in_task(many, asked, q.schema["q"], ["d", "c"], 2, "text", None).groupBy("q", F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_evenly_spaced_rows_sort_only_keys_that_hold_one(spark, monkeypatch):
+    rows_ = [(d, i, "x") for d in [*range(0, 3000, 7), 10 ** 12] for i in range(d % 4 + 1)]
+    df = spark.createDataFrame(rows_, "document_id long, chunk_index long, content string").repartition(5)
+    keys = sorted((d, i) for d, i, _ in rows_)
+    for n in (1, 9, len(keys), 2 * len(keys)):
+        got = retrieval.evenly_spaced(df, ["document_id", "chunk_index"], n)
+        assert rows(got.orderBy("document_id", "chunk_index"), "document_id", "chunk_index") == keys[::max(len(keys) // n, 1)][:n]
+    # texts go into a sort for the few wanted keys only
+    seen = []
+    monkeypatch.setattr(retrieval, "null_safe_join", lambda left, right, on: seen.append(right.count()) or null_safe_join(left, right, on))
+    retrieval.evenly_spaced(df, ["document_id", "chunk_index"], 9)
+    assert seen == [9]
+
+
 def test_containing_documents_short_and_long(spark):
     docs = spark.createDataFrame([(1, "xx the quick brown fox yy"), (2, "the quick brown"), (3, "no")], "d int, text string")
     p = spark.createDataFrame([(1, "the quick brown fox"), (2, "no"), (3, "e quick brown f")], "p int, text string")
