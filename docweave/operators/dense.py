@@ -15,7 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from docweave.operators.sizing import DENSE_QUERY_BYTES, salt_of, salted_join
+from docweave.operators.sizing import BROADCAST_ROWS, DENSE_QUERY_BYTES, at_most, salt_of, salted_join
+from docweave.session import cut_lineage
 
 BLOCK_ROWS = 4096
 SCORE_CELLS = 16_000_000
@@ -233,8 +234,6 @@ def dense_top_k_cells(queries: DataFrame, chunks: DataFrame, k: int, query_key:
     plus query length times cell radius, is lower; only the rest are visited too. The tighter
     the data is clustered, the fewer blocks meet. Centres and cell sizes are ``cells`` rows.
     """
-    from docweave.session import cut_lineage
-
     centre_rows = chunks.select(F.col(vec_col).alias("v")).orderBy(F.xxhash64(F.col(key))).limit(cells).collect()
     if not centre_rows:
         return _rank(queries.sparkSession.createDataFrame([], "query_id long, id long, score double"), k)
@@ -323,8 +322,12 @@ def distinct_vectors(frame: DataFrame, key: str, vec_col: str = "embedding") ->
 
 def members(frame: DataFrame, key: str, vec_col: str = "embedding") -> DataFrame:
     """(copy, id, n): every row with a vector that is not zero, the first of the n rows of equal vectors, and n."""
-    rep = distinct_vectors(frame, key, vec_col).filter(F.exists(vec_col, lambda x: x != 0)).select("id", F.col("copies").alias("n"), F.col(vec_col).alias("_v"))
-    return salted_join(frame.select(F.col(key).cast("long").alias("copy"), F.col(vec_col).alias("_v")), rep, ["_v"], ["copy"]).select("copy", "id", "n")
+    rep = cut_lineage(distinct_vectors(frame, key, vec_col).filter(F.exists(vec_col, lambda x: x != 0)).select("id", F.col("copies").alias("n"), F.col(vec_col).alias("_v")))
+    alone, again = rep.filter("n = 1").select(F.col("id").alias("copy"), "id", "n"), rep.filter("n > 1")
+    rows = frame.select(F.col(key).cast("long").alias("copy"), F.col(vec_col).alias("_v"))
+    # only vectors with copies meet the rows
+    both = rows.join(F.broadcast(again), "_v") if at_most(again, BROADCAST_ROWS) else salted_join(rows, again, ["_v"], ["copy"])
+    return alone.unionByName(both.select("copy", "id", "n"))
 
 
 def class_pairs(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from docweave.functions.text import extract_links, normalize_title, rows_of
 from docweave.functions.vectors import cosine
 from docweave.operators.dense import distinct_vectors, similar_pairs
+from docweave.operators.matching import nearest_in_turn
 from docweave.operators.sequential import numbered_in_order
 from docweave.session import cut_lineage
 
@@ -255,6 +256,27 @@ def compare_answers(answers: DataFrame) -> DataFrame:
                       F.when(mean >= 0.8, "high").when(mean >= 0.5, "medium").otherwise("low").alias("consistency"))
 
 
+def equal_titles(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """(kb_id, cand_id, page_id, how): of equal titles in a base the first candidate and the first page pair up, and so on."""
+    nth = lambda order: F.row_number().over(W.partitionBy("kb_id", "norm").orderBy(order))
+    c = candidates.withColumn("norm", normalize_title(F.col("title"))).withColumn("n", nth("pos"))
+    p = pages.withColumn("norm", normalize_title(F.col("title"))).withColumn("n", nth("page_id"))
+    return cut_lineage(c.join(p.select("kb_id", "norm", "n", "page_id"), ["kb_id", "norm", "n"]).select("kb_id", "cand_id", "page_id", F.lit("title").alias("how")))
+
+
+def match_titles_by_vector(candidates: DataFrame, pages: DataFrame, members: DataFrame, vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """``match_titles`` by the cosine of vectors, without a row per pair.
+
+    ``members``: copy (a candidate or page), id of its class of equal vectors; ``vectors``: id, v. See ``nearest_in_turn``.
+    """
+    exact = equal_titles(candidates, pages)
+    wanted = candidates.select("kb_id", "pos", "cand_id").join(members.withColumnsRenamed({"copy": "cand_id", "id": "cand_class"}), "cand_id").join(
+        exact.select("kb_id", "cand_id"), ["kb_id", "cand_id"], "left_anti")
+    queues = pages.select("kb_id", "page_id").join(members.withColumnsRenamed({"copy": "page_id", "id": "class_id"}), "page_id").join(
+        exact.select("kb_id", "page_id"), ["kb_id", "page_id"], "left_anti")
+    return exact.unionByName(nearest_in_turn(wanted, queues, vectors, threshold).withColumn("how", F.lit("vector")))
+
+
 def match_titles(candidates: DataFrame, pages: DataFrame, scored: DataFrame, threshold: float = 0.85,
                  copies: DataFrame | None = None) -> DataFrame:
     """(kb_id, cand_id, page_id, how): equal titles first, then best remaining page in candidate order.
@@ -265,10 +287,7 @@ def match_titles(candidates: DataFrame, pages: DataFrame, scored: DataFrame, thr
     and the first page pair up in order. With ``copies`` (kb_id, page_id, class_id), ``scored`` names
     classes of equally scored pages in place of pages, and a class gives its pages in order.
     """
-    nth = lambda order: F.row_number().over(W.partitionBy("kb_id", "norm").orderBy(order))
-    c = candidates.withColumn("norm", normalize_title(F.col("title"))).withColumn("n", nth("pos"))
-    p = pages.withColumn("norm", normalize_title(F.col("title"))).withColumn("n", nth("page_id"))
-    exact = cut_lineage(c.join(p.select("kb_id", "norm", "n", "page_id"), ["kb_id", "norm", "n"]).select("kb_id", "cand_id", "page_id", F.lit("title").alias("how")))
+    exact = equal_titles(candidates, pages)
     gone = exact.select("kb_id", "page_id")
     if copies is None:
         copies = scored.select("kb_id", "page_id", F.col("page_id").alias("class_id")).distinct()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from docweave.operators import context, dense, experiments as ex, graph
-from docweave.operators.sizing import salted_join
 from docweave.plans import sqlparts as s
 from docweave.plans.catalog import query
+from docweave.session import cut_lineage
 
 
 def titled_documents(t) -> DataFrame:
@@ -163,16 +163,9 @@ def match_titles(t) -> DataFrame:
     e = t.embeddings
     cand = e.filter(F.col("vec_id") % 2 == 1).select(F.col("label").alias("kb_id"), F.col("vec_id").alias("cand_id"), F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("title"))
     pages = e.filter(F.col("vec_id") % 2 == 0).select(F.col("label").alias("kb_id"), F.col("vec_id").alias("page_id"), (F.col("vec_id") * 3).cast("string").alias("title"))
-    pairs = dense.similar_pairs(e, "vec_id", 0.2, strict=False)
-    # classes of equal vectors meet; in each base and on each side (odd, even) a class has a queue of its own members
-    member = dense.members(e, "vec_id").select("copy", "id")
-    wanted = cand.select("kb_id", "cand_id").join(member.withColumnsRenamed({"copy": "cand_id", "id": "cand_class"}), "cand_id")
-    queue = pages.select("kb_id", "page_id").join(member.withColumnsRenamed({"copy": "page_id", "id": "class_id"}), "page_id")
-    same = member.select("id").distinct().select("id", F.col("id").alias("other"), F.lit(1.0).alias("score"))
-    both = dense.class_pairs(pairs).select("id", "other", "score").unionByName(same).withColumnsRenamed({"id": "cand_class", "other": "class_id"})
-    classes = wanted.select("kb_id", "cand_class").distinct().join(both, "cand_class").join(queue.select("kb_id", "class_id").distinct(), ["kb_id", "class_id"])
-    scored = salted_join(wanted, classes, ["kb_id", "cand_class"], ["cand_id"]).select("kb_id", "cand_id", F.col("class_id").alias("page_id"), "score")
-    return graph.match_titles(cand, pages, scored.withColumn("score", F.round("score", 6)), 0.2, queue)
+    # classes of equal vectors meet; in each base a class has a queue of its own pages
+    vectors = cut_lineage(dense.distinct_vectors(e, "vec_id").filter(F.exists("embedding", lambda x: x != 0)).select("id", F.col("embedding").alias("v")))
+    return graph.match_titles_by_vector(cand, pages, cut_lineage(dense.members(e, "vec_id").select("copy", "id")), vectors, 0.2)
 
 
 @query("fact_retention", f"""WITH {s.CHANNELS}, f AS (SELECT label AS page, query_id, max(round(score, 6)) >= 0.35 AS kept FROM dense JOIN v ON vec_id = query_id WHERE rank <= 5 GROUP BY 1, 2)
