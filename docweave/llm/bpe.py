@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
@@ -21,17 +22,18 @@ START_ROWS = 1_000_000
 #: Distinct pre-tokens a worker remembers between batches.
 REMEMBERED = 600_000
 
-#: ``step`` holds the tokens of unfinished words in order. Each round finds the leftmost pair of least
-#: rank of every word by a join with ``merges`` and contracts it; a word without such a pair is done.
+#: ``step`` holds the tokens of unfinished words in order; places ``p`` run on from word to word, so that one ordered scan finds
+#: the next token. Each round finds the leftmost pair of least rank of every word by a join with ``merges`` and contracts it;
+#: a word without such a pair is done.
 CONTRACT = """
 with recursive step(w, p, t, done) as (
   select w, p, t, false from start
   union all
   select * from (
-    with pairs as (select w, p, t, lead(t) over word as nt, lead(p) over word as np from step where not done window word as (partition by w order by p)),
-    ranked as (select pairs.*, m.r from pairs left join merges m on m.a = pairs.t and m.b = pairs.nt),
-    best as (select w, min(r) as r, arg_min(p, r * 4294967296 + p) as bp, arg_min(np, r * 4294967296 + p) as bn from ranked group by w)
-    select ranked.w, ranked.p, case when ranked.p = best.bp then best.r else ranked.t end, best.r is null
+    with pairs as (select w, p, t, case when lead(w) over line = w then lead(t) over line end as nt, lead(p) over line as np from step where not done window line as (order by p)),
+    ranked as (select w, p, t, np, m.r * 4294967296 + p as k from pairs left join merges m on m.pair = pairs.t * 4294967296 + pairs.nt),
+    best as (select w, min(k) as k, arg_min(np, k) as bn from ranked group by w)
+    select ranked.w, ranked.p, case when ranked.k = best.k then (best.k // 4294967296)::integer else ranked.t end, best.k is null
     from ranked join best using (w) where best.bn is null or ranked.p <> best.bn))
 select w, list(t order by p) as ids from step where done group by w order by w
 """
@@ -49,7 +51,7 @@ class Coder:
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.sql = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*rows))
-        self.fill("merges", pa.table({"a": a, "b": b, "r": r}))
+        self.fill("merges", pa.table({"pair": (a.to_numpy().astype(np.int64) << 32) + b.to_numpy(), "r": r}))
         self.fill("vocabulary", pa.table({"t": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.hex() for t in self.ranks]}))
         self.find = regex.compile(PATTERN).findall
         self.known: dict[str, tuple[bytes, bytes]] = {}
@@ -59,27 +61,32 @@ class Coder:
         self.sql.execute(f"create or replace table {name} as select * from incoming")
         self.sql.unregister("incoming")
 
-    def tokens(self, words: list[bytes]) -> list[list[int]]:
+    def tokens(self, words: list[bytes]) -> pa.LargeListArray:
         """Ids of each word; a word that is a token is that token, as in the library."""
-        out = [[self.ranks[w]] if w in self.ranks else None for w in words]
-        todo = [i for i, ids in enumerate(out) if ids is None]
+        held = [self.ranks.get(w) for w in words]
+        todo = [i for i, t in enumerate(held) if t is None]
         sizes = np.array([len(words[i]) for i in todo], np.int64)
         ends, lo = np.cumsum(sizes), 0
+        own = pa.array([t for t in held if t is not None], pa.int32())
+        lists, order = [pa.LargeListArray.from_arrays(np.arange(len(own) + 1), own)], [i for i, t in enumerate(held) if t is not None]
         while lo < len(todo):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + START_ROWS, "right")))
             some, n = todo[lo:hi], sizes[lo:hi]
             flat = np.frombuffer(b"".join(words[i] for i in some), np.uint8)
-            self.fill("start", pa.table({"w": np.repeat(np.arange(len(n), dtype=np.int32), n), "t": self.byte[flat],
-                                         "p": (np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)}))
-            for i, ids in zip(some, self.sql.sql(CONTRACT).to_arrow_table()["ids"].to_pylist()):
-                out[i] = ids
+            self.fill("start", pa.table({"w": np.repeat(np.arange(len(n), dtype=np.int32), n), "t": self.byte[flat], "p": np.arange(len(flat), dtype=np.int64)}))
+            # a word without a byte has no rows
+            found = self.sql.sql(CONTRACT).to_arrow_table()
+            lists += [x.cast(pa.large_list(pa.int32())) for x in found["ids"].chunks]
+            order += [some[w] for w in found["w"].to_pylist()]
             lo = hi
-        return out
+        at = np.full(len(words), -1, np.int64)
+        at[order] = np.arange(len(order))
+        return pa.chunked_array(lists).combine_chunks().take(pa.array(at, mask=at < 0))
 
-    def decoded(self, ids: list[list[int]]) -> list[bytes]:
+    def decoded(self, ids: pa.LargeListArray) -> list[bytes]:
         """The bytes of each list of ids."""
-        n = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([t for x in ids for t in x], np.int32)
+        n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        flat = ids.flatten()
         self.fill("coded", pa.table({"w": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": np.arange(len(flat)), "t": flat}))
         found = self.sql.sql(DECODE).to_arrow_table()
         out = [b""] * len(ids)
@@ -89,13 +96,19 @@ class Coder:
 
     def coded(self, words: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded bytes) of each pre-token."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        ids = self.tokens([w.encode() for w in new])
-        for w, x, text in zip(new, ids, self.decoded(ids)):
-            self.known[w] = (np.array(x, "<u4").tobytes(), text)
-        return [self.known[w] for w in words]
+        known = self.known
+        if len(known) > REMEMBERED:
+            # those met again now stay
+            self.known = known = {w: known[w] for w in words if w in known}
+        new = [w for w in words if w not in known]
+        if new:
+            ids = self.tokens([w.encode() for w in new])
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), 4 * np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            for w, hi, text in zip(new, ends.tolist(), self.decoded(ids)):
+                known[w] = (flat[lo:hi], text)
+                lo = hi
+        return [known[w] for w in words]
 
 
 _coders: dict[str, Coder] = {}

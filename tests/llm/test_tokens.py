@@ -128,3 +128,13 @@ def test_shards_hold_every_document_at_its_slot(spark, docs, tmp_path):
     again = spark.createDataFrame([(r.slot, r.shard, r.byte_offset, r.ids_crc32) for r in rows], "slot long, shard long, byte_offset long, ids_crc32 long")
     assert shards.check_records(again, folder, length=64).count() == 0
     assert shards.write_shards(empty(docs), path, P.PATTERN, 50256, str(tmp_path / "none")).count() == 0
+
+
+def test_bpe_keeps_the_words_met_again_when_it_remembers_too_many(monkeypatch):
+    coder = bpe.Coder(P.path("byte_bpe_multi_50k.tiktoken"))
+    first = coder.coded(["zqxjk", "vwxyzq", "wqkjz"])
+    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+    contracted, tokens = [], coder.tokens
+    monkeypatch.setattr(coder, "tokens", lambda words: contracted.append(list(words)) or tokens(words))
+    assert coder.coded(["zqxjk", "qqzzvv", "wqkjz"])[::2] == first[::2]
+    assert contracted == [[b"qqzzvv"]] and "vwxyzq" not in coder.known
