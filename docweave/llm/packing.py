@@ -11,7 +11,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from docweave.llm.tokens import WORD_PATTERN, encoded_texts, library_tokenizer, slices, text_of
+from docweave.llm.tokens import WORD_PATTERN, LibraryTokenizer, encoded_texts, library_tokenizer, parts, slices, text_of
+
+#: Bytes of text that a worker encodes at once.
+CODED_BYTES = 8_000_000
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "segment int, loss_tokens long")
@@ -102,6 +105,15 @@ def powers(pieces: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int,
         yield out
 
 
+def ended_ids(batch: pa.RecordBatch, coder: LibraryTokenizer, end_id: int) -> list[bytes]:
+    """The ids of each text with ``end_id``; only a few texts at a time are held in pieces, as those take many times their bytes."""
+    tail, out = np.array([end_id], "<u4").tobytes(), []
+    for part in parts(batch, most=CODED_BYTES):
+        data, starts = encoded_texts(text_of(part), coder)
+        out += [bytes(data[a:b]) + tail for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+    return out
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 1, key: str = "doc_id", text: str = "text",
                    loss_start: str | None = None, pattern: str = WORD_PATTERN, lower: bool = True, window: int = 4096) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, segment, loss_tokens.
@@ -121,9 +133,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
         sequence = TaskContext.get().partitionId() << 33
         for piece in slices(batches):
             for batch in (piece.slice(i, window) for i in range(0, len(piece), window)):
-                data, starts = encoded_texts(text_of(batch), coder)
-                tail = np.array([end_id], "<u4").tobytes()
-                ids = [bytes(data[a:b]) + tail for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                ids = ended_ids(batch, coder, end_id)
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 free = batch["free"].fill_null(0).to_numpy(zero_copy_only=False)
                 loss = np.clip(n - free, 0, n)

@@ -33,16 +33,22 @@ class Units(NamedTuple):
     words: list[str]
 
 
+def parts(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``most`` bytes of text, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes), 0
+    while start < len(batch):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``most`` bytes of text, or of one row."""
+    """The ``parts`` of all batches of a task; then Arrow's free memory goes back to the system, as the worker lives on beside its executor."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
-        ends, start = np.cumsum(sizes), 0
-        while start < len(batch):
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+        yield from parts(batch, column, most)
+    pa.default_memory_pool().release_unused()
 
 
 def text_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -138,3 +139,21 @@ def test_bpe_keeps_the_words_met_again_when_it_remembers_too_many(monkeypatch):
     monkeypatch.setattr(coder, "tokens", lambda words: contracted.append(list(words)) or tokens(words))
     assert coder.coded(["zqxjk", "qqzzvv", "wqkjz"])[::2] == first[::2]
     assert contracted == [[b"qqzzvv"]] and "vwxyzq" not in coder.known
+
+
+def test_packing_encodes_a_few_texts_at_a_time(monkeypatch):
+    path, seen = P.path("word_bpe_49k.json"), []
+    coder = packing.library_tokenizer(path, WORD_PATTERN, True)
+    texts = ["one two three", None, "", "four  five", "x" * 50, "six seven"] * 3
+    batch = pa.record_batch({"text": pa.array(texts, pa.string())})
+    whole = packing.ended_ids(batch, coder, 1)
+    encode = packing.encoded_texts
+
+    def watched(part, coder):
+        seen.append(sum(len(x) for x in part.to_pylist()))
+        return encode(part, coder)
+
+    monkeypatch.setattr(packing, "encoded_texts", watched)
+    monkeypatch.setattr(packing, "CODED_BYTES", 30)
+    assert packing.ended_ids(batch, coder, 1) == whole
+    assert len(whole) == len(texts) and len(seen) > 3 and all(n <= 30 or n == 50 for n in seen)
