@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     longest path. Each round is a minimum by node, summed before the shuffle, and a join.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    links, seen = cut_lineage(links), None
+    links, seen = cut_lineage(links, small=True), None
     while True:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(
             F.col("x.v").alias("u"), F.col("x.m").alias("v")).filter("u != v").distinct()
-        links = cut_lineage(small)
+        links = cut_lineage(small, small=True)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             break

@@ -274,9 +274,9 @@ def near_classes(docs: DataFrame, shape: Shape, key: str, text: str) -> DataFram
     met = buckets.groupBy("rid").agg(F.sum("n").alias("met"))
     lead = buckets.join(met, "rid").groupBy("bucket").agg(F.max(F.struct("met", "rid"))["rid"].alias("lead"))
     stars = buckets.join(lead, "bucket").filter("rid != lead").select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
-    stars = cut_lineage(stars)
+    stars = cut_lineage(stars, small=True)
     wanted = met.select("rid").join(copies.select("rid", "at.doc_id", "at.row"), "rid")
-    held = cut_lineage(sets(docs, cut_lineage(wanted), shape, key, text))
+    held = cut_lineage(sets(docs, cut_lineage(wanted, small=True), shape, key, text))
     links = cut_lineage(checked(stars, held, shape))
     rooted = components(links)
     labelled = buckets.join(rooted.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
@@ -309,7 +309,7 @@ def drop_near_duplicates(docs: DataFrame, shape: Shape = Shape(), key: str = "do
     """
     found = near_classes(docs, shape, key, text).filter("class_size > 1")
     stays = F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("row") == F.col("stay.row"))
-    counted = cut_lineage(found.withColumn("stays", stays).groupBy("doc_id", "row", "stays").agg(F.count(F.lit(1)).alias("n")))
+    counted = cut_lineage(found.withColumn("stays", stays).groupBy("doc_id", "row", "stays").agg(F.count(F.lit(1)).alias("n")), small=True)
     out = counted.filter("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
     twice = counted.filter("stays and n > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
     same = docs[key].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_row"))

@@ -96,7 +96,7 @@ def starts(rows: DataFrame, group: str, key: str, features: list[str], few: bool
     d = range(len(features))
     every = moments(rows, [group], features).withColumn("_start", F.lit(0))
     middle = rows.groupBy(group).agg(*[F.percentile_approx(f, 0.5).alias(f"m_{i}") for i, f in enumerate(features)], F.count(F.lit(1)).alias("_n"))
-    middle = cut_lineage(middle)
+    middle = cut_lineage(middle, small=True)
     apart = beside(rows, middle, [group], key, few)
     spread = apart.groupBy(group).agg(*[(1.4826 * F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5)).alias(f"w_{i}") for i, f in enumerate(features)])
     medians = middle.join(spread, group).select(group, F.lit(1).alias("_start"), *[f"m_{i}" for i in d],
@@ -115,16 +115,16 @@ def minimum_covariance(rows: DataFrame, group: str, key: str, features: list[str
     any size costs a row per start and task.
     """
     few = at_most(rows.select(group).distinct(), BROADCAST_ROWS // STARTS)
-    found = cut_lineage(factored(starts(rows, group, key, features, few), features, floors))
+    found = cut_lineage(factored(starts(rows, group, key, features, few), features, floors), small=True)
     keys = [group, "_start"]
     for _ in range(steps):
         far = beside(rows, found, [group], key, few).withColumn("_bin", F.floor(BINS_PER_UNIT * F.log1p(distance(features))).cast("int"))
         edges = inner_edges(far, keys, share)
         inner = beside(far.select(*keys, key, *features, "_bin"), edges, keys, key, few).filter(F.col("_bin") <= F.col("edge_bin"))
-        found = cut_lineage(factored(moments(inner, keys, features), features, floors))
+        found = cut_lineage(factored(moments(inner, keys, features), features, floors), small=True)
     determinant = sum((F.log(f"l_{i}_{i}") for i in range(len(features))), F.lit(0.0))
     best = found.groupBy(group).agg(F.min_by("_start", F.struct(F.round(determinant, 9), "_start")).alias("_start"))
-    return cut_lineage(found.join(best, keys).drop("_start").join(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group))
+    return cut_lineage(found.join(best, keys).drop("_start").join(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group), small=True)
 
 
 def inner_edges(far: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -184,13 +184,13 @@ def learn_rules(stats: DataFrame, least: int, prior: int = PRIOR_ROWS) -> DataFr
     thousands by itself, and none by a switch between the two. With fewer than ``least`` rows in all there is no estimate.
     """
     good = stats.filter(~F.col("base_failed"))
-    sums = cut_lineage(good.groupBy("_lang", "_both").agg(F.count(F.lit(1)).alias("own_rows"), *[F.sum(c).alias(f"s_{c}") for c in ["n_words", *RATES]]))
+    sums = cut_lineage(good.groupBy("_lang", "_both").agg(F.count(F.lit(1)).alias("own_rows"), *[F.sum(c).alias(f"s_{c}") for c in ["n_words", *RATES]]), small=True)
     langs = sums.groupBy("_lang").agg(F.sum("s_n_words").alias("w"), *[F.sum(f"s_{c}").alias(f"a_{c}") for c in RATES])
     whole = sums.agg(F.sum("own_rows").alias("_all"), *[(F.sum(f"s_{c}") / F.sum("s_n_words")).alias(f"t_{c}") for c in RATES])
     known = langs.join(F.broadcast(whole.withColumn("_one", F.lit(1))), F.col("_one") == 1).select(
         "_lang", "_all", *[((F.col(f"a_{c}") + PRIOR_SENT * F.col(f"t_{c}")) / (F.col("w") + PRIOR_SENT)).alias(f"g_{c}") for c in RATES])
     groups = cut_lineage(sums.join(known, "_lang").select("_lang", "_both", "own_rows", "_all", *[
-        ((F.col(f"s_{c}") + PRIOR_SENT * F.col(f"g_{c}")) / (F.col("s_n_words") + PRIOR_SENT)).alias(f"r_{c}") for c in RATES]))
+        ((F.col(f"s_{c}") + PRIOR_SENT * F.col(f"g_{c}")) / (F.col("s_n_words") + PRIOR_SENT)).alias(f"r_{c}") for c in RATES]), small=True)
     rows = cut_lineage(_features(good, groups.drop("_lang"), ["_key"]).filter(F.col("_all") >= least).select("_key", "_lang", "_both", *FEATURES))
     several = rows.select("_key", *FEATURES, F.explode(levels()).alias("_level"))
     found = minimum_covariance(several, "_level", "_key", FEATURES, FLOORS)
@@ -201,10 +201,10 @@ def learn_rules(stats: DataFrame, least: int, prior: int = PRIOR_ROWS) -> DataFr
     second = shrunken(of("_level").filter(F.col("_level").startswith("lang ")).join(F.broadcast(top), F.col("_one") == 1).drop("_one"), FEATURES, prior)
     third = groups.select("_both", "_lang").withColumn("_level", F.concat(F.lit("lang "), F.col("_lang"))).join(above(second), "_level").drop("_level").withColumn(
         "_level", F.concat(F.lit("both "), F.col("_both"))).join(of("_level"), "_level", "left")
-    judged = cut_lineage(factored(shrunken(third, FEATURES, prior), FEATURES, FLOORS))
+    judged = cut_lineage(factored(shrunken(third, FEATURES, prior), FEATURES, FLOORS), small=True)
     far = beside(rows, judged.select("_both", *[c for c in judged.columns if c.startswith(("m_", "l_"))]), ["_both"], "_key", at_most(judged, BROADCAST_ROWS)).withColumn(
         "_bin", F.floor(BINS_PER_UNIT * F.log1p(distance(FEATURES))).cast("int"))
-    edges = cut_lineage(inner_edges(far.select("_key", "_bin", F.explode(levels()).alias("_level")), ["_level"], INNER).withColumn("e", F.expm1((F.col("edge_bin") + 1) / BINS_PER_UNIT)))
+    edges = cut_lineage(inner_edges(far.select("_key", "_bin", F.explode(levels()).alias("_level")), ["_level"], INNER).withColumn("e", F.expm1((F.col("edge_bin") + 1) / BINS_PER_UNIT)), small=True)
     edge = lambda level, name: F.broadcast(edges.select(F.col("_level").alias(level), F.col("e").alias(name))) if at_most(edges, BROADCAST_ROWS) else edges.select(F.col("_level").alias(level), F.col("e").alias(name))
     named = judged.select("_both", "_lang", "n", *[c for c in judged.columns if c.startswith(("m_", "l_"))]).withColumns({"_l0": F.lit("all"), "_l1": levels()[1], "_l2": levels()[2]})
     for i in range(3):
@@ -213,7 +213,7 @@ def learn_rules(stats: DataFrame, least: int, prior: int = PRIOR_ROWS) -> DataFr
     named = named.join(size, "_lang", "left")
     second_edge = pulled(F.coalesce("_size", F.lit(0)), F.coalesce("e1", "e0"), F.col("e0"), prior)
     named = named.withColumn("edge", pulled(F.coalesce("n", F.lit(0)), F.coalesce("e2", "e1", "e0"), second_edge, prior))
-    return cut_lineage(groups.drop("_lang", "_all").join(named.drop("_lang", "n", "_size", *[f"{x}{i}" for x in ("_l", "e") for i in range(3)]), "_both", "left"))
+    return cut_lineage(groups.drop("_lang", "_all").join(named.drop("_lang", "n", "_size", *[f"{x}{i}" for x in ("_l", "e") for i in range(3)]), "_both", "left"), small=True)
 
 
 def _judged(stats: DataFrame, rules: DataFrame, cutoff: float) -> DataFrame:

@@ -141,7 +141,7 @@ def weights(doc: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, idf: n
 
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Index:
     """Selects terms on the bounded sample, counts them in all documents, and indexes the examples."""
-    rows = cut_lineage(examples(docs, labels, settings, key, text))
+    rows = cut_lineage(examples(docs, labels, settings, key, text), small=True)
     names, n1, n0 = select_terms(rows, settings)
     terms = {t: i for i, t in enumerate(names)}
     found, total = document_frequencies(docs, terms, text)

@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle partitions of a small table that go to one file.
+SHARED = 16
+
 
 def build_session(app: str = "docweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on (UTC clock, AQE, Arrow)."""
@@ -25,9 +28,13 @@ def build_session(app: str = "docweave", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, small: bool = False) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names.
 
+    A task writes a file, and for each file on a local disk Hadoop without its native library starts processes that set
+    the mode. So a ``small`` table (groups, links: a light last stage and narrow rows) is written by one task
+    for ``SHARED`` shuffle partitions, but by no fewer than there are cores.
+
     Only where ``spark.checkpoint.dir`` is unset and the master is local (tests)
     is a folder of our own used; on a cluster a missing setting is an error.
     """
@@ -40,4 +47,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
+    if small:
+        df = df.coalesce(max(sc.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARED))
     return df.checkpoint(eager=True)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ import pytest
 
 import corpus_pipeline
 from docweave.llm import chat, quality, toxicity
+from docweave.llm.links import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -212,3 +214,30 @@ def test_pipeline_runs_stage_by_stage(spark, tmp_path):
     assert sum(shared in t for t in left.values()) == 1 and shared in left[3]
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == set(left)
+
+
+def test_small_tables_are_cut_into_few_files(spark):
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rows = spark.createDataFrame([(n, g, float(n % 7), float(n * n % 11)) for g in ("a", "b") for n in range(60)] + [(None, None, 1.0, 2.0)], "k long, g string, u double, v double")
+    edges = spark.createDataFrame([(n, n + 1) for n in range(6)] + [(20, 21), (20, 21)], "a long, b long")
+
+    def files():
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+        return sum(1 for p in Path(folder).rglob("part-*"))
+
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        at = files()
+        roots = {(r["node"], r["root"]) for r in components(edges).collect()}
+        links, at = files() - at, files()
+        found = quality.minimum_covariance(rows, "g", "k", ["u", "v"], [0.1, 0.1], steps=1)
+        groups = files() - at
+        n = {r["g"]: r["n"] for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert roots == {(n, 0) for n in range(7)} | {(20, 20), (21, 20)} and n == {"a": 60, "b": 60}
+    # four tasks for 48 shuffle partitions; eight cuts of links at most, four of groups
+    assert 0 < links <= 8 * 4 and 0 < groups <= 4 * 4
