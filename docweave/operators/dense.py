@@ -46,22 +46,16 @@ def _dimension(frame: DataFrame, vec_col: str) -> int:
     return len(row[0]) if row else 0
 
 
-def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of one row by rounded score, ties by key."""
-    rounded = np.round(scores, 6)
-    if len(rounded) > k:
-        floor = np.partition(rounded, len(rounded) - k)[len(rounded) - k]
-        pos = np.flatnonzero(rounded >= floor)
-    else:
-        pos = np.arange(len(rounded))
-    return pos[np.lexsort((keys[pos], -rounded[pos]))][:k]
-
-
 def _rank(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.round("score", 6).desc(), F.col("id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _hits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true; faster than numpy's search of a matrix."""
+    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
+
+
 class _Top:
     """The k best chunks so far of a block of queries, by score rounded to six digits, ties by id.
 
@@ -71,6 +65,7 @@ class _Top:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool):
         self.ids, self.vectors, self.k, self.own = ids, vectors, k, exclude_self
+        self.at = np.arange(len(ids))
         self.rough, self.slack = self._rough(vectors)
         self.shown = np.full((len(ids), k), -np.inf)
         self.score = np.full((len(ids), k), -np.inf)
@@ -85,7 +80,8 @@ class _Top:
             error = length * math.sqrt((vectors.shape[1] + 8) * 2.0 ** -23)
             return vectors.astype(np.float32), error
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, vectors: np.ndarray, only: np.ndarray | None = None) -> None:
+        """``only``: places of the queries that these chunks meet, where not all do."""
         rough, slack = self._rough(vectors)
         safe = all(len(x) == 0 or np.nanmax(x, initial=0) < 1e12 for x in (slack, self.slack)) and np.isfinite(vectors).all()
         at = 0
@@ -95,16 +91,17 @@ class _Top:
             tile = slice(at, at + size)
             at += size
             step = max(1, min(1024, SCORE_CELLS // 2 // size))
-            for start in range(0, len(self.ids), step):
-                self._tile(slice(start, start + step), ids[tile], vectors[tile], rough[tile], slack[tile], safe)
+            for start in range(0, len(self.ids if only is None else only), step):
+                rows = slice(start, start + step)
+                self._tile(rows if only is None else only[rows], ids[tile], vectors[tile], rough[tile], slack[tile], safe)
 
-    def _tile(self, rows: slice, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, slack: np.ndarray, safe: bool) -> None:
+    def _tile(self, rows: slice | np.ndarray, ids: np.ndarray, vectors: np.ndarray, rough: np.ndarray, slack: np.ndarray, safe: bool) -> None:
         low = np.where(self.filled[rows, -1], self.shown[rows, -1], -np.inf)
         cells = len(low) * len(ids)
         x = y = None
         if safe and np.isfinite(low).all():
             least = low - 1e-6 - self.slack[rows] * (slack.max() if len(slack) else 0)
-            x, y = np.nonzero(self.rough[rows] @ rough.T >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
+            x, y = _hits(self.rough[rows] @ rough.T >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
         if x is None or len(x) * 16 > cells:
             # no bound yet, or too many near it: the whole tile in double precision
             scores = self.vectors[rows] @ vectors.T
@@ -116,7 +113,7 @@ class _Top:
             if len(ids) > 2 * self.k:
                 floor = -np.partition(np.where(good, -shown, np.inf), self.k - 1, axis=1)[:, self.k - 1]
                 good &= shown >= floor[:, None]
-            x, y = np.nonzero(good)
+            x, y = _hits(good)
             scores, shown = scores[x, y], shown[x, y]
         else:
             scores = np.einsum("ij,ij->i", self.vectors[rows][x], vectors[y])
@@ -126,13 +123,13 @@ class _Top:
                 good &= (self.ids[rows][x] != ids[y]) | (ids[y] == NO_ID)
             x, y, scores, shown = x[good], y[good], scores[good], shown[good]
         if len(x):
-            self._merge(rows.start, x, ids[y], scores, shown)
+            self._merge(self.at[rows][x], ids[y], scores, shown)
 
-    def _merge(self, start: int, x: np.ndarray, ids: np.ndarray, scores: np.ndarray, shown: np.ndarray) -> None:
+    def _merge(self, x: np.ndarray, ids: np.ndarray, scores: np.ndarray, shown: np.ndarray) -> None:
         touched = np.unique(x)
-        held = self.filled[touched + start]
-        row = np.concatenate([x, np.broadcast_to(touched[:, None], held.shape)[held]]) + start
-        ids, scores, shown = (np.concatenate([new, old[touched + start][held]]) for new, old in ((ids, self.found), (scores, self.score), (shown, self.shown)))
+        held = self.filled[touched]
+        row = np.concatenate([x, np.broadcast_to(touched[:, None], held.shape)[held]])
+        ids, scores, shown = (np.concatenate([new, old[touched][held]]) for new, old in ((ids, self.found), (scores, self.score), (shown, self.shown)))
         order = np.lexsort((ids, -shown, row))
         row, ids, scores, shown = row[order], ids[order], scores[order], shown[order]
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -224,83 +221,120 @@ def _grid_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_key: str, k
     return _rank(found, k)
 
 
+class _CellTop(_Top):
+    """The k best of a block of queries; of a block of chunks in cells the most promising come first, then those the k-th score so far doesn't rule out."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, centres: np.ndarray, probes: int):
+        super().__init__(ids, vectors, k, exclude_self)
+        self.centres, self.length = centres, np.linalg.norm(vectors, axis=1)
+        step = max(1, SCORE_CELLS // 4 // len(centres))
+        middle = (vectors[at:at + step] @ centres.T for at in range(0, len(ids), step))
+        self.first = np.vstack([np.argsort(-m, axis=1, kind="stable")[:, :probes] for m in middle])
+
+    def meet(self, cells: list[int], sizes: list[int], radii: list[float], ids: np.ndarray, vectors: np.ndarray) -> None:
+        ends = np.cumsum(sizes)
+        for probing in (True, False):
+            for cell, size, radius, end in zip(cells, sizes, radii, ends):
+                own = slice(end - size, end)
+                self.visit(probing, cell, radius, ids[own], vectors[own])
+
+    def visit(self, probing: bool, cell: int, radius: float, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Chunks of one cell, none farther from its centre than ``radius``. No score is above that of the centre plus query length times radius."""
+        wanted = (self.first == cell).any(axis=1)
+        if not probing:
+            centre = self.centres[cell]
+            with np.errstate(over="ignore", invalid="ignore"):
+                best = self.vectors @ centre + self.length * radius
+                best += 1e-6 + 1e-12 * self.length * (np.linalg.norm(centre) + radius)
+            wanted = ~wanted & ~(best < self.shown[:, -1])
+        bound = self.filled[:, -1]
+        for rows in (np.flatnonzero(wanted & ~bound), np.flatnonzero(wanted & bound)):
+            if len(rows):
+                self.add(ids, vectors.astype(np.float64), rows)
+
+
+def _packed(frame: DataFrame, key: str, vec_col: str, blocks: int, rows: int, centres: np.ndarray | None = None) -> DataFrame:
+    """(part, ids, vectors, cells, sizes, radii): a row for each of ``blocks`` blocks of about ``rows`` rows, more rows only if copies fill a block.
+
+    With ``centres`` the rows are in order of the nearest one; cells, sizes and radii tell where each begins and how far its rows lie from it.
+    """
+    dealt = frame.select(F.col(key).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).repartitionById(
+        blocks, salt_of(F.col("id"), F.col("v"), buckets=blocks))
+
+    def one(part: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, vectors = _block(pa.Table.from_batches(batches))
+        cells, sizes, radii = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if centres is not None:
+            half = (centres ** 2).sum(axis=1) / 2
+            step = max(1, SCORE_CELLS // 4 // len(centres))
+            near = np.concatenate([(vectors[at:at + step] @ centres.T - half).argmax(axis=1) for at in range(0, len(ids), step)])
+            order = np.argsort(near, kind="stable")
+            ids, vectors = ids[order], vectors[order]
+            gap = np.linalg.norm(vectors - centres[near[order]], axis=1)
+            cells, first, sizes = np.unique(near[order], return_index=True, return_counts=True)
+            radii = np.maximum.reduceat(gap, first)
+        return pa.RecordBatch.from_pydict({
+            "part": pa.array([part], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([vectors.astype(np.float32).tobytes()], pa.binary()),
+            "cells": pa.array([cells], pa.list_(pa.int32())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "radii": pa.array([radii], pa.list_(pa.float64()))})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = 0, []
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 2 * rows:
+                yield one(part, held)
+                part, held = part + 1, []
+        if held:
+            yield one(part, held)
+
+    return dealt.mapInArrow(pack, "part int, ids binary, vectors binary, cells array<int>, sizes array<int>, radii array<double>")
+
+
+def _unpacked(ids: pa.Scalar, vectors: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    keys, flat = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(vectors.as_buffer(), np.float32)
+    return keys, flat.reshape(len(keys), len(flat) // max(1, len(keys)))
+
+
 def dense_top_k_cells(queries: DataFrame, chunks: DataFrame, k: int, query_key: str, key: str, vec_col: str = "embedding",
                       cells: int = 64, probes: int = 4, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, score, rank): exact k best for query tables that grow with the data.
 
-    Chunks are dealt to the nearest of ``cells`` centre vectors; a large cell is split into
-    blocks of about 4096 rows. Every query first visits its ``probes`` most promising cells.
-    Its k-th score so far then rules out every cell whose best possible score, centre score
-    plus query length times cell radius, is lower; only the rest are visited too. The tighter
-    the data is clustered, the fewer blocks meet. Centres and cell sizes are ``cells`` rows.
+    Chunks are dealt to the nearest of ``cells`` centre vectors. Of every block of chunks a query first visits its
+    ``probes`` most promising cells. Its k-th score so far then rules out every cell whose best possible score, centre
+    score plus query length times cell radius, is lower; only the rest are visited too. The tighter the data is
+    clustered, the fewer vectors meet.
+
+    Queries and chunks are shuffled once, into packed blocks. A task holds one block of queries and reads the kept
+    blocks of chunks one after the other, so disk grows with the rows and not with the pairs of blocks, and k rows
+    per query leave a task. Chunks are divided among tasks only while there are fewer blocks of queries than cores.
     """
     centre_rows = chunks.select(F.col(vec_col).alias("v")).orderBy(F.xxhash64(F.col(key))).limit(cells).collect()
     if not centre_rows:
-        return _rank(queries.sparkSession.createDataFrame([], "query_id long, id long, score double"), k)
-    centres = np.vstack([np.asarray(r[0], dtype=np.float64) for r in centre_rows])
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        half = (centres ** 2).sum(axis=1) / 2
-        for part in (p for b in batches for p in _slices(b, len(centres))):
-            m = _matrix(part["v"])
-            near = (m @ centres.T - half).argmax(axis=1)
-            gap = np.linalg.norm(m - centres[near], axis=1)
-            yield part.assign(cell=near, gap=gap)
-
-    vector = "array<float>"
-    placed = cut_lineage(chunks.select(F.col(key).cast("long").alias("id"), F.col(vec_col).cast(vector).alias("v")).mapInPandas(
-        place, f"id long, v {vector}, cell int, gap double"))
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()
-    blocks = {r["cell"]: _blocks(r["n"]) for r in stats}
-    radius = np.full(len(centres), -np.inf)
-    for r in stats:
-        radius[r["cell"]] = r["radius"]
-    sizes = queries.sparkSession.createDataFrame([(c, b) for c, b in blocks.items()], "cell int, blocks int")
-    q_blocks = _blocks(queries.count())
-    q = queries.select(F.col(query_key).cast("long").alias("q"), F.col(vec_col).cast(vector).alias("v"))
-    right = placed.join(F.broadcast(sizes), "cell").select(
-        "id", "v", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("part"))
-
-    def choose(known: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in (p for b in batches for p in _slices(b, len(centres))):
-                m = _matrix(part["v"])
-                middle = m @ centres.T
-                best = middle + np.linalg.norm(m, axis=1, keepdims=True) * radius + 1e-6
-                order = np.argsort(-np.where(np.isfinite(best), middle, -np.inf), axis=1, kind="stable")
-                first = np.zeros(best.shape, bool)
-                np.put_along_axis(first, order[:, :probes], True, axis=1)
-                first &= np.isfinite(best)
-                wanted = first
-                if known:
-                    wanted = ~first & np.isfinite(best) & (best >= part["floor"].to_numpy()[:, None])
-                yield pd.DataFrame({"q": part["q"], "v": part["v"], "cells": [np.flatnonzero(w).tolist() for w in wanted]})
-
-        return run
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            keys = b["id"].to_numpy()
-            for row, qid in zip(_matrix(a["v"]) @ _matrix(b["v"]).T, a["q"].to_numpy()):
-                keep = keys != qid if exclude_self else np.ones(len(keys), bool)
-                top = _best(row[keep], keys[keep], k)
-                out.append(pd.DataFrame({"query_id": qid, "id": keys[keep][top], "score": row[keep][top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
-
-    def visit(chosen: DataFrame) -> DataFrame:
-        left = chosen.select("q", "v", F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell").select(
-            "q", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), salt_of(F.col("q"), buckets=q_blocks).alias("part"))
-        keys = ["cell", "block", "part"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, id long, score double")
-
-    routed = f"q long, v {vector}, cells array<int>"
-    seen = cut_lineage(_rank(visit(q.mapInPandas(choose(False), routed)), k).drop("rank"))
-    floor = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).select(
-        F.col("query_id").alias("q"), F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(float("-inf"))).alias("floor"))
-    again = q.join(floor, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    return _rank(seen.unionByName(visit(again.mapInPandas(choose(True), routed))), k)
+        return _rank(queries.sparkSession.createDataFrame([], FOUND), k)
+    centres = np.unique(np.vstack([np.asarray(r[0], dtype=np.float64) for r in centre_rows]), axis=0)
+    most = max(1, DENSE_QUERY_BYTES // max(1, 8 * centres.shape[1]))
+    query_rows, chunk_rows = min(QUERY_BLOCK, most), min(CHUNK_BLOCK, most)
+    n, cores = queries.count(), max(2, queries.sparkSession.sparkContext.defaultParallelism)
+    nq = max(_blocks(n, query_rows), min(2 * cores, _blocks(n)))
+    nc = _blocks(chunks.count(), chunk_rows)
+    left = cut_lineage(_packed(chunks, key, vec_col, nc, chunk_rows, centres)).coalesce(min(nc, _blocks(2 * cores, nq)))
+    right = _packed(queries, query_key, vec_col, nq, query_rows).select(*[F.col(c).alias(f"q_{c}") for c in ("part", "ids", "vectors")])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops: dict[int, _CellTop] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = {name: batch[name][row] for name in batch.schema.names}
+                part = at["q_part"].as_py()
+                if part not in tops:
+                    asked, vectors = _unpacked(at["q_ids"], at["q_vectors"])
+                    tops[part] = _CellTop(asked.copy(), vectors.astype(np.float64), k, exclude_self, centres, probes)
+                tops[part].meet(*(at[c].as_py() for c in ("cells", "sizes", "radii")), *_unpacked(at["ids"], at["vectors"]))
+        for top in tops.values():
+            yield from top.rows().to_batches()
+
+    # the hint: pairs of blocks are read where they lie, neither side is sent to all tasks at once
+    return _rank(left.drop("part").crossJoin(right.hint("shuffle_replicate_nl")).mapInArrow(search, FOUND), k)
 
 
 def unlike_existing(candidates: DataFrame, existing: DataFrame, key: str, existing_key: str, threshold: float = 0.92,

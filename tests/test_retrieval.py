@@ -165,6 +165,66 @@ def test_cells_are_exact_on_clustered_data(spark, monkeypatch):
     assert {tuple(r) for r in got.select("query_id", "id", "rank").collect()} == want
 
 
+def shuffled_rows(df):
+    """Rows written to the shuffles of a frame whose rows were collected."""
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            return walk(node.plan() if name.endswith("QueryStageExec") else node.executedPlan())
+        metric = node.metrics().get("shuffleRecordsWritten")
+        below = node.children()
+        return (metric.get().value() if metric.isDefined() else 0) + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_cells_keep_ties_copies_and_null_ids_and_shuffle_each_row_once(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 16), ("QUERY_BLOCK", 32), ("CHUNK_BLOCK", 50), ("TILE_ROWS", 32)):
+        monkeypatch.setattr(dense, name, value)
+    rng = np.random.default_rng(12)
+    m = (rng.normal(size=(6, 6))[rng.integers(0, 6, 400)] + 0.3 * rng.normal(size=(400, 6))).astype(np.float32)
+    m[50:200:3] = m[7]  # many copies: ties by id
+    m[60] = m[7] * np.float32(1 + 1e-7)
+    ids = [*range(396), 3, None, 5, 5]
+    m[398:] = m[5]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, m)], "id long, embedding array<float>").repartition(3)
+    scores = np.round(m.astype(float) @ m.astype(float).T, 6)
+    want = {}
+    for q in {*ids}:
+        found = sorted((-scores[row, c], -1 if i is None else i) for row in range(400) if ids[row] == q for c, i in enumerate(ids) if i is None or i != q)
+        want[q] = [i for _, i in found[:4]]
+    for probes in (1, 2, 9):
+        top = dense.dense_top_k_cells(df, df, 4, "id", "id", cells=8, probes=probes, exclude_self=True)
+        got = {}
+        for r in sorted(top.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append(-1 if r["id"] is None else r["id"])
+        assert got == want
+        # the frame's own shuffle, a row per vector, and k per vector for the rank, however many blocks meet
+        assert 800 < shuffled_rows(top) <= 400 * (2 + 4)
+    assert dense.dense_top_k_cells(df.limit(0), df, 4, "id", "id").count() == dense.dense_top_k_cells(df, df.limit(0), 4, "id", "id").count() == 0
+
+
+def test_cells_are_skipped_and_a_full_block_is_split(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 64), ("QUERY_BLOCK", 64), ("CHUNK_BLOCK", 64)):
+        monkeypatch.setattr(dense, name, value)
+    rng = np.random.default_rng(4)
+    near = (np.eye(8)[rng.integers(0, 8, 300)] + 0.01 * rng.normal(size=(300, 8))).astype(np.float32)
+    top = dense._CellTop(np.arange(300), near.astype(float), 5, False, np.eye(8), 1)
+    met = []
+    monkeypatch.setattr(top, "add", lambda ids, vectors, rows, add=top.add: met.append(len(ids) * len(rows)) or add(ids, vectors, rows))
+    cell = near.argmax(axis=1)
+    radius = [np.linalg.norm(near[cell == c] - np.eye(8)[c], axis=1).max() for c in range(8)]
+    for probing in (True, False):
+        for c in range(8):
+            top.visit(probing, c, radius[c], np.flatnonzero(cell == c), near[cell == c].astype(float))
+    assert sum(met) == sum((cell == c).sum() ** 2 for c in range(8))
+    # equal rows go to one block, which may not grow
+    df = spark.createDataFrame([(1, [1.0, 0.0])] * 700 + [(2, [0.0, 1.0])], "id long, embedding array<float>").repartition(20)
+    sizes = [len(r["ids"]) // 8 for r in dense._packed(df, "id", "embedding", 2, 64).collect()]
+    assert sum(sizes) == 701 and max(sizes) <= 3 * 64
+    assert rows(dense.dense_top_k_cells(df, df, 3, "id", "id", cells=2, exclude_self=True).orderBy("query_id", "rank"), "query_id", "id") == [(1, 2)] * 3 + [(2, 1)] * 3
+
+
 def test_similar_pairs_blocks_and_copies(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(40, 4)).astype(np.float32)
